@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from opsloom.llm import bpe, gif, lines, mixing, secrets
+from opsloom.llm import bpe, gif, lines, mixing, secrets, urls
 
 QUERIES = {
     "op2_secret_links": secrets.op2_secret_links,
+    "op3_url_filter": urls.op3_url_filter,
     "op4_gif_media": gif.op4_gif_media,
     "op8_line_spread": lines.op8_line_spread,
     "op9_byte_bpe": bpe.op9_byte_bpe,
