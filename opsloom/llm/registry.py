@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from opsloom.llm import bpe, gif, lines, mixing, quality, secrets, urls
+from opsloom.llm import bpe, gif, jaccard, lines, mixing, quality, secrets, urls
 
 QUERIES = {
     "op2_secret_links": secrets.op2_secret_links,
     "op3_url_filter": urls.op3_url_filter,
     "op4_gif_media": gif.op4_gif_media,
+    "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_quality": quality.op6_quality,
     "op8_line_spread": lines.op8_line_spread,
     "op9_byte_bpe": bpe.op9_byte_bpe,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_quality": quality.op6_quality,
     "op8_line_spread": lines.OP8_SQL,
     "op10_source_mix": mixing.OP10_SQL,
