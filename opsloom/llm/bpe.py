@@ -171,7 +171,7 @@ def encode(docs: DataFrame, text: str = "text", ranks: str | None = None, offset
 
 
 def decode(encoded: DataFrame, ids: str = "ids", ranks: str | None = None) -> DataFrame:
-    """Replace the column ids by decoded (binary): the bytes of the tokens, joined."""
+    """Add decoded (binary): the bytes of the tokens, joined."""
     path = ranks or public_tokenizers.path(RANKS)
     schema = _with(encoded, T.StructField("decoded", T.BinaryType()))
     keep = [f.name for f in schema.fields[:-1]]

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from opsloom.llm import bpe, gif, jaccard, lines, mixing, quality, secrets, urls
+import corpus_pipeline
+from opsloom.llm import bpe, gif, jaccard, language, lines, mixing, neighbours, quality, secrets, urls
 
 QUERIES = {
+    "op1_language": language.op1_language,
     "op2_secret_links": secrets.op2_secret_links,
     "op3_url_filter": urls.op3_url_filter,
     "op4_gif_media": gif.op4_gif_media,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_quality": quality.op6_quality,
+    "op7_neighbours": neighbours.op7_neighbours,
     "op8_line_spread": lines.op8_line_spread,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_source_mix": mixing.op10_source_mix,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
