@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,22 @@ def verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("draft"), verb.alias("verb"), "value")
 
 
+def as_text(query: Callable[[SparkSession, str], DataFrame], columns: Sequence[str]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with these columns as text."""
+    if not columns:
+        return query
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(spark, sf_dir).withColumns({c: F.col(c).cast("string") for c in columns})
+
+    return run
+
+
+def sql_as_text(sql: str, columns: Sequence[str]) -> str:
+    casts = ", ".join(f'CAST("{c}" AS VARCHAR) AS "{c}"' for c in columns)
+    return f"SELECT * REPLACE ({casts}) FROM ({sql})" if columns else sql
+
+
 SQL_OPPORTUNITIES = """
 o AS (SELECT o_orderkey AS id, o_totalprice AS value, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'won' ELSE 'lost' END AS status,
              o_orderpriority AS stage_id, o_orderdate AS created, o_orderdate AS updated FROM orders),
