@@ -55,7 +55,7 @@ def scrub_identity(text: Column) -> Column:
 def table_cells(line: Column) -> Column:
     """Cells of a pipe row, without the outer pipes, trimmed."""
     inner = F.regexp_replace(F.regexp_replace(F.trim(line), "^\\x7C", ""), "\\x7C\\z", "")
-    return F.transform(F.split(inner, "\\x7C", -1), F.trim)
+    return F.transform(F.split(inner, "\\x7C", -1), lambda c: F.trim(c))
 
 
 def sentences(text: Column) -> Column:
