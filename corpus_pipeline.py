@@ -18,19 +18,26 @@ from opsloom.llm.common import read, stored
 ORACLE_SQL = None
 
 
+def _packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """These columns, and the whole row beside them, out of reach of what an operator adds."""
+    return docs.select(*columns, F.struct(*(F.col(c) for c in docs.columns)).alias("_row"))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
-    scored = quality.score_quality(docs, read(spark, sf_dir, "labels"))
-    return scored.filter(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    scored = quality.score_quality(docs.withColumnRenamed("score", "_score"), read(spark, sf_dir, "labels"))
+    return scored.filter(F.col("score") >= quality.THRESHOLD).drop("score").withColumnRenamed("_score", "score").select(*docs.columns)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many sites share; one that had no others goes."""
-    cleaned = lines.dedup_lines(docs)
+    cleaned = lines.dedup_lines(_packed(docs, "doc_id", "source", "text"))
     cleaned = cleaned.filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cleaned.select(*docs.columns)
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, length).otherwise(F.col("_row.n_chars"))
+    return cleaned.select(*(changed.get(c, F.col(f"_row.{c}")).alias(c) for c in docs.columns))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +50,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The copies of documents that the mix serves, in its order."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(_packed(docs, "doc_id", "source", "text")).select("_row.*")
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,29 +50,29 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats:
 def schedule(docs: DataFrame, text: str = "text", weights=WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
     """Add size, source_size, target, before (words of the source ahead of the document), finish (virtual
     finish of its first copy) and taken (words of all its copies that are served before the cut)."""
-    shuffled = docs.withColumns(
-        {"size": words(text), "place": F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":mix"))), 1, 8), 16, 10).cast("long")}
-    )
+    kept = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "before", "finish", "taken")]
+    place = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":mix"))), 1, 8), 16, 10).cast("long")
+    shuffled = docs.select(*kept, words(text).alias("size"), place.alias("_place"))
     sizes = shuffled.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
-    shares = targets(sizes, weights, budget, repeats).withColumn("buckets", F.expr(f"source_rows div {ROWS_PER_BUCKET} + 1"))
-    shares = stored(shares.withColumnRenamed("source", "_s"), "mix-shares")
+    shares = targets(sizes, weights, budget, repeats)
+    shares = shares.select(F.col("source").alias("_source"), F.col("rank").alias("_rank"), "source_size", F.expr(f"source_rows div {ROWS_PER_BUCKET} + 1").alias("_buckets"), "target")
+    shares = stored(shares, "mix-shares")
     # the shuffled order in equal ranges, so that the words ahead of a row are those of earlier ranges and of its own
     few = shares.count() <= BROADCAST_ROWS
-    placed = shuffled.join(F.broadcast(shares) if few else shares, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    placed = placed.withColumn("bucket", F.expr("place * buckets div 4294967296"))
-    ahead = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = placed.groupBy("rank", "bucket").agg(F.sum("size").alias("in_bucket"))
-    bases = bases.select("rank", "bucket", F.coalesce(F.sum("in_bucket").over(ahead), F.lit(0)).alias("base"))
-    own = Window.partitionBy("rank", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    counted = placed.withColumn("within", F.coalesce(F.sum("size").over(own), F.lit(0))).join(bases, ["rank", "bucket"])
-    before = counted.withColumn("before", F.col("base") + F.col("within"))
+    placed = shuffled.join(F.broadcast(shares) if few else shares, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    placed = placed.withColumn("_bucket", F.expr("_place * _buckets div 4294967296"))
+    ahead = Window.partitionBy("_rank").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = placed.groupBy("_rank", "_bucket").agg(F.sum("size").alias("_held"))
+    bases = bases.select("_rank", "_bucket", F.coalesce(F.sum("_held").over(ahead), F.lit(0)).alias("_base"))
+    own = Window.partitionBy("_rank", "_bucket").orderBy("_place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    counted = placed.withColumn("_within", F.coalesce(F.sum("size").over(own), F.lit(0))).join(bases, ["_rank", "_bucket"])
+    before = counted.withColumn("before", F.col("_base") + F.col("_within"))
     taken = sum(
         (F.greatest(F.lit(0), F.least("size", F.floor(F.col("target")) - F.col("before") - F.lit(k) * F.col("source_size"))) for k in range(repeats)),
         F.lit(0),
     )
     finish = F.when(F.col("target") > 0, (F.col("before") + F.col("size")) / F.col("target"))
-    made = before.withColumns({"taken": taken.cast("long"), "finish": finish})
-    return made.drop("place", "rank", "source_rows", "buckets", "bucket", "base", "within")
+    return before.select(*kept, "size", "source_size", "target", "before", finish.alias("finish"), taken.cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, text: str = "text", weights=WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
