@@ -6,7 +6,7 @@ depend on Unicode classes. Null text gives null unless a function says otherwise
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -44,6 +44,11 @@ def whole_word(term: str) -> str:
     return f"(?i)(?<![A-Za-z0-9_]){body}(?![A-Za-z0-9_])"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once; an expression named twice in a lambda is worked out twice."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def scrub_identity(text: Column) -> Column:
     """Drop a leading name, e-mail addresses and sites; white space in one."""
     text = F.regexp_replace(text, VOCATIVE, "")
@@ -76,19 +81,23 @@ def word_count(text: Column) -> Column:
 
 def syllables(word: Column) -> Column:
     """Vowel groups, a silent last e left out; 0 without letters, else 1 at least."""
-    letters = F.regexp_replace(F.lower(word), "[^a-z]", "")
-    groups = F.size(F.regexp_extract_all(letters, F.lit("[aeiouy]+"), F.lit(0)))
-    silent = F.when(letters.endswith("e") & (groups > 1), 1).otherwise(0)
-    return F.when(letters == "", 0).otherwise(F.greatest(F.lit(1), groups - silent)).cast("long")
+
+    def count(letters: Column) -> Column:
+        groups = F.regexp_count(letters, F.lit("[aeiouy]+"))
+        return F.when(letters == "", 0).when(letters.endswith("e"), let(groups, lambda g: F.greatest(F.lit(1), g - F.when(g > 1, 1).otherwise(0)))).otherwise(F.greatest(F.lit(1), groups))
+
+    return let(F.regexp_replace(F.lower(word), "[^a-z]", ""), count).cast("long")
 
 
 def reading_grade(text: Column) -> Column:
     """Flesch-Kincaid grade; 0 for empty text."""
-    n_sentences, words = F.size(sentences(text)), tokens(text)
-    total = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + syllables(w))
-    n_words = F.size(words)
-    grade = 0.39 * (n_words / n_sentences) + 11.8 * (total / n_words) - 15.59
-    return F.when((n_sentences == 0) | (n_words == 0), 0.0).otherwise(grade)
+
+    def grade(words: Column, n_sentences: Column) -> Column:
+        total = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + syllables(w))
+        value = let(F.size(words), lambda n: 0.39 * (n / n_sentences) + 11.8 * (total / n) - 15.59)
+        return F.when((n_sentences == 0) | (F.size(words) == 0), 0.0).otherwise(value)
+
+    return let(tokens(text), lambda words: let(F.size(sentences(text)), lambda n: grade(words, n)))
 
 
 def context_windows(text: Column, term: str, width: int = 50) -> Column:
@@ -181,10 +190,13 @@ def observation_map(observations: Column) -> Column:
     last of equal keys counts."""
     said = F.filter(observations, lambda o: F.instr(o, ":") > 0)
     pairs = F.transform(said, lambda o: F.struct(F.trim(F.substring_index(o, ":", 1)).alias("k"), F.trim(F.substr(o, F.instr(o, ":") + 1)).alias("v")))
-    pairs = F.filter(pairs, lambda p: p["k"] != "")
-    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    last = lambda name: F.try_element_at(F.filter(pairs, lambda p: p["k"] == name), F.lit(-1))["v"]
-    return F.map_from_arrays(names, F.transform(names, lambda name: last(name)))
+
+    def as_map(pairs: Column) -> Column:
+        names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+        last = lambda name: F.try_element_at(F.filter(pairs, lambda p: p["k"] == name), F.lit(-1))["v"]
+        return let(names, lambda ns: F.map_from_arrays(ns, F.transform(ns, lambda name: last(name))))
+
+    return let(F.filter(pairs, lambda p: p["k"] != ""), as_map)
 
 
 def chunks(limit: int = 1900, least: int = 200):

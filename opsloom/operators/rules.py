@@ -99,9 +99,8 @@ def dashes(text: Column, policy: str) -> Column:
 
 def long_sentences(text: Column, most: int) -> Column:
     def judged(s: Column, i: Column) -> Column:
-        n = X.word_count(s)
-        note = F.concat(F.lit("sentence "), (i + 1).cast("string"), F.lit(" = "), n.cast("string"), F.lit(f' words (cap {most}): "'), F.substring(s, 1, 60), F.lit('..."'))
-        return F.when(n > most, failure("max_sentence_words", note))
+        note = lambda n: F.concat(F.lit("sentence "), (i + 1).cast("string"), F.lit(" = "), n.cast("string"), F.lit(f' words (cap {most}): "'), F.substring(s, 1, 60), F.lit('..."'))
+        return X.let(X.word_count(s), lambda n: F.when(n > most, failure("max_sentence_words", note(n))))
 
     return F.array_compact(F.transform(X.sentences(text), judged)).cast(FAILURE)
 
