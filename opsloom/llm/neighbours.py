@@ -6,8 +6,9 @@ a vector, the parts of its neighbours. Every row is indexed in its most probable
 its most probable parts - as many as reach RECALL of the true neighbours on the sample - and is reranked
 there by inner product in double precision.
 
-Parts with many rows, such as copies of one vector, are searched in blocks of about BLOCK rows; the best
-of all blocks are ranked together. Scores are summed in the same order wherever a row lies, so copies
+Rows are searched in blocks of about BLOCK_VALUES components: small parts share one, parts with many rows,
+such as copies of one vector, are dealt to several. A block gives a query its k best of all the parts in
+it, and the best of all blocks are ranked together. Scores are summed in the same order wherever a row lies, so copies
 tie exactly and ties go to the smaller id.
 
 Vectors that are null, zero, without components, hold null or non-finite components or have another
@@ -35,7 +36,7 @@ DEGREE = 10
 #: Aimed at on the sample; the promise is 0.9.
 RECALL = 0.95
 TRIALS = 256
-BLOCK = 4000
+BLOCK_VALUES = 1 << 20
 
 
 def sound(vector: str) -> Column:
@@ -131,6 +132,20 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def blocks_of(sizes: dict[int, int], rows: int) -> dict[int, list[int]]:
+    """The blocks of each part: several parts share one of `rows` rows at most, a larger part has its own."""
+    blocks, at, room = {}, -1, 0
+    for part, n in sorted(sizes.items(), key=lambda x: (x[1], x[0])):
+        if n > rows:
+            many = -(-n // rows)
+            blocks[part], at, room = list(range(at + 1, at + 1 + many)), at + many, 0
+            continue
+        if n > room or at < 0:
+            at, room = at + 1, rows
+        blocks[part], room = [at], room - n
+    return blocks
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k nearest found, and probes (parts it was sent to)."""
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v"), is_query.alias("asks"))
@@ -161,26 +176,29 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
 
     kind = f"vec_id {vectors.schema[vec_id].dataType.simpleString()}, v {vectors.schema[vector].dataType.simpleString()}, part int, goes array<int>"
     routed = stored(rows.mapInArrow(route, kind), "routed")
-    held = {r["part"]: -(-r["count"] // BLOCK) for r in routed.groupBy("part").count().collect()}  # MOST_PARTS rows at most
-    if not held:
-        held = {0: 1}
-    blocks = F.create_map(*(F.lit(x) for pair in held.items() for x in pair))
-    index = routed.select("vec_id", "v", "part", F.pmod(F.xxhash64("vec_id"), blocks[F.col("part")]).cast("int").alias("block"))
-    queries = routed.filter(F.col("goes").isNotNull()).select(F.col("vec_id").alias("query_id"), "v", F.explode("goes").alias("part"))
-    queries = queries.filter(F.col("part").isin(*held))
-    queries = queries.select("query_id", "v", "part", F.explode(F.sequence(F.lit(0), blocks[F.col("part")] - 1)).alias("block"))
+    sizes = {r["part"]: r["count"] for r in routed.groupBy("part").count().collect()}  # MOST_PARTS rows at most
+    if not sizes:
+        sizes = {0: 0}
+    blocks = F.create_map(*(F.lit(x) for part, own in blocks_of(sizes, max(1, BLOCK_VALUES // length)).items() for x in (part, own)))
+    own = blocks[F.col("part")]
+    index = routed.select("vec_id", "v", "part", F.get(own, F.pmod(F.xxhash64("vec_id"), F.size(own)).cast("int")).alias("block"))
+    asked = routed.filter(F.col("goes").isNotNull()).select(F.col("vec_id").alias("query_id"), "v", F.array_intersect("goes", F.array(*map(F.lit, sizes))).alias("goes"))
+    queries = asked.withColumn("block", F.explode(F.array_distinct(F.flatten(F.transform("goes", lambda p: blocks[p])))))
 
     def search(asked: pa.Table, indexed: pa.Table) -> pa.Table:
         found: list[tuple] = []
         if asked.num_rows and indexed.num_rows:
             indexed = indexed.sort_by("vec_id")
-            ids = indexed.column("vec_id").to_numpy()
+            ids, part = indexed.column("vec_id").to_numpy(), indexed.column("part").to_numpy()
             at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            ids, base = ids[at], _matrix(indexed.column("v").combine_chunks())[at]
+            ids, part, base = ids[at], part[at], _matrix(indexed.column("v").combine_chunks())[at]
             query_ids, q = np.unique(asked.column("query_id").to_numpy(), return_index=True)
-            whole = _matrix(asked.column("v").combine_chunks())[q]
+            whole, goes = _matrix(asked.column("v").combine_chunks())[q], [asked.column("goes")[int(i)].as_py() for i in q]
+            open_ = np.zeros((len(query_ids), MOST_PARTS), bool)
+            for i, parts_ in enumerate(goes):
+                open_[i, parts_] = True
             for start in range(0, len(query_ids), 256):
-                about = whole[start : start + 256] @ base.T
+                about = np.where(open_[start : start + 256][:, part], whole[start : start + 256] @ base.T, -np.inf)
                 for i, line in enumerate(about):
                     name, vec = query_ids[start + i], whole[start + i]
                     line[ids == name] = -np.inf
@@ -191,10 +209,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
                     best = np.lexsort((ids[near], -exact))[:k]
                     found += zip([name] * best.size, ids[near][best].tolist(), exact[best].tolist(), strict=True)
         columns = list(zip(*found, strict=True)) or [(), (), ()]
-        id_type = pa.int64()
-        return pa.table([pa.array(columns[0], id_type), pa.array(columns[1], id_type), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"])
+        kinds = (pa.int64(), pa.int64(), pa.float64())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "vec_id", "score"])
 
-    found = queries.groupBy("part", "block").cogroup(index.groupBy("part", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
+    found = queries.groupBy("block").cogroup(index.groupBy("block")).applyInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score", F.lit(router.probes).alias("probes"), F.lit(parts).alias("parts"))
