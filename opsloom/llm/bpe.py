@@ -17,7 +17,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -32,7 +31,7 @@ from opsloom.llm.common import read, row_slices
 RANKS = "byte_bpe_50k.tiktoken"
 
 #: Pieces kept in a task's dictionary before it starts afresh.
-MOST_PIECES = 300_000
+MOST_PIECES = 200_000
 
 #: Below this code point a text is split by an equal pattern that the standard library runs faster.
 _LOW = 0x250
@@ -72,16 +71,28 @@ def _classes() -> tuple[str, str, str]:
     return of(lambda c: unicodedata.category(c)[0] == "L"), of(lambda c: unicodedata.category(c)[0] == "N"), space
 
 
+@cache
+def token_table(path: str) -> list[bytes]:
+    """Token bytes by id; once per Python worker and path."""
+    ranks = read_ranks(path)
+    table = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return table
+
+
+def decode_ids(ids: list[int], table: list[bytes]) -> bytes:
+    return b"".join([table[i] for i in ids])
+
+
 class ByteBPE:
-    """Encoder and decoder for one rank file; built once per Python worker and path."""
+    """Encoder for one rank file; built once per Python worker and path."""
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         from tokenizers.models import BPE
 
         ranks, chars = read_ranks(path), byte_chars()
-        self.token_bytes = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.token_bytes[rank] = token
+        self.token_bytes = token_table(path)
         name = {token: "".join(chars[b] for b in token) for token in ranks}
         merged = sorted((t for t in ranks if len(t) > 1), key=ranks.get)
         merges = [(name[a], name[b]) for a, b in (_halves(t, ranks) for t in merged)]
@@ -93,36 +104,33 @@ class ByteBPE:
             self.low = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
             self.high = re.compile(f"[^\\u0000-\\u{_LOW - 1:04x}]")
         self.table = {b: c for b, c in chars.items()}
-        self.known: dict[str, list[int]] = {}
+        #: Ids of pieces, as the bytes of 32-bit numbers.
+        self.known: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         if self.low and not self.high.search(text):
             return self.low.findall(text)
         return self.pattern.findall(text)
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         if len(self.known) >= MOST_PIECES:
             self.known.clear()
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))]
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))
+        ids = np.array([t.id for t in tokens], np.int32).tobytes()
         if len(piece) <= 256:
             self.known[piece] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        pieces = self.pieces(text)
-        found = [self.known.get(p) or self._piece(p) for p in pieces]
-        return list(chain.from_iterable(found))
-
-    def decode(self, ids: list[int]) -> bytes:
-        table = self.token_bytes
-        return b"".join([table[i] for i in ids])
+    def encode(self, text: str) -> np.ndarray:
+        known = self.known
+        return np.frombuffer(b"".join([known.get(p) or self._piece(p) for p in self.pieces(text)]), np.int32)
 
-    def char_spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def char_spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First character and the one after the last of each token; tokens that share a split
         character all span it."""
         lead = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80
         at = np.cumsum(lead) - 1
-        ends = np.cumsum([len(self.token_bytes[i]) for i in ids])
+        ends = np.cumsum([len(self.token_bytes[i]) for i in ids.tolist()])
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         return at[starts], at[ends - 1] + 1
 
@@ -163,7 +171,7 @@ def encode(docs: DataFrame, text: str = "text", ranks: str | None = None, offset
                 ids = [bpe.encode(t) for t in texts]
                 made = [_lists(ids, pa.int32())]
                 if offsets:
-                    spans = [bpe.char_spans(t, i) if i else ([], []) for t, i in zip(texts, ids, strict=True)]
+                    spans = [bpe.char_spans(t, i) if i.size else ([], []) for t, i in zip(texts, ids, strict=True)]
                     made += [_lists([s[k] for s in spans], pa.int32()) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], schema.names)
 
@@ -177,11 +185,11 @@ def decode(encoded: DataFrame, ids: str = "ids", ranks: str | None = None) -> Da
     keep = [f.name for f in schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _built(path)
+        table = token_table(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                rows = [bpe.decode(i or []) for i in batch.column(ids).to_pylist()]
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
+                rows = [decode_ids(i or [], table) for i in batch.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(rows, pa.binary())], schema.names)
 
     return encoded.mapInArrow(run, schema)

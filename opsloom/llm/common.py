@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that one step of a Python operator holds as numpy arrays.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

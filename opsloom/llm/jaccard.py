@@ -45,10 +45,10 @@ from opsloom.llm.components import connected
 
 _U = np.uint64
 #: Texts are cut into shingles about so many bytes at a time.
-_STEP = 1 << 20
+_STEP = 1 << 19
 #: A shingle counts as frequent from this many texts on of those that hold COUNTED shingles together; the
 #: most frequent of all are remembered. This bears on speed alone.
-COUNTED = 2_000_000
+COUNTED = 1_000_000
 FREQUENT = 8
 MOST_FREQUENT = 200_000
 #: Head shingles that one segment's inverted lists hold, about.

@@ -227,7 +227,6 @@ def test_neighbours(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = neighbours.nearest(table, F.col("vec_id") % 20 == 0, k=5).collect()
     assert {r["query_id"] for r in found} == {0, 20, 40}
-    assert [r["vec_id"] for r in sorted((r for r in found if r["query_id"] == 0), key=lambda r: r["rank"])] == [6, 13, 20, 27, 34] or True
     for q in (0, 40):
         own = sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])
         assert [r["score"] for r in own] == sorted((r["score"] for r in own), reverse=True)
@@ -238,7 +237,7 @@ def test_neighbours(spark):
 
 
 def test_many_copies_of_one_vector(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK", 50)
+    monkeypatch.setattr(neighbours, "BLOCK_VALUES", 150)
     rows = [(i, [0.1, 0.2, 0.3] if i % 3 else [float(i % 5), 1.0, 0.3]) for i in range(600)]
     found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, k=20).toPandas()
     for q, own in found.groupby("query_id"):
@@ -290,8 +289,8 @@ def test_bpe_any_text(text):
     global OWN
     if "OWN" not in globals():
         OWN = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
-    ids = bpe._built(path).encode(text)
-    assert ids == OWN.encode_ordinary(text) and bpe._built(path).decode(ids) == text.encode()
+    ids = bpe._built(path).encode(text).tolist()
+    assert ids == OWN.encode_ordinary(text) and bpe.decode_ids(ids, bpe.token_table(path)) == text.encode()
 
 
 def plain_targets(sizes):
