@@ -20,8 +20,6 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op5_jaccard_join": jaccard.op5_jaccard_join,
-    "op6_quality": quality.op6_quality,
     "op8_line_spread": lines.OP8_SQL,
     "op10_source_mix": mixing.OP10_SQL,
 }
