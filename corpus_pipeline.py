@@ -55,7 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the digest of what they decode to."""
-    decoded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text")).drop("text"))
+    decoded = bpe.encode(docs.select("doc_id", "source", "text"), decoded=True)
     return decoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -85,6 +85,22 @@ def decode_ids(ids: list[int], table: list[bytes]) -> bytes:
     return b"".join([table[i] for i in ids])
 
 
+class _Pieces(dict):
+    """Ids of pieces, as the bytes of 32-bit numbers; asks for those that it doesn't hold."""
+
+    def __init__(self, ask):
+        super().__init__()
+        self.ask = ask
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.ask(piece)
+        if len(self) >= MOST_PIECES:
+            self.clear()
+        if len(piece) <= 256:
+            self[piece] = ids
+        return ids
+
+
 class ByteBPE:
     """Encoder for one rank file; built once per Python worker and path."""
 
@@ -104,8 +120,7 @@ class ByteBPE:
             self.low = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
             self.high = re.compile(f"[^\\u0000-\\u{_LOW - 1:04x}]")
         self.table = {b: c for b, c in chars.items()}
-        #: Ids of pieces, as the bytes of 32-bit numbers.
-        self.known: dict[str, bytes] = {}
+        self.known = _Pieces(self._piece)
 
     def pieces(self, text: str) -> list[str]:
         if self.low and not self.high.search(text):
@@ -113,17 +128,11 @@ class ByteBPE:
         return self.pattern.findall(text)
 
     def _piece(self, piece: str) -> bytes:
-        if len(self.known) >= MOST_PIECES:
-            self.known.clear()
         tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))
-        ids = np.array([t.id for t in tokens], np.int32).tobytes()
-        if len(piece) <= 256:
-            self.known[piece] = ids
-        return ids
+        return np.array([t.id for t in tokens], np.int32).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        known = self.known
-        return np.frombuffer(b"".join([known.get(p) or self._piece(p) for p in self.pieces(text)]), np.int32)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.pieces(text))), np.int32)
 
     def char_spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First character and the one after the last of each token; tokens that share a split
@@ -155,11 +164,13 @@ def _with(df: DataFrame, *fields: T.StructField) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name.lower() not in made] + list(fields))
 
 
-def encode(docs: DataFrame, text: str = "text", ranks: str | None = None, offsets: bool = False) -> DataFrame:
-    """Add ids (array<int>) and, if asked, char_start and char_end (array<int>, code points)."""
+def encode(docs: DataFrame, text: str = "text", ranks: str | None = None, offsets: bool = False, decoded: bool = False) -> DataFrame:
+    """Add ids (array<int>) and, if asked, char_start and char_end (array<int>, code points) and decoded
+    (binary), as decode() does, without a second pass through Python."""
     path = ranks or public_tokenizers.path(RANKS)
     array = T.ArrayType(T.IntegerType(), False)
     more = [T.StructField(n, array) for n in ("ids", *(("char_start", "char_end") if offsets else ()))]
+    more += [T.StructField("decoded", T.BinaryType())] * decoded
     schema = _with(docs, *more)
     keep = [f.name for f in schema.fields if f.name not in {m.name for m in more}]
 
@@ -173,6 +184,8 @@ def encode(docs: DataFrame, text: str = "text", ranks: str | None = None, offset
                 if offsets:
                     spans = [bpe.char_spans(t, i) if i.size else ([], []) for t, i in zip(texts, ids, strict=True)]
                     made += [_lists([s[k] for s in spans], pa.int32()) for k in (0, 1)]
+                if decoded:
+                    made.append(pa.array([decode_ids(i.tolist(), bpe.token_bytes) for i in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -198,8 +211,7 @@ def decode(encoded: DataFrame, ids: str = "ids", ranks: str | None = None) -> Da
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids and their decoding, as digests."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs).drop("text"))
-    return both.select(
+    return encode(docs, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
