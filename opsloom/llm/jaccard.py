@@ -52,7 +52,7 @@ COUNTED = 1_000_000
 FREQUENT = 8
 MOST_FREQUENT = 200_000
 #: Head shingles that one segment's inverted lists hold, about.
-SEGMENT_SHINGLES = 2_000_000
+SEGMENT_SHINGLES = 1_000_000
 #: So many candidates of a set are all checked at once.
 FEW = 3
 #: Pairs whose ids are broadcast to read their texts again; more are joined by shuffle.
@@ -170,12 +170,14 @@ class _Segment:
         self.indexed = pc.sum(pc.invert(rows.column("larger"))).as_py()
         heads = [np.frombuffer(t, np.uint32) for t in rows.column("tokens").to_pylist()]
         counts = np.array([h.size for h in heads], np.int64)
-        owner, tokens = np.repeat(np.arange(rows.num_rows), counts), np.concatenate(heads)
-        order = np.argsort(tokens, kind="stable")
-        _, self.begin, self.many = np.unique(tokens[order], return_index=True, return_counts=True)
-        self.postings = owner[order]
-        self.list_of = np.empty(tokens.size, np.int64)
-        self.list_of[order] = np.repeat(np.arange(self.begin.size), self.many)
+        tokens = np.concatenate(heads)
+        order = np.argsort(tokens, kind="stable").astype(np.int32)
+        tokens = tokens[order]
+        self.begin = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        self.many = np.diff(self.begin, append=tokens.size)
+        self.postings = np.repeat(np.arange(rows.num_rows, dtype=np.int32), counts)[order]
+        self.list_of = np.empty(tokens.size, np.int32)
+        self.list_of[order] = np.repeat(np.arange(self.begin.size, dtype=np.int32), self.many)
         self.first = np.concatenate([[0], np.cumsum(counts)])
 
     def searches(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
