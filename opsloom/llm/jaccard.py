@@ -15,7 +15,8 @@ enough are probed in the long lists by binary search. A candidate must also have
 a bound on the overlap by parity bitmaps, which never refuses a link. Last, the rest of a set is probed,
 by binary search again, in the candidate's whole set.
 
-Nothing emits all pairs of a group of copies. Equal sets stand for one another. Of a set with more than
+Nothing emits all pairs of a group of copies. One row stands for all with an equal set, the one of the
+smallest id; only it has a head and is searched for, and the others get its component. Of a set with more than
 FEW candidates only the closest is checked first, then the closest in each other component, then all
 that are still candidates in other components. Only components matter, so a pair within one is never
 checked.
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -259,10 +260,10 @@ def _search(percent: int, turn: str):
 
 
 def summaries(docs: DataFrame, text: str, n: int) -> DataFrame:
-    """(doc_id, size, s1, s2, hot): size and signature of each text's set; rows of null size have instead
-    shingles that many texts share, and in how many."""
+    """(doc_id, key, size, s1, s2, hot): hash of each text, size and signature of its set; rows of null size
+    have instead shingles that many texts share, and in how many."""
     hot_kind = T.ArrayType(T.StructType([T.StructField("token", T.LongType()), T.StructField("texts", T.LongType())]))
-    longs = [T.StructField(c, T.LongType()) for c in ("size", "s1", "s2")]
+    longs = [T.StructField(c, T.LongType()) for c in ("key", "size", "s1", "s2")]
     schema = T.StructType([docs.schema["doc_id"], *longs, T.StructField("hot", hot_kind)])
     arrow_hot = pa.list_(pa.struct([("token", pa.int64()), ("texts", pa.int64())]))
 
@@ -283,7 +284,7 @@ def summaries(docs: DataFrame, text: str, n: int) -> DataFrame:
                 sizes = pa.array([s.size for s in sets], pa.int64())
                 s1, s2 = np.array([signature(s) for s in sets], np.int64).reshape(-1, 2).T
                 none = pa.nulls(batch.num_rows, arrow_hot)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(s1), pa.array(s2), none], schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_key"), sizes, pa.array(s1), pa.array(s2), none], schema.names)
                 if many >= COUNTED:
                     yield said(hot(held), kind)
                     held, many = [], 0
@@ -292,9 +293,26 @@ def summaries(docs: DataFrame, text: str, n: int) -> DataFrame:
 
     def said(found: list[dict], kind: pa.DataType) -> pa.RecordBatch:
         nothing = pa.nulls(1, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.nulls(1, kind), nothing, nothing, nothing, pa.array([found], arrow_hot)], schema.names)
+        return pa.RecordBatch.from_arrays([pa.nulls(1, kind), nothing, nothing, nothing, nothing, pa.array([found], arrow_hot)], schema.names)
 
-    return docs.select("doc_id", text).mapInArrow(run, schema)
+    return docs.select("doc_id", text, text_key(text)).mapInArrow(run, schema)
+
+
+def text_key(text: str) -> Column:
+    """With the id it names a row, but for repeats of the whole row."""
+    return F.xxhash64(text).alias("_key")
+
+
+def one_of_each(known: DataFrame) -> DataFrame:
+    """(s1, s2, size, rep, key): of the rows with an equal set the one with the smallest id."""
+    first = known.filter("size > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("size").alias("size"), F.min(F.struct("doc_id", "key")).alias("first"))
+    return first.select("s1", "s2", "size", F.col("first.doc_id").alias("rep"), F.col("first.key").alias("key"))
+
+
+def representatives(docs: DataFrame, text: str, alike: DataFrame) -> DataFrame:
+    """The rows of docs that alike names; a row that repeats whole may stay more than once."""
+    named = alike.select(F.col("rep").alias("doc_id"), F.col("key").alias("_key"))
+    return docs.select("doc_id", text, text_key(text)).join(named.hint("shuffle_hash"), ["doc_id", "_key"], "left_semi")
 
 
 def heads(docs: DataFrame, text: str, n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray], segments: dict[int, int]) -> DataFrame:
@@ -312,12 +330,11 @@ def heads(docs: DataFrame, text: str, n: int, percent: int, frequent: tuple[np.n
     shared = docs.sparkSession.sparkContext.broadcast((*frequent, segments))
     classes = size_classes(percent)
 
-    def rows(doc_id, s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, segments: dict[int, int]) -> Iterator[tuple]:
+    def rows(doc_id, s: np.ndarray, s1: int, s2: int, tokens: np.ndarray, counts: np.ndarray, segments: dict[int, int]) -> Iterator[tuple]:
         size = s.size
         at = np.minimum(np.searchsorted(tokens, s), max(0, tokens.size - 1))
         often = np.where(tokens[at] == s, counts[at], 0) if tokens.size else np.zeros(size, np.int64)
         head = s[np.argsort(often, kind="stable")[: size - need(size, percent) + slack(size)]]
-        s1, s2 = signature(s)
         whole, own = (doc_id, size, s1, s2, bitmap(s, bitmap_bits(size)).tobytes()), int(np.searchsorted(classes, size, "right")) - 1
         cuts: dict[int, list[dict]] = {}
         for kind in (own, own - 1)[: 1 + (own > 0)]:
@@ -331,11 +348,16 @@ def heads(docs: DataFrame, text: str, n: int, percent: int, frequent: tuple[np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts, segments = shared.value
+        done = set()  # a row that repeats whole has one head here
         for whole in batches:
             for batch in row_slices(whole, text, _STEP):
                 sets = shingle_sets(batch.column(text).to_pylist(), n)
                 named = zip(batch.column("doc_id").to_pylist(), sets, strict=True)
-                found = [r for i, s in named if s.size and i is not None for r in rows(i, s, tokens, counts, segments)]
+                found = []
+                for i, s in named:
+                    if s.size and i is not None and (key := (i, *signature(s))) not in done:
+                        done.add(key)
+                        found += rows(i, s, *key[1:], tokens, counts, segments)
                 if found:
                     id_kind, long = batch.schema.field("doc_id").type, pa.int64()
                     types = [pa.list_(pa.struct([("class", pa.int32()), ("larger", pa.bool_())])), pa.int32(), id_kind, long, long, long, pa.binary(), pa.binary()]
@@ -386,9 +408,10 @@ def jaccard_components(docs: DataFrame, text: str = "text", n: int = 5, percent:
     classes = size_classes(percent).tolist()
     place = F.size(F.filter(F.array(*map(F.lit, classes)), lambda c: c <= F.col("size"))) - 1
     load = F.sum(F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 + F.floor(F.col("size") / 20))
-    loads = known.filter("size > 0").groupBy(place.alias("class")).agg(load.alias("load")).collect()  # a row per class of sizes
+    alike = stored(one_of_each(known), "alike")
+    loads = alike.groupBy(place.alias("class")).agg(load.alias("load")).collect()  # a row per class of sizes
     segments = {r["class"]: -(-int(r["load"]) // SEGMENT_SHINGLES) for r in loads if r["load"] > SEGMENT_SHINGLES}
-    table = stored(heads(docs, text, n, percent, (hot["token"].to_numpy(), hot["texts"].to_numpy(np.int64)), segments), "heads")
+    table = stored(heads(representatives(docs, text, alike), text, n, percent, (hot["token"].to_numpy(), hot["texts"].to_numpy(np.int64)), segments), "heads")
     pair = T.StructType([T.StructField("a", id_kind), T.StructField("b", id_kind)])
     searched, checked, links, labels = table, None, None, None
     for turn in ("first", "each", "all"):
@@ -409,7 +432,6 @@ def jaccard_components(docs: DataFrame, text: str = "text", n: int = 5, percent:
             break
         checked = pairs if checked is None else checked.unionByName(pairs)
         searched = searched.join(still, "doc_id", "left_semi")
-    alike = known.filter("size > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     named = alike.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = named.select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     return known.join(named, ["s1", "s2"], "left").select(
