@@ -1,12 +1,12 @@
 """Quality classifier: random-indexing word vectors, pooled, and a two-layer network.
 
 Words are hashed to BUCKETS rows; each has a fixed sparse random index vector, and its word vector is
-the sum of the index vectors of its neighbours over the training texts, scaled to length 1. Shapes
+the sum of the index vectors of its neighbours over all documents, scaled to length 1. Shapes
 (case, digits, symbols, repetition of the word before) are words of their own. A document is the mean
 of its word vectors beside the mean of its shape vectors. A network of two layers in numpy gives a
 logit, and a temperature fitted on rows kept from its training makes it a probability.
 
-Fitted on labelled rows only, MOST_TRAINING documents at most, chosen by hash of their id, and never
+Word vectors need no labels. The network is fitted on labelled rows only, MOST_TRAINING documents at most, chosen by hash of their id, and never
 on those whose crc32(id) mod 5 is 0; every document is scored, whole. Null and empty texts score what
 the network gives for a document without words. Rows without label take no part in fitting; of a
 document labelled twice the larger label counts. With labels of one kind, or none, every score is the
@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +38,8 @@ HIDDEN = 32
 THRESHOLD = 0.3
 #: Documents are pooled about so many bytes at a time.
 _STEP = 1 << 19
-_CHUNKS = 64
+#: Rows of the word vectors that are added up together.
+_ROWS = 32
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -99,28 +99,39 @@ def _context(texts: list[str | None], index: np.ndarray, sums: np.ndarray) -> No
 
 
 def word_vectors(texts: DataFrame, text: str) -> np.ndarray:
-    """Sums of neighbours over a bounded table, added up by slices of rows; each vector of length 1."""
-    rows = (BUCKETS + SHAPES) // _CHUNKS + 1
+    """Sums of neighbours over all texts, added up by slices of rows; each vector of length 1."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, sums, seen = _index_vectors(), np.zeros((BUCKETS + SHAPES, SIZE), np.float32), False
+        index, sums, seen = _index_vectors(), np.zeros((BUCKETS + SHAPES, SIZE)), False
         for whole in batches:
             for batch in row_slices(whole, text, _STEP):
                 _context(batch.column(text).to_pylist(), index, sums)
                 seen = True
         if seen:
-            parts = [sums[i * rows : (i + 1) * rows].tobytes() for i in range(_CHUNKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array(parts, pa.binary())], ["slice", "sums"])
-
-    def total(parts: pd.DataFrame) -> pd.DataFrame:
-        added = sum(np.frombuffer(p, np.float32).astype(np.float64) for p in parts["sums"])
-        return pd.DataFrame({"slice": parts["slice"].iloc[:1], "sums": [added.astype(np.float32).tobytes()]})
-
-    kind = "slice int, sums binary"
-    found = texts.select(text).mapInArrow(partial, kind).groupBy("slice").applyInPandas(total, kind).collect()
+            yield slices(sums)
+
+    def slices(sums: np.ndarray) -> pa.RecordBatch:
+        """Of the rows that aren't zero, each slice's places and sums."""
+        used = np.flatnonzero(sums.any(1))
+        found = [(int(k), used[used // _ROWS == k]) for k in np.unique(used // _ROWS)]
+        at = [rows.astype(np.int32).tobytes() for _, rows in found]
+        parts = [sums[rows].astype(np.float32).tobytes() for _, rows in found]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array(at, pa.binary()), pa.array(parts, pa.binary())], ["slice", "rows", "sums"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # sums are of whole numbers, so their order doesn't matter
+        sums = np.zeros((BUCKETS + SHAPES, SIZE))
+        for batch in batches:
+            for at, part in zip(batch.column("rows").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                sums[np.frombuffer(at, np.int32)] += np.frombuffer(part, np.float32).reshape(-1, SIZE)
+        yield slices(sums)
+
+    kind = "slice int, rows binary, sums binary"
+    # each slice is added up by one task, as it is read
+    found = texts.select(text).mapInArrow(partial, kind).repartition("slice").mapInArrow(total, kind).collect()
     vectors = np.zeros((BUCKETS + SHAPES, SIZE), np.float32)
     for r in found:
-        vectors[r["slice"] * rows : (r["slice"] + 1) * rows] = np.frombuffer(r["sums"], np.float32).reshape(-1, SIZE)
+        vectors[np.frombuffer(r["rows"], np.int32)] = np.frombuffer(r["sums"], np.float32).reshape(-1, SIZE)
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
 
 
@@ -194,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> tuple[np.nd
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
     # the choice is bounded (MOST_TRAINING ids, give or take the hash), so it may be broadcast
     rows = stored(docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).repartition(8, "doc_id"), "quality-training")
-    vectors = word_vectors(rows, "text")
+    vectors = word_vectors(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
