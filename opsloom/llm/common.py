@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: A word, wherever an operator counts or splits words.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Keys that a table of heavy keys may hold, so that it can be broadcast whatever the input.
+HEAVY_KEYS = 20_000
+
 #: Bytes of text that one step of a Python operator holds as numpy arrays.
 STEP_BYTES = 2 << 20
 
@@ -24,13 +27,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; only where none is set, one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors share. Where none is set, one of our own, if all run on
+    this machine; else there is none that all could see, which is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        known = spark.sparkContext.getCheckpointDir()
-        base = known or tempfile.mkdtemp(prefix="opsloom-")
-        if not known:
-            spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="opsloom-")
+        spark.sparkContext.setCheckpointDir(base)
     return base
 
 
@@ -45,6 +49,22 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def heavy(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """Of a table (key, n) the keys that hold more than 1 / HEAVY_KEYS of the sum of n, so fewer than
+    HEAVY_KEYS; stored."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return stored(counts.filter(F.col(n) * HEAVY_KEYS > total).select(key), "heavy")
+
+
+def join_heavy(rows: DataFrame, table: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """rows joined to a table with a row for each key at most. The rows of heavy keys stay where they are and
+    meet a broadcast part of the table, of fewer than HEAVY_KEYS rows; of any other key so few rows are left
+    that they may meet in one task."""
+    few = F.broadcast(keys)
+    light = rows.join(few, key, "left_anti").join(table, key)
+    return rows.join(F.broadcast(table.join(few, key, "left_semi")), key).unionByName(light)
+
+
 def row_slices(batch: pa.RecordBatch, text: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into slices of about `most` bytes of the column text, one row at least."""
     sizes = pc.binary_length(batch.column(text)).fill_null(0).to_pylist()

@@ -5,6 +5,10 @@ Lines whose estimate is clearly above the threshold are boilerplate; those near
 distinct count. A boilerplate line stays in the document with the smallest id that has it and goes
 from all others. Lines shorter than `min_chars` are never boilerplate.
 
+A line that very many documents have meets its verdict by broadcast, where its rows lie; fewer than HEAVY_KEYS
+lines can be such. Other lines are joined by shuffle. The places of a document's lines to remove come
+together in one row; its text is then put together from the slices between them.
+
 Null text stays null and has no lines; a null site is a site of its own; with a null id a document
 keeps nothing on behalf of others. Rows that repeat an id count as one document. Lines that stay keep
 their order. The made columns replace input columns of the same names.
@@ -15,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm.common import read
+from opsloom.llm.common import HEAVY_KEYS, join_heavy, read, stored
 
 SITES = 6
 MIN_CHARS = 20
@@ -33,33 +37,51 @@ def _long(line: Column, min_chars: int) -> Column:
 
 
 def line_hashes(docs: DataFrame, text: str, site: str, min_chars: int) -> DataFrame:
-    """(doc_id, site, line): a row for each line that can be boilerplate; hashes for site and text."""
-    rows = docs.select("doc_id", F.xxhash64(site).alias("site"), F.explode(F.filter(_split(text), lambda x: _long(x, min_chars))).alias("_line"))
-    return rows.select("doc_id", "site", F.xxhash64("_line").alias("line"))
+    """(doc_id, key, site, line, pos): a row for each line that can be boilerplate; hashes for text, site and
+    line, and the line's place in its text."""
+    rows = docs.select("doc_id", F.xxhash64(text).alias("key"), F.xxhash64(site).alias("site"), F.posexplode(_split(text)).alias("pos", "_line"))
+    return rows.filter(_long(F.col("_line"), min_chars)).select("doc_id", "key", "site", F.xxhash64("_line").alias("line"), "pos")
+
+
+def boilerplate(rows: DataFrame, sites: int = SITES) -> tuple[DataFrame, DataFrame]:
+    """(line, keeper) of the lines that at least `sites` sites have, by hash, and of all lines the heavy ones."""
+    total = rows.count()
+    spread = rows.groupBy("line").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min("doc_id").alias("keeper"), F.count("*").alias("n"))
+    about = F.hll_sketch_estimate("sketch")
+    judged = spread.select("line", "keeper", about.alias("about"), (F.col("n") * HEAVY_KEYS > total).alias("heavy"))
+    judged = stored(judged.filter((F.col("about") >= sites * (1 - NEAR)) | F.col("heavy")), "line-spread")
+    heavy = judged.filter("heavy").select("line")
+    near = judged.filter(F.col("about").between(sites * (1 - NEAR), sites * (1 + NEAR))).select("line", "keeper")
+    clear = judged.filter(F.col("about") > sites * (1 + NEAR)).select("line", "keeper")
+    # sites are made distinct before the shuffle, so a line that many documents have sends few rows
+    here = join_heavy(rows.select("line", "site"), near, "line", heavy).groupBy("line", "keeper", "site").agg(F.lit(1).alias("one"))
+    exact = here.groupBy("line", "keeper").agg(F.count("*").alias("exact")).filter(F.col("exact") >= sites)
+    return stored(clear.unionByName(exact.select("line", "keeper")), "boilerplate"), heavy
 
 
-def boilerplate(rows: DataFrame, sites: int = SITES) -> DataFrame:
-    """(line, keeper): hashes of the lines that at least `sites` sites have."""
-    spread = rows.groupBy("line").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min("doc_id").alias("keeper"))
-    judged = spread.select("line", "keeper", F.hll_sketch_estimate("sketch").alias("about")).filter(F.col("about") >= sites * (1 - NEAR))
-    clear = judged.filter(F.col("about") > sites * (1 + NEAR)).select("line", "keeper")
-    near = judged.filter(F.col("about") <= sites * (1 + NEAR)).select("line", "keeper")
-    counted = rows.join(near, "line").groupBy("line", "keeper").agg(F.count_distinct("site").alias("exact"))
-    return clear.unionByName(counted.filter(F.col("exact") >= sites).select("line", "keeper"))
+def _without(lines: Column, gone: Column) -> Column:
+    """Lines but for those at these sorted places: the slices between the places, so each line is copied once."""
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.get(gone, i - 1) + 1)
+
+    def kept(lines: Column) -> Column:
+        ends = F.concat(gone, F.array(F.size(lines)))
+        return F.flatten(F.transform(ends, lambda end, i: F.slice(lines, begin(i) + 1, end - begin(i))))
+
+    # a lambda's variable is worked out once, whatever is made of it
+    return F.get(F.transform(F.array(lines), kept), 0)
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", site: str = "source", sites: int = SITES, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with text cleaned, n_lines and n_removed (long)."""
-    rows = line_hashes(docs, text, site, min_chars)
-    gone = rows.join(boilerplate(rows, sites), "line").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    gone = gone.groupBy("doc_id").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc_id", "_id")
-    marked = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    stays = F.filter(_split(text), lambda x: ~(_long(x, min_chars) & F.array_contains("_gone", F.xxhash64(x))))
+    rows = stored(line_hashes(docs, text, site, min_chars), "lines")
+    found, heavy = boilerplate(rows, sites)
+    gone = join_heavy(rows.drop("site"), found, "line", heavy).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.sort_array(F.collect_set("pos")).alias("_gone"))
+    marked = docs.withColumn("_own", F.xxhash64(text)).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left").drop("_id", "_key", "_own")
     touched = F.col("_gone").isNotNull()
-    made = marked.withColumns({"_kept": F.when(touched, stays), "n_lines": F.coalesce(F.size(_split(text)), F.lit(0)).cast("long")})
-    made = made.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
-    made = made.withColumn("n_removed", F.when(touched, F.col("n_lines") - F.size("_kept")).otherwise(0).cast("long"))
-    return made.withColumn(text, F.when(touched, F.array_join("_kept", "\n")).otherwise(F.col(text))).drop("_gone", "_kept")
+    made = marked.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(_split(text))).cast("long"))
+    made = made.withColumn("n_removed", F.when(touched, F.size("_gone")).otherwise(0).cast("long"))
+    return made.withColumn(text, F.when(touched, F.array_join(_without(_split(text), F.col("_gone")), "\n")).otherwise(F.col(text))).drop("_gone")
 
 
 def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
