@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -309,10 +310,33 @@ def plain_targets(sizes):
         left -= sum(2.0 * sizes[s] for s in over)
 
 
-def test_mixing(spark, docs, none, clashing):
+def plain_queue(rows, wanted, repeats=2):
+    """Taken words of each row by sorting all packets of all copies."""
+    order = sorted(rows, key=lambda r: (int(hashlib.md5(f"{'' if r[0] is None else r[0]}:mix".encode()).hexdigest()[:8], 16), r[0] or 0, len(r[1].split())))
+    names = sorted({s for *_, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    before, packets = dict.fromkeys(names, 0), []
+    size = {s: sum(len(t.split()) for _, t, o in rows if o == s) for s in names}
+    for i, t, s in order:
+        n, packet = len(t.split()), max(1, int(wanted[s] // 1000))
+        for copy in range(repeats):
+            for k in range(0, n, packet):
+                begun, words = before[s] + copy * size[s] + k, min(packet, n - k)
+                packets.append(((begun + words) / wanted[s], names.index(s), begun, words, i))
+        before[s] += n
+    taken, left = dict.fromkeys((i for i, *_ in rows), 0), int(1.5 * sum(size.values()))
+    for *_, words, i in sorted(packets):
+        taken[i] += min(words, left)
+        left -= min(words, left)
+    return taken
+
+
+@pytest.mark.parametrize("rows_per_range", [5000, 40])
+def test_mixing(spark, docs, none, clashing, monkeypatch, rows_per_range):
+    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", rows_per_range)
     rng = random.Random(3)
-    rows = [(i, "w " * rng.randint(0, 40), rng.choice(["a", "b", "ä", "c", None])) for i in range(300)] + [(i, "x " * 5, "big") for i in range(300, 700)]
-    plan = mixing.schedule(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    rows = [(i, "w " * rng.randint(0, 40), rng.choice(["a", "b", "ä", "c", None])) for i in range(300)] + [(i, "x " * 5, "big") for i in range(300, 700)] + [(700, "y " * 9000, "long")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    plan = mixing.schedule(*mixing.measured(table)).collect()
     sizes = {}
     for _, t, s in rows:
         sizes[s] = sizes.get(s, 0) + len(t.split())
@@ -320,11 +344,14 @@ def test_mixing(spark, docs, none, clashing):
     for s, n in sizes.items():
         own = [r for r in plan if r["source"] == s]
         assert own[0]["source_size"] == n and own[0]["target"] == pytest.approx(wanted[s])
-        assert abs(sum(r["taken"] for r in own) - wanted[s]) <= 1
+        assert abs(sum(r["taken"] for r in own) - wanted[s]) <= 2 + wanted[s] / 500
         assert all(r["taken"] <= 2 * r["size"] for r in own)
-    assert mixing.schedule(docs).count() == len(ROWS) and mixing.schedule(none).count() == 0 and mixing.mix(none).count() == 0
-    assert mixing.schedule(clashing).count() == len(ROWS)
-    order = [r["finish"] for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+    assert sum(r["taken"] for r in plan) == int(1.5 * sum(sizes.values()))
+    assert {r["doc_id"]: r["taken"] for r in plan} == plain_queue(rows, {r["source"]: r["target"] for r in plan})
+    for table_ in (docs, none, clashing):
+        assert mixing.schedule(*mixing.measured(table_)).count() == table_.count()
+    assert mixing.mix(none).count() == 0
+    order = [r["finish"] for r in mixing.mix(table).collect()]
     assert order == sorted(order)
 
 
