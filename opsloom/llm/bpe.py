@@ -2,9 +2,10 @@
 
 A text is split by the vocabulary's pattern; each piece is mapped from bytes to the printable
 characters of byte-level vocabularies and merged by the library's BPE model. Pieces repeat, so a
-bounded dictionary per Arrow stream keeps what the model said of each. Decoding looks token bytes
-up by reversing the byte table; a character split over tokens comes together when their bytes are
-joined.
+bounded dictionary per Arrow stream keeps what the model said of each. Decoding reverses the byte table
+over the vocabulary's strings, so that each character of a token gives back its byte; a character split
+over tokens comes together when their bytes are joined. Offsets count code points; tokens that share a
+split character all span it, as the library's own offsets do.
 
 Null text counts as empty and gives no tokens; repeated rows give repeated results; an empty table
 gives an empty table. Columns named like an output are replaced.
@@ -71,13 +72,25 @@ def _classes() -> tuple[str, str, str]:
     return of(lambda c: unicodedata.category(c)[0] == "L"), of(lambda c: unicodedata.category(c)[0] == "N"), space
 
 
+@cache
+def vocabulary(path: str) -> dict[str, int]:
+    """Token -> id as the library's model holds it: a printable character for each byte."""
+    chars = byte_chars()
+    return {"".join(chars[b] for b in token): rank for token, rank in read_ranks(path).items()}
+
+
+def char_bytes() -> dict[str, int]:
+    """The byte table reversed: printable character -> byte."""
+    return {c: b for b, c in byte_chars().items()}
+
+
 @cache
 def token_table(path: str) -> list[bytes]:
-    """Token bytes by id; once per Python worker and path."""
-    ranks = read_ranks(path)
-    table = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        table[rank] = token
+    """What each id decodes to: its token's characters by the reversed byte table; once per Python worker and path."""
+    tokens, back = vocabulary(path), char_bytes()
+    table = [b""] * (max(tokens.values()) + 1)
+    for token, rank in tokens.items():
+        table[rank] = bytes([back[c] for c in token])
     return table
 
 
@@ -109,10 +122,11 @@ class ByteBPE:
 
         ranks, chars = read_ranks(path), byte_chars()
         self.token_bytes = token_table(path)
+        self.lengths = np.array([len(t) for t in self.token_bytes])
         name = {token: "".join(chars[b] for b in token) for token in ranks}
         merged = sorted((t for t in ranks if len(t) > 1), key=ranks.get)
         merges = [(name[a], name[b]) for a, b in (_halves(t, ranks) for t in merged)]
-        self.model = BPE(vocab={name[t]: r for t, r in ranks.items()}, merges=merges)
+        self.model = BPE(vocab=vocabulary(path), merges=merges)
         self.pattern = regex.compile(pattern)
         self.low = None
         if pattern == public_tokenizers.PATTERN:
@@ -139,7 +153,7 @@ class ByteBPE:
         character all span it."""
         lead = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80
         at = np.cumsum(lead) - 1
-        ends = np.cumsum([len(self.token_bytes[i]) for i in ids.tolist()])
+        ends = np.cumsum(self.lengths[ids])
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         return at[starts], at[ends - 1] + 1
 
@@ -209,11 +223,13 @@ def decode(encoded: DataFrame, ids: str = "ids", ranks: str | None = None) -> Da
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's ids and their decoding, as digests."""
+    """Every document's ids, their offsets and their decoding, as digests."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode(docs, decoded=True).select(
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), " ")
+    return encode(docs, offsets=True, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(joined("ids"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        F.sha2(F.concat_ws(",", joined("char_start"), joined("char_end")), 256).alias("offsets_sha256"),
     )

@@ -295,6 +295,40 @@ def test_bpe_any_text(text):
     assert ids == OWN.encode_ordinary(text) and bpe.decode_ids(ids, bpe.token_table(path)) == text.encode()
 
 
+def library_offsets(texts):
+    """What the library itself says of offsets, with its own splitting and byte mapping."""
+    import public_tokenizers
+    from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+    built = bpe._built(public_tokenizers.path(bpe.RANKS))
+    whole = Tokenizer(built.model)
+    split = pre_tokenizers.Split(Regex(public_tokenizers.PATTERN), "isolated")
+    whole.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return [whole.encode(t, add_special_tokens=False) for t in texts]
+
+
+def test_bpe_offsets_are_the_library_s(docs):
+    import public_tokenizers
+
+    built = bpe._built(public_tokenizers.path(bpe.RANKS))
+    texts = [r[1] for r in ROWS if r[1]] + ["日本語のテキスト 🤷🏽‍♀️ zażółć", "a\u0301 é ñ", "  two  spaces \n\n x"]
+    for text, said in zip(texts, library_offsets(texts), strict=True):
+        ids = built.encode(text)
+        assert said.ids == ids.tolist()
+        assert [tuple(map(int, s)) for s in zip(*built.char_spans(text, ids), strict=True)] == said.offsets
+
+
+def test_byte_table_is_reversed():
+    back = bpe.char_bytes()
+    assert sorted(back.values()) == list(range(256)) and all(back[c] == b for b, c in bpe.byte_chars().items())
+    import public_tokenizers
+
+    path = public_tokenizers.path(bpe.RANKS)
+    assert all(bpe.token_table(path)[i] == token for token, i in bpe.read_ranks(path).items())
+    halves = bpe._built(path).encode("🤷").tolist()
+    assert len(halves) > 1 and bpe.decode_ids(halves, bpe.token_table(path)).decode() == "🤷"
+
+
 def plain_targets(sizes):
     """Reshare what is above the caps until nothing is."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]

@@ -97,6 +97,11 @@ def test_bpe_is_what_tiktoken_says(spark, sf):
         ids = own.encode_ordinary(texts[r["doc_id"]])
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+        place = [k for k, c in enumerate(texts[r["doc_id"]]) for _ in c.encode()]
+        ends = np.cumsum([len(own.decode_single_token_bytes(i)) for i in ids]).tolist()
+        starts = [place[e] for e in [0, *ends[:-1]]] if ids else []
+        said = " ".join(map(str, starts)) + "," + " ".join(str(place[e - 1] + 1) for e in ends)
+        assert r["offsets_sha256"] == hashlib.sha256(said.encode()).hexdigest()
 
 
 def test_languages_of_pages(spark, sf):
