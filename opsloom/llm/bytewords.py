@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -61,3 +63,35 @@ def words_of(texts: list[str | None]) -> Words:
     ends_at = np.cumsum([len(c) + 1 for c in coded]) if coded else np.zeros(0, np.int64)
     first = np.concatenate([[0], np.searchsorted(start, ends_at)]).astype(np.int64)
     return Words(_FOLD[raw], raw, start, end - start, first)
+
+
+#: A longer text is worked on in pieces of about so many code points, cut at white space.
+PIECE = 1 << 19
+_GAP = re.compile("[\x20\x09-\x0d]")
+
+
+def pieces(text: str, most: int = PIECE) -> Iterator[str]:
+    """A text cut at white space, so that its words are those of its pieces; a word is never cut."""
+    at = 0
+    while len(text) - at > most:
+        gap = _GAP.search(text, at + most)
+        if not gap:
+            break
+        yield text[at : gap.start()]
+        at = gap.end()
+    yield text[at:]
+
+
+def groups(texts: list[str | None], most: int = PIECE) -> Iterator[tuple[list[int], list[str]]]:
+    """Texts, the long ones in pieces, in groups of about `most` code points: whose each piece is, and the pieces."""
+    owners, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        for piece in pieces(text or "", most):
+            if held and size + len(piece) > most:
+                yield owners, held
+                owners, held, size = [], [], 0
+            owners.append(i)
+            held.append(piece)
+            size += len(piece)
+    if held:
+        yield owners, held

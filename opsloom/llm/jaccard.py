@@ -24,7 +24,8 @@ checked.
 Null and empty texts have empty sets and link with nothing, not even one another. Rows that repeat an
 id are one document if their texts have equal sets; otherwise the id's links are those of all its
 texts. A row without id takes part in no link; its component is that of a row with an id and an equal
-set, else null. A text is held by one task alone. Empty tables give empty tables.
+set, else null. A text is held by one task alone; a very long one is hashed in pieces, and then takes some
+50 bytes for each of its words. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsloom.llm.bytewords import mixed, words_of
+from opsloom.llm.bytewords import groups, mixed, words_of
 from opsloom.llm.common import read, row_slices, stored
 from opsloom.llm.components import connected
 
@@ -62,15 +63,19 @@ BROADCAST_IDS = 1_000_000
 
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; with fewer than n words, the whole text's as one."""
-    w = words_of(texts)
-    h = w.hashes()
+    hashes, first = [], np.zeros(len(texts) + 1, np.int64)
+    for owners, held in groups(texts, _STEP):
+        w = words_of(held)
+        hashes.append(w.hashes())
+        np.add.at(first, np.array(owners) + 1, np.diff(w.first))
+    h, first = np.concatenate(hashes) if hashes else np.zeros(0, _U), np.cumsum(first)
     grams = np.zeros(max(0, h.size - n + 1), _U)
     with np.errstate(over="ignore"):
         for k in range(n):
             grams += h[k : h.size - n + 1 + k] * _U(0x9E3779B97F4A7C15 + 2 * k * 0x1D8E4E27C47D124F & (1 << 64) - 1 | 1)
     grams = mixed(grams)
     sets = []
-    for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= n:
             sets.append(np.unique(grams[a : b - n + 1]))
         elif b > a:

@@ -5,7 +5,7 @@ models, the language that the markup declares, the language that the address nam
 at the end of the host, or a language code as first path segment), and a prior for the host. What a
 declaration or an address suffix is worth is measured: how often each occurs with each language by text
 alone, by grouped aggregation. Host priors are smoothed hierarchically: a host's counts towards those of
-its domain, a domain's towards those of all pages.
+its domain, a domain's towards those of all pages; a page's own text is left out of all three.
 
 Trigram models are fitted on texts with known language, MOST_TRAINING at most, chosen by hash; every page
 is judged on its whole text. Trigrams of one text depend on each other, so its likelihood counts as that
@@ -13,7 +13,8 @@ of EFFECTIVE trigrams at most.
 
 Null or empty markup leaves the text without weight; a null URL has an empty host; a declaration that is
 missing or unknown counts as a kind of its own. Ties go to the language that is first by name. Without
-texts of known language, lang is null. Repeated pages count repeatedly in the statistics and get equal
+texts of known language, lang is null. A very long page takes time in proportion, and
+memory for its text alone, in one task. Repeated pages count repeatedly in the statistics and get equal
 results. Columns named like an output are replaced.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsloom.llm.common import read, row_slices, stored
+from opsloom.llm.common import STEP_BYTES, read, row_slices, stored
 
 BUCKETS = 1 << 14
 MOST_TRAINING = 4000
@@ -39,28 +40,65 @@ EFFECTIVE = 40.0
 SMOOTH = 5.0
 #: Country labels at the end of a host and the language they speak for.
 COUNTRIES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "uk": "en", "us": "en", "au": "en", "ie": "en"}
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)|<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?([A-Za-z]+)", re.I)
+_UNSEEN = re.compile(r"<(script|style)\b", re.I)
+_CLOSE = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style")}
+_TAG = re.compile(r"<(html|meta)\b", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
+_NAMES = re.compile("content-language", re.I)
+_CONTENT = re.compile(r"content\s*=\s*[\"']?([A-Za-z]+)", re.I)
 _MULTIPLIER = np.uint32(2654435761)
 
 
 def visible(page: str) -> str:
-    """A page's text without markup, scripts and styles."""
-    return html.unescape(_HIDDEN.sub(" ", page))
+    """A page's text without markup, scripts and styles. One scan from left to right: what an end was looked for
+    in vain for isn't looked for again, so hostile markup takes no more time than other."""
+    shown, at, missing = [], 0, set()
+    while (tag := page.find("<", at)) >= 0:
+        shown.append(page[at:tag])
+        at = -1
+        if page.startswith("<!--", tag) and "comment" not in missing:
+            end = page.find("-->", tag + 4)
+            at = end + 3 if end >= 0 else -1
+            missing |= {"comment"} if end < 0 else set()
+        elif (kind := _UNSEEN.match(page, tag)) and (name := kind[1].lower()) not in missing:
+            close = _CLOSE[name].search(page, kind.end())
+            at = close.end() if close else -1
+            missing |= set() if close else {name}
+        if at < 0:
+            at = page.find(">", tag) + 1
+            if not at:
+                shown[-1] += page[tag:]
+                break
+    else:
+        shown.append(page[at:])
+    return html.unescape(" ".join(shown))
 
 
 def declared(page: str) -> str:
-    """The language code that the markup declares, in lower case; else empty."""
-    m = _DECLARED.search(page)
-    return (m[1] or m[2]).lower() if m else ""
-
-
-def trigrams(text: str) -> np.ndarray:
-    """Bucket of each byte trigram of the lower-cased text."""
-    b = np.frombuffer(text.lower().encode(), np.uint8).astype(np.uint32)
-    if b.size < 3:
-        return np.zeros(0, np.int64)
-    return ((b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]) * _MULTIPLIER >> np.uint32(32 - 14)).astype(np.int64)
+    """The language code that the markup declares, in lower case; else empty. Each tag is read once, to its end."""
+    at = 0
+    while tag := _TAG.search(page, at):
+        at = page.find(">", tag.end())
+        inside = page[tag.end() : at if at >= 0 else len(page)]
+        if tag[1].lower() == "html":
+            said = _LANG.search(inside)
+        else:
+            names = _NAMES.search(inside)
+            said = _CONTENT.search(inside, names.end()) if names else None
+        if said:
+            return said[1].lower()
+        if at < 0:
+            break
+    return ""
+
+
+def trigram_counts(text: str) -> np.ndarray:
+    """How often each bucket has a byte trigram of the lower-cased text."""
+    raw, counts = np.frombuffer(text.lower().encode(), np.uint8), np.zeros(BUCKETS, np.int64)
+    for at in range(0, raw.size - 2, STEP_BYTES):
+        b = raw[at : at + STEP_BYTES + 2].astype(np.uint32)
+        counts += np.bincount((b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]) * _MULTIPLIER >> np.uint32(32 - 14), minlength=BUCKETS)
+    return counts
 
 
 def fit(texts: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
@@ -73,7 +111,7 @@ def fit(texts: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
             for t, k in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                counts[k] = counts.get(k, 0) + np.bincount(trigrams(t), minlength=BUCKETS)
+                counts[k] = counts.get(k, 0) + trigram_counts(t)
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c.astype(np.int64).tobytes() for c in counts.values()], pa.binary())], ["lang", "counts"])
 
@@ -101,10 +139,8 @@ def text_evidence(pages: DataFrame, languages: list[str], model: np.ndarray, mar
             for batch in row_slices(whole, markup):
                 declarations, said = [], []
                 for page in batch.column(markup).to_pylist():
-                    grams = trigrams(visible(page or ""))
-                    counts = np.bincount(grams, minlength=BUCKETS)
-                    line = counts @ table
-                    said.append((line * min(1.0, EFFECTIVE / max(1, grams.size))).tolist())
+                    counts = trigram_counts(visible(page or ""))
+                    said.append((counts @ table * min(1.0, EFFECTIVE / max(1, counts.sum()))).tolist())
                     declarations.append(declared(page or ""))
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(declarations), pa.array(said, pa.list_(pa.float64()))], schema.names)
 
@@ -146,13 +182,16 @@ def identify(pages: DataFrame, texts: DataFrame, url: str = "url", markup: str =
         return rows.groupBy(*key).agg(*sums).select(*key, F.array(*(f"_{k}" for k in range(n))).alias("c"))
 
     world = rows.agg(*sums).select(F.array(*(F.coalesce(F.col(f"_{k}"), F.lit(0.0)) for k in range(n))).alias("c")).first()["c"]
-    prior = [(c + 1.0) / (sum(world) + n) for c in world]
     lit = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
     size = lambda c: F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
+    hosts = counts("host", "domain").join(counts("domain").withColumnRenamed("c", "_of_domain"), "domain").select("host", F.col("c").alias("_of_host"), "_of_domain")
+    own = F.col("alone")
+
+    def others(c: Column) -> Column:
+        """Counts without the page itself, or a host's only page would vote for what it says already."""
+        return F.transform(c, lambda x, i: F.greatest(F.lit(0.0), x - F.get(own, i)))
+
     smooth = lambda c, above: F.transform(c, lambda x, i: (x + SMOOTH * F.get(above, i)) / (size(c) + SMOOTH))
-    domains = counts("domain").select("domain", smooth(F.col("c"), lit(prior)).alias("domain_prior"))
-    hosts = counts("host", "domain").join(domains, "domain")
-    hosts = hosts.select("host", smooth(F.col("c"), F.col("domain_prior")).alias("host_prior"))
 
     def worth(key: str) -> DataFrame:
         """log P(value | language) of each value of key; a value's share among all pages is its base."""
@@ -161,7 +200,10 @@ def identify(pages: DataFrame, texts: DataFrame, url: str = "url", markup: str =
         return table.select(key, F.transform("c", lambda x, i: F.log((x + SMOOTH * size(F.col("c")) / weight) / (F.get(lit(world), i) + SMOOTH))).alias(f"{key}_worth"))
 
     joined = rows.join(hosts, "host", "left").join(worth("declared"), "declared", "left").join(worth("named"), "named", "left")
-    logs = F.transform("said", lambda x, i: x + F.log(F.get("host_prior", i)) + F.get("declared_worth", i) + F.get("named_worth", i))
+    joined = joined.withColumn("_world", F.transform(others(lit(world)), lambda x: (x + 1.0) / (size(others(lit(world))) + n)))
+    joined = joined.withColumn("_domain_prior", smooth(others(F.col("_of_domain")), F.col("_world")))
+    joined = joined.withColumn("_host_prior", smooth(others(F.col("_of_host")), F.col("_domain_prior")))
+    logs = F.transform("said", lambda x, i: x + F.log(F.get("_host_prior", i)) + F.get("declared_worth", i) + F.get("named_worth", i))
     judged = joined.withColumn("_p", _posterior(logs))
     names = F.array(*map(F.lit, languages))
     best = lambda p: F.element_at(names, F.array_position(p, F.array_max(p)).cast("int"))

@@ -8,7 +8,8 @@ logit, and a temperature fitted on rows kept from its training makes it a probab
 
 Word vectors need no labels. The network is fitted on labelled rows only, MOST_TRAINING documents at most, chosen by hash of their id, and never
 on those whose crc32(id) mod 5 is 0; every document is scored, whole. Null and empty texts score what
-the network gives for a document without words. Rows without label take no part in fitting; of a
+the network gives for a document without words. Very long texts are pooled in pieces of some hundred
+kilobytes, cut at white space, whose sums are added; a word at a cut has the neighbours of its own piece. Rows without label take no part in fitting; of a
 document labelled twice the larger label counts. With labels of one kind, or none, every score is the
 share of label 1 (1 without labels). Repeated rows score alike. Columns named like an output are
 replaced.
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsloom.llm.bytewords import Words, words_of
+from opsloom.llm.bytewords import Words, groups, words_of
 from opsloom.llm.common import read, row_slices, stored
 
 BUCKETS = 1 << 15
@@ -82,6 +83,11 @@ def _tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def _context(texts: list[str | None], index: np.ndarray, sums: np.ndarray) -> None:
     """Add what these texts say about word vectors to sums."""
+    for _, held in groups(texts, _STEP):
+        _add_context(held, index, sums)
+
+
+def _add_context(texts: list[str], index: np.ndarray, sums: np.ndarray) -> None:
     w = words_of(texts)
     word, shape = _tokens(w)
     text = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
@@ -137,14 +143,18 @@ def word_vectors(texts: DataFrame, text: str) -> np.ndarray:
 
 def pooled(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
     """A row for each text: mean word vector and mean shape vector."""
-    w = words_of(texts)
-    counts = np.diff(w.first)
-    out = np.zeros((counts.size, 2 * SIZE), np.float32)
-    full = np.flatnonzero(counts)
-    if full.size:
+    sums, many = np.zeros((len(texts), 2 * SIZE)), np.zeros(len(texts), np.int64)
+    for owners, held in groups(texts, _STEP):
+        w = words_of(held)
+        counts = np.diff(w.first)
+        full = np.flatnonzero(counts)
+        if not full.size:
+            continue
+        whose = np.array(owners)[full]
+        np.add.at(many, whose, counts[full])
         for k, rows in enumerate(_tokens(w)):
-            out[full, k * SIZE : (k + 1) * SIZE] = np.add.reduceat(vectors[rows], w.first[full], axis=0) / counts[full, None]
-    return out
+            np.add.at(sums[:, k * SIZE : (k + 1) * SIZE], whose, np.add.reduceat(vectors[rows], w.first[full], axis=0))
+    return (sums / np.maximum(many, 1)[:, None]).astype(np.float32)
 
 
 @dataclass

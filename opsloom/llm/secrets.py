@@ -6,17 +6,20 @@ assignments), secrets (unlabelled mixed strings, and the base findings) and endp
 URLs, e-mail domains). A part on its own is weak. Within a scope - a paragraph, that is, text between
 blank lines - parts are interval-joined: a weak secret is reported as `linked` when an identifier or
 an endpoint lies within REACH code points of it and, as the complement, an identifier is reported as
-`identity` when a secret lies within reach. Base findings stay whatever the join says.
+`identity` when a secret lies within reach. Base findings stay whatever the join says. The combinations
+that count are secret with identifier (a key pair, a login) and secret with endpoint (a token and where it
+is used), for each gives a usable credential; identifier with endpoint is an address, two secrets are two
+parts of one role, so neither counts.
 
-The join never leaves a document, so it is a sweep over that document's sorted parts; nothing is
-shuffled. Null and empty texts have no findings; repeated rows give repeated results; whole texts are
+The join never leaves a document, so it is a sweep over that document's sorted parts, each looked up by
+binary search; nothing is shuffled, and a long text full of parts takes time in proportion. Null and empty texts have no findings; repeated rows give repeated results; whole texts are
 scanned. Columns named like an output are replaced.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -58,22 +61,26 @@ def base_spans(text: str) -> list[Span]:
 
 
 class _Intervals:
-    """Intervals of one role, sorted by start, with the furthest end of all up to each."""
+    """Intervals of one role. None crosses a blank line, so one that ends inside a scope lies in it."""
 
     def __init__(self, spans: list[tuple[int, int]]):
-        self.spans = sorted(set(spans))
-        self.starts = [s for s, _ in self.spans]
-        self.ends = list(accumulate((e for _, e in self.spans), max))
+        spans = sorted(set(spans))
+        self.starts = [s for s, _ in spans]
+        self.ends = sorted(e for _, e in spans)
+        self.furthest = list(accumulate((e for _, e in spans), max))
+
+    def overlap(self, start: int, end: int) -> bool:
+        """Does one share a place with [start, end)?"""
+        i = bisect_left(self.starts, end)
+        return i > 0 and self.furthest[i - 1] > start
 
     def near(self, start: int, end: int, low: int, high: int) -> bool:
-        """Does another interval, begun inside the scope [low, high), lie within REACH of [start, end)?"""
-        i = bisect_left(self.starts, min(high, end + REACH + 1)) - 1
-        while i >= 0 and self.starts[i] >= low and self.ends[i] >= start - REACH:
-            s, e = self.spans[i]
-            if e >= start - REACH and not (s < end and start < e):
-                return True
-            i -= 1
-        return False
+        """Does another one lie inside the scope [low, high), beside [start, end) and within REACH of it? The
+        next on either side tells."""
+        after, before = bisect_left(self.starts, end), bisect_right(self.ends, start)
+        if after < len(self.starts) and self.starts[after] < min(high, end + REACH + 1):
+            return True
+        return before > 0 and self.ends[before - 1] > low and self.ends[before - 1] >= start - REACH
 
 
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
@@ -84,11 +91,8 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     strong = [(s, e) for s, e, k in base if k != "access"]
     if not (identity or endpoint or access):
         return []
-    weak = [
-        (m.start(), m.end())
-        for m in _WEAK.finditer(text)
-        if not any(s < m.end() and m.start() < e for s, e, _ in base) and m[0].lower() != m[0] and m[0].upper() != m[0]
-    ]
+    known = _Intervals([(s, e) for s, e, _ in base])
+    weak = [(m.start(), m.end()) for m in _WEAK.finditer(text) if m[0].lower() != m[0] and m[0].upper() != m[0] and not known.overlap(m.start(), m.end())]
     if not weak and not (identity and strong):
         return []
     cuts = [0, *(m.end() for m in _BLANK.finditer(text)), len(text) + 1]
