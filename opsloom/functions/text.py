@@ -6,10 +6,10 @@ depend on Unicode classes. Null text gives null unless a function says otherwise
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,22 @@ FENCE = r"^\s*[-_*]{3,}\s*$"
 PREAMBLE = r"(?i)^(here'?s (the|your|a|an) .{0,40}[:.]?|sure[.!,]?|got it[.!,]?)$"
 NEXT_MOVE = r"(?i)^(\*\*)?\s*next move\s*:?"
 NOT_READY = r"(?i)not (?:available|ready|finished)|2207027|media.{0,20}process"
+#: The rewrites of long dashes and spaced hyphens, in their order: what is looked for, what it becomes, and
+#: whether the letter behind the mark is raised.
+DASH_STEPS = (
+    (r"(\d)[ \t]*[—–][ \t]*(\d)", "$1-$2", False),
+    (r"(\d)[ \t]+-[ \t]+(\d)", "$1-$2", False),
+    (r"(?m)^([ \t]*)[—–][ \t]*", "$1- ", False),
+    (r"([.!?])[ \t]*[—–][ \t]*([a-z])", "$1 \u0001$2", True),
+    (r"([.!?])[ \t]+-[ \t]+([a-z])", "$1 \u0001$2", True),
+    (r"([.!?,:;])[ \t]*[—–][ \t]*", "$1 ", False),
+    (r"([.!?,:;])[ \t]+-[ \t]+", "$1 ", False),
+    (r"[ \t]*[—–][ \t]*([a-zA-Z])", ". \u0001$1", True),
+    (r"(\S)[ \t]+-[ \t]+([a-zA-Z])", "$1. \u0001$2", True),
+    (r"[ \t]*[—–][ \t]*", ", ", False),
+    (r"[ \t]{2,}", " ", False),
+)
+# End of the fixed values.
 
 _MARK = "\u0001"
 
@@ -76,7 +92,7 @@ def tokens(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(tokens(text)).cast("long")
+    return F.regexp_count(text, F.lit(r"\S+")).cast("long")
 
 
 def syllables(word: Column) -> Column:
@@ -89,15 +105,27 @@ def syllables(word: Column) -> Column:
     return let(F.regexp_replace(F.lower(word), "[^a-z]", ""), count).cast("long")
 
 
+def syllable_count(text: Column) -> Column:
+    """Sum of syllables() over the words of a text, by three counts over the whole text: vowel groups, words
+    without vowels, and silent e after another group. What isn't a letter or white space is left out first."""
+
+    def counted(letters: Column) -> Column:
+        groups = F.regexp_count(letters, F.lit("[aeiouy]+"))
+        bare = F.regexp_count(letters, F.lit(r"(?<!\S)[^aeiouy\s]+(?!\S)"))
+        silent = F.regexp_count(letters, F.lit(r"[aeiouy][^aeiouy\s]+[aeiouy]*e(?!\S)"))
+        return groups + bare - silent
+
+    return let(F.regexp_replace(F.lower(text), r"[^a-z\s]", ""), counted).cast("long")
+
+
 def reading_grade(text: Column) -> Column:
     """Flesch-Kincaid grade; 0 for empty text."""
 
     def grade(words: Column, n_sentences: Column) -> Column:
-        total = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + syllables(w))
-        value = let(F.size(words), lambda n: 0.39 * (n / n_sentences) + 11.8 * (total / n) - 15.59)
-        return F.when((n_sentences == 0) | (F.size(words) == 0), 0.0).otherwise(value)
+        value = 0.39 * (words / n_sentences) + 11.8 * (syllable_count(text) / words) - 15.59
+        return F.when((n_sentences == 0) | (words == 0), 0.0).otherwise(value)
 
-    return let(tokens(text), lambda words: let(F.size(sentences(text)), lambda n: grade(words, n)))
+    return let(word_count(text), lambda words: let(F.size(sentences(text)), lambda n: grade(words, n)))
 
 
 def context_windows(text: Column, term: str, width: int = 50) -> Column:
@@ -117,6 +145,15 @@ def context_windows(text: Column, term: str, width: int = 50) -> Column:
     return F.transform(walked, lambda s: F.substr(text, begin(s) + 1, F.least(F.length(text), s + n + width) - begin(s)))
 
 
+def lacks_nearby(text: Column, term: str, exception: str, width: int = 50) -> Column:
+    """Does a literal term occur, in any case, without the exception within `width` of it? One search: at a
+    term, what starts up to `width` before it, or ends up to `width` after it, mustn't be the exception."""
+    n, e = len(term), "\\Q" + exception.lower() + "\\E"
+    after = n + width - len(exception)
+    later = rf"(?!.{{0,{after}}}{e})" if after >= 0 else ""
+    return F.lower(text).rlike(rf"(?s)(?=\Q{term.lower()}\E)(?<!(?={e}).{{1,{width}}}){later}")
+
+
 def is_specific(text: Column) -> Column:
     """Does any marker (amount, percentage, industry, place) occur?"""
     found = text.rlike(SPECIFIC[0])
@@ -136,18 +173,9 @@ def _raise_after(text: Column, pattern: str, keep: str) -> Column:
 def strip_dashes(text: Column) -> Column:
     """Rewrite long dashes and spaced hyphens: ranges keep a hyphen, bullets become hyphens, the rest
     becomes sentence breaks or commas. The order of rewrites matters."""
-    long = "[—–]"
-    text = F.regexp_replace(text, rf"(\d)[ \t]*{long}[ \t]*(\d)", "$1-$2")
-    text = F.regexp_replace(text, r"(\d)[ \t]+-[ \t]+(\d)", "$1-$2")
-    text = F.regexp_replace(text, rf"(?m)^([ \t]*){long}[ \t]*", "$1- ")
-    text = _raise_after(text, rf"([.!?])[ \t]*{long}[ \t]*([a-z])", f"$1 {_MARK}$2")
-    text = _raise_after(text, r"([.!?])[ \t]+-[ \t]+([a-z])", f"$1 {_MARK}$2")
-    text = F.regexp_replace(text, rf"([.!?,:;])[ \t]*{long}[ \t]*", "$1 ")
-    text = F.regexp_replace(text, r"([.!?,:;])[ \t]+-[ \t]+", "$1 ")
-    text = _raise_after(text, rf"[ \t]*{long}[ \t]*([a-zA-Z])", f". {_MARK}$1")
-    text = _raise_after(text, r"(\S)[ \t]+-[ \t]+([a-zA-Z])", f"$1. {_MARK}$2")
-    text = F.regexp_replace(text, rf"[ \t]*{long}[ \t]*", ", ")
-    return F.regexp_replace(text, r"[ \t]{2,}", " ")
+    for pattern, becomes, raised in DASH_STEPS:
+        text = _raise_after(text, pattern, becomes) if raised else F.regexp_replace(text, pattern, becomes)
+    return text
 
 
 def strip_scaffolding(text: Column) -> Column:
@@ -308,9 +336,9 @@ def image_token(name: Column) -> Column:
     return F.nullif(F.regexp_extract(name, r"^([0-9a-f]{32})\.jpg\z", 1), F.lit(""))
 
 
-def valid_patterns(spark, patterns: list[str]) -> list[str]:
+def valid_patterns(patterns: Sequence[str]) -> list[str]:
     """Those that Java can compile; a rule with a bad pattern is left out, not an error."""
-    compiler, good = spark.sparkContext._jvm.java.util.regex.Pattern, []
+    compiler, good = SparkSession.active()._jvm.java.util.regex.Pattern, []
     for p in patterns:
         try:
             compiler.compile(p)
@@ -318,4 +346,3 @@ def valid_patterns(spark, patterns: list[str]) -> list[str]:
         except Exception:  # noqa: BLE001  whatever Java says of the pattern
             continue
     return good
-

@@ -72,28 +72,45 @@ def assign_in_order(posts: DataFrame, calendar: DataFrame, taken: DataFrame) ->
     return posts.groupBy("platform").cogroup(both.groupBy("platform")).applyInPandas(run, kind)
 
 
-def dial_order(rows: DataFrame, score: str, seq: str) -> DataFrame:
-    """Rows by score, best first; a global range sort, with positions only where asked for by top()."""
-    return rows.orderBy(F.desc(score), seq)
-
-
 def top(rows: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first n with pos (from 1)."""
     return rows.orderBy(*order).limit(n).withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+#: Values of seq that one window task ranks.
+PER_BLOCK = 5000
+
+
+def places(rows: DataFrame, score: Column, seq: str, *group: str) -> DataFrame:
+    """Add place (from 1), best score first, then by seq (a whole number), within each group or over all rows.
+
+    Rows are counted by score and block of seq; sums of the blocks ahead give each block its base, and only
+    rows of one block are ranked by a window. So neither a score nor a group that a third of all rows share
+    meets in one task, but for its counts."""
+    keyed = rows.withColumns({"_score": score, "_block": F.floor(F.col(seq) / PER_BLOCK)})
+    blocks = [*group, "_score", "_block"]
+    counts = keyed.groupBy(*blocks).agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy(*group).orderBy(F.desc("_score"), "_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+    bases = bases.select(*(F.col(c).alias(f"{c}_b") for c in blocks), "_ahead")
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_b")) for c in blocks]
+    based = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy(*blocks).orderBy(seq))).join(bases, same)
+    return based.withColumn("place", (F.col("_ahead") + F.col("_rn")).cast("long")).select(*rows.columns, "place")
+
+
 def in_lists(rows: DataFrame, score: str, seq: str, size: int) -> DataFrame:
-    """Deal rows, best first, to lists of `size`: list, place, and each list's least score as watermark.
-
-    Places come from counts per score, summed over all higher scores, and an order within each score; no
-    task sees all rows unless all share one score."""
-    counts = rows.groupBy(F.col(score).alias("_s")).agg(F.count("*").alias("_n"))
-    above = counts.withColumn("_above", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = rows.join(above.select("_s", "_above"), F.col(score) == F.col("_s"))
-    ranked = joined.withColumn("place", (F.col("_above") + F.row_number().over(Window.partitionBy(score).orderBy(seq))).cast("long"))
-    ranked = ranked.withColumn("list", F.expr(f"(place - 1) div {size} + 1").cast("long"))
+    """Deal rows, best first, to lists of `size`: list, place, and each list's least score as watermark."""
+    ranked = places(rows, F.col(score), seq).withColumn("list", F.expr(f"(place - 1) div {size} + 1").cast("long"))
     marks = ranked.groupBy("list").agg(F.min(score).alias("watermark"))
-    return ranked.join(marks, "list").drop("_s", "_above")
+    return ranked.join(marks, "list")
+
+
+def first_free(posts: DataFrame, free: DataFrame, seq: str, *group: str) -> DataFrame:
+    """Each post of a group gets the first free instant that none before it took; free: (at), the calendar of
+    each group, of some dozens. Posts beyond the calendar get none."""
+    ranked = places(posts, F.lit(0), seq, *group)
+    order = free.withColumn("place", F.row_number().over(Window.orderBy("at")).cast("long"))
+    return ranked.join(F.broadcast(order), "place", "left")
 
 
 def first_of_each(rows: DataFrame, keys: list[Column], order: Column) -> DataFrame:

@@ -63,10 +63,11 @@ def duplicates(rows: DataFrame, key: str, condition: Column) -> DataFrame:
     return rows.filter(condition).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def listed(rows: DataFrame, key: str, value: str, order: str, name: str = "items") -> DataFrame:
-    """Each key's values in order, joined by a bar."""
+def listed(rows: DataFrame, keys: list[str | Column], value: str, order: str, name: str = "items") -> DataFrame:
+    """Each key's values in order, joined by a bar. A list is one value, so keys have to bound its length: a
+    page of a city, not a city."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("string").alias("v"))))
-    return rows.groupBy(key).agg(F.array_join(F.transform(pairs, lambda p: p["v"]), "|").alias(name))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(pairs, lambda p: p["v"]), "|").alias(name))
 
 
 def backlog_gate(pending: DataFrame, planned: int, cap: int) -> DataFrame:

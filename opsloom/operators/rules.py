@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from opsloom.functions import text as X
 
 FAILURE = "array<struct<check:string,detail:string>>"
+# This pattern, and below the texts of failures and of feedback, are compared as they are.
 RECAP = r"(?i)(?<![A-Za-z0-9_])(?:spent|made|been|tried|worked|grinded|grinding)(?![A-Za-z0-9_]).{0,80}(?<![A-Za-z0-9_])(?:today|now|finally|just)(?![A-Za-z0-9_])"
 
 
@@ -60,11 +61,11 @@ def _any_case(pattern: str) -> str:
     return pattern if pattern.startswith("(?i)") else f"(?i){pattern}"
 
 
-def _lacks(part: Column):
-    def test(text: Column) -> Column:
-        return ~F.contains(text, part)
-
-    return test
+def usable(rules: Sequence[tuple[str, str]]) -> list[tuple[str, str]]:
+    """(name, pattern) in any case, without those whose pattern doesn't compile."""
+    cased = [(name, _any_case(p)) for name, p in rules]
+    good = set(X.valid_patterns([p for _, p in cased]))
+    return [(name, p) for name, p in cased if p in good]
 
 
 def banned_words(text: Column, words: Sequence[Word]) -> Column:
@@ -74,9 +75,7 @@ def banned_words(text: Column, words: Sequence[Word]) -> Column:
         hits = F.regexp_count(text, F.lit(pattern))
         broken = hits > 0
         if w.exception:
-            low = F.lit(w.exception.lower())
-            near = F.transform(X.context_windows(text, w.term), F.lower)
-            broken = broken & (F.size(F.filter(near, _lacks(low))) > 0)
+            broken = broken & X.lacks_nearby(text, w.term, w.exception)
         note = F.concat(F.lit(f'"{w.term}" detected '), hits.cast("string"), F.lit("x" + (f" (pos hint: {w.hint})" if w.hint else "")))
         cases.append(F.when(broken, failure("banned_words", note)))
     return _said(cases)
@@ -84,8 +83,7 @@ def banned_words(text: Column, words: Sequence[Word]) -> Column:
 
 def banned_structures(text: Column, structures: Sequence[tuple[str, str]]) -> Column:
     cases = []
-    for name, pattern in structures:
-        p = _any_case(pattern)
+    for name, p in usable(structures):
         cases.append(F.when(text.rlike(p), failure("banned_structures", F.concat(F.lit(f'pattern_id="{name}" matched: "'), _excerpt(text, p), F.lit('"')))))
     return _said(cases)
 
@@ -120,9 +118,8 @@ def unspecific(text: Column) -> Column:
 def scenario_hits(text: Column, scenarios: Sequence[Scenario]) -> Column:
     cases = []
     for s in scenarios:
-        for pattern in s.patterns:
-            p = _any_case(pattern)
-            cases.append(F.when(text.rlike(p), failure("banned_scenarios", F.concat(F.lit(f'scenario_id="{s.name}" regex matched: "'), _excerpt(text, p), F.lit('"')))))
+        for name, p in usable([(s.name, p) for p in s.patterns]):
+            cases.append(F.when(text.rlike(p), failure("banned_scenarios", F.concat(F.lit(f'scenario_id="{name}" regex matched: "'), _excerpt(text, p), F.lit('"')))))
     return _said(cases)
 
 
@@ -181,12 +178,35 @@ def feedback(hard: Column, soft: Column, attempt: Column) -> Column:
 
 
 def first_block(haystack: Column, patterns: Sequence[str]) -> Column:
-    """The first pattern, in rule order, that the text matches in any case; null if none does."""
+    """The first pattern, in rule order, that the text matches in any case; null if none does. A pattern that
+    doesn't compile matches nothing."""
     none = F.lit(None).cast("string")
-    return F.coalesce(*(F.when(haystack.rlike(_any_case(p)), F.lit(p)) for p in patterns), none)
+    return F.coalesce(*(F.when(haystack.rlike(p), F.lit(name)) for name, p in usable([(p, p) for p in patterns])), none)
 
 
 def rule_matches(texts: DataFrame, key: str, text: str, rules: Sequence[tuple[str, str]]) -> DataFrame:
-    """(key, rule_id) for each rule that a text matches: one pass over each text, then its matches."""
-    hits = F.array_compact(F.array(*(F.when(F.col(text).rlike(p), F.lit(name)) for name, p in rules)))
+    """(key, rule_id) for each rule that a text matches: one pass over each text, then its matches. Patterns are
+    as given in case; those that don't compile match nothing."""
+    good = set(X.valid_patterns([p for _, p in rules]))
+    hits = F.array_compact(F.array(*(F.when(F.col(text).rlike(p), F.lit(name)) for name, p in rules if p in good), F.lit(None).cast("string")))
     return texts.select(key, F.explode(hits).alias("rule_id"))
+
+
+def checked_variant(drafts: DataFrame, voice: Voice, year: int, text: str = "text") -> DataFrame:
+    """drafts with text stripped of scaffolding (and dashes, if the policy says none), failures of voice, sanity
+    and block rules in that order, and passed."""
+    stripped = X.strip_scaffolding(F.col(text))
+    stripped = X.strip_dashes(stripped) if voice.dash_policy == "none" else stripped
+    checked = validate(drafts.withColumn(text, stripped), voice, text)
+    leaked = _said([F.when(first_block(F.col(text), voice.blocked).isNotNull(), failure("kg_leak_guard", F.lit("matched kg_blocked_patterns")))])
+    failures = F.concat("hard", sanity(F.col(text), year)[0], leaked)
+    return checked.withColumn("failures", failures).drop("hard", "soft").withColumn("passed", F.size("failures") == 0)
+
+
+def request_faults(name: Column, email: Column, phone: Column) -> Column:
+    """Why a form's request is refused: missing fields in order, then an address without a host; empty if it's
+    good. White space alone is missing."""
+    missing = lambda c: c.isNull() | (F.trim(c) == "")
+    cases = [F.when(missing(c), F.lit(f"missing {n}")) for n, c in (("name", name), ("email", email), ("phone", phone))]
+    shaped = F.when(~missing(email) & ~email.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+\z"), F.lit("bad email"))
+    return F.array_compact(F.array(*cases, shaped))

@@ -93,6 +93,50 @@ def week_phase(events: Column) -> Column:
     return F.aggregate(events, F.lit("drafting"), turn)
 
 
+#: (phase, event) -> phase of a review: a rewrite request waits for a reply, which reopens the draft, once.
+REVIEW_TURNS = (
+    ("pending", "approve", "approved"),
+    ("pending", "kill", "killed"),
+    ("pending", "rewrite", "awaiting"),
+    ("awaiting", "reply", "reopened"),
+    ("reopened", "approve", "approved again"),
+    ("reopened", "kill", "killed again"),
+)
+#: The same of a week's phases, with what ends an open one.
+PHASE_TURNS = WEEK_TURNS + tuple((p, "cancel", "cancelled") for p in OPEN_PHASES) + tuple((p, "lapse", "lapsed") for p in ("text_review", "final_review"))
+#: The same of a post: phases hold the number of failed attempts.
+POST_TURNS = tuple(
+    turn
+    for n in range(3)
+    for name in ("queued", "held")[n > 0 :]
+    for turn in ((f"{name} {n}", "ok", f"posted {n}"), (f"{name} {n}", "error", f"held {n + 1}" if n < 2 else "failed 3"))
+) + tuple(("queued 0", wait, "held 0") for wait in ("config", "not_ready"))
+
+
+def walk(events: DataFrame, key: str, at: list[str], what: str, turns: tuple, start: str) -> DataFrame:
+    """(key, phase) of each key with events, after a walk over turns (phase, event, next phase) that never come
+    back to a phase. Each step takes, for all keys at once, the first event after the last one that leaves
+    the phase: a minimum, combined before the shuffle. No key's events are gathered, however many it has."""
+    place = F.struct(*at)
+    depth, frontier = 0, {start}
+    while frontier := {b for a, _, b in turns if a in frontier}:
+        depth += 1
+    exits = events.sparkSession.createDataFrame(list(turns), "_was string, _what string, _next string")
+    moves = events.select(key, place.alias("_at"), F.col(what).alias("_what")).join(F.broadcast(exits), "_what")
+    now = events.groupBy(key).agg(F.lit(start).alias("phase"), F.lit(None).cast(moves.schema["_at"].dataType).alias("_since"))
+    for _ in range(depth):
+        later = moves.join(now.select(F.col(key).alias("_key"), "phase", "_since"), (F.col(key) == F.col("_key")) & (F.col("_was") == F.col("phase")))
+        later = later.filter(F.col("_since").isNull() | (F.col("_at") > F.col("_since")))
+        step = later.groupBy(key).agg(F.min_by("_next", "_at").alias("_next"), F.min("_at").alias("_then"))
+        now = now.join(step, key, "left").select(key, F.coalesce("_next", "phase").alias("phase"), F.coalesce("_then", "_since").alias("_since"))
+    return now.select(key, "phase")
+
+
+def probed(latency: Column, limit: int = 4000) -> Column:
+    """struct(status, latency): what a health probe says that is cut off at the limit, in milliseconds."""
+    return F.struct(F.when(latency.isNull() | (latency > limit), "down").otherwise("ok").alias("status"), F.least(F.coalesce(latency, F.lit(limit)), F.lit(limit)).alias("latency"))
+
+
 def accepted_attempt(attempts: DataFrame, key: str, attempt: str, passed: str, most: int = 3) -> DataFrame:
     """The first attempt that passed, else the last allowed."""
     tried = attempts.filter(F.col(attempt) <= most)

@@ -16,8 +16,7 @@ def w01_round_robin(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def w02_wrap_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    few = B.leads(spark, sf).filter("seq < 17")
-    return A.wrap_chunks(few, "city", "seq", 6, 4).select("day", "slot", "seq", "city")
+    return A.wrap_chunks(B.leads(spark, sf), "city", "seq", 6, 4).select("day", "slot", "seq", "city")
 
 
 def w03_top_leads(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,9 +32,10 @@ def w04_sorted_slots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _taken(spark: SparkSession, sf: str) -> DataFrame:
-    """Morning slots that orders of the first suppliers' keys hold."""
+    """Slots of a week that suppliers hold: mornings, but for one day on which they hold evenings."""
     day = F.date_add(F.lit("2001-07-30").cast("date"), (F.col("s_suppkey") % 7).cast("int"))
-    return B.read(spark, sf, "supplier").filter("s_suppkey < 7 and s_suppkey <> 4").select(D.instant(day, F.lit("09:00")).alias("at"))
+    clock = F.when(F.col("s_suppkey") % 7 == 4, "17:30").otherwise("09:00")
+    return B.read(spark, sf, "supplier").select(D.instant(day, clock).alias("at"))
 
 
 def w05_first_free_slot(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,10 +44,15 @@ def w05_first_free_slot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def w06_schedule(spark: SparkSession, sf: str) -> DataFrame:
-    # ideals on working mornings that are distinct for the first, and contested for the later posts
+    # plans of ten posts each, whose ideals are mornings that are distinct for the first, and contested later
     day = F.date_add(F.lit("2001-08-06").cast("date"), (F.col("s_suppkey") % 4).cast("int"))
-    posts = B.read(spark, sf, "supplier").filter("s_suppkey < 10").select(F.lit("linkedin").alias("platform"), F.col("s_suppkey").alias("seq"), F.col("s_suppkey").alias("id"), D.instant(day, F.lit("09:00")).alias("ideal"))
-    calendar = A.slots(_days(spark, "2001-08-06", 31), ["09:00", "13:00"]).filter(F.col("at") > B.now()).select(F.lit("linkedin").alias("platform"), "at")
+    plan = F.concat(F.lit("plan "), F.floor(F.col("s_suppkey") / 10))
+    posts = B.read(spark, sf, "supplier").select(plan.alias("platform"), F.col("s_suppkey").alias("seq"), F.col("s_suppkey").alias("id"), D.instant(day, F.lit("09:00")).alias("ideal"))
+    # each plan has the whole calendar, of some dozens of slots
+    ahead = F.collect_list("at").alias("all")
+    week = A.slots(_days(spark, "2001-08-06", 31), ["09:00", "13:00"]).filter(F.col("at") > B.now()).agg(ahead)
+    plans = B.read(spark, sf, "supplier").select(plan.alias("platform")).distinct()
+    calendar = plans.join(F.broadcast(week)).select("platform", F.explode("all").alias("at"))
     taken = spark.createDataFrame([], "platform string, at timestamp")
     return A.assign_in_order(posts, calendar, taken).select("platform", "id", "at")
 
@@ -58,7 +63,7 @@ def w07_positions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def w08_prior_days(spark: SparkSession, sf: str) -> DataFrame:
-    days = B.opportunities(spark, sf).filter(F.col("created") >= F.lit("2001-07-01").cast("timestamp")).groupBy(F.to_date("created").alias("day")).agg(F.min("id").cast("string").alias("line"))
+    days = B.opportunities(spark, sf).groupBy(F.to_date("created").alias("day")).agg(F.min("id").cast("string").alias("line"))
     return A.prior_days(days, "day", "line").select("day", "before")
 
 
@@ -68,8 +73,7 @@ def w09_first_by_prefix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def w10_dial_order(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("city").orderBy(F.desc("score"), "seq")
-    return B.leads(spark, sf).select("seq", "city", F.row_number().over(w).cast("long").alias("dial"))
+    return A.places(B.leads(spark, sf), F.col("score"), "seq", "city").select("seq", "city", F.col("place").alias("dial"))
 
 
 def w11_tiers(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,16 +153,23 @@ DAYS = "SELECT CAST(created AS DATE) AS day FROM o GROUP BY 1"
 ORACLES = {
     "w01_round_robin": f"""WITH {L}, k AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY seq) AS rn, min(seq) OVER (PARTITION BY city) AS f FROM l)
         SELECT row_number() OVER (ORDER BY rn, f) AS pos, seq, city FROM k WHERE rn > 2 ORDER BY rn, f LIMIT 40""",
-    "w02_wrap_chunks": f"""WITH {L}, k AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY seq) AS rn, min(seq) OVER (PARTITION BY city) AS f FROM l WHERE seq < 17),
+    "w02_wrap_chunks": f"""WITH {L}, k AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY seq) AS rn, min(seq) OVER (PARTITION BY city) AS f FROM l),
         q AS (SELECT seq, city, row_number() OVER (ORDER BY rn, f) - 1 AS i, count(*) OVER () AS n FROM k QUALIFY i < 24), p AS (SELECT unnest(range(24)) AS p)
         SELECT CAST(p // 4 AS BIGINT) AS day, CAST(p % 4 AS BIGINT) AS slot, seq, city FROM p JOIN q ON p % n = i""",
     "w03_top_leads": f"WITH {L} SELECT row_number() OVER (ORDER BY score DESC, seq) AS pos, seq, score FROM l ORDER BY score DESC, seq LIMIT 30",
     "w04_sorted_slots": f"SELECT day, clock, {AT.format('CAST(day || chr(32) || clock || chr(58) || 0 || 0 AS TIMESTAMP)')} AS at FROM (SELECT DATE '2001-07-30' + CAST(unnest(range(3)) AS INT) AS day) d CROSS JOIN (VALUES ('13:00'), ('09:00'), ('17:30')) c(clock)",
     "w05_first_free_slot": f"""WITH d AS (SELECT DATE '2001-07-30' + CAST(unnest(range(31)) AS INT) AS day), s AS (SELECT {AT.format("day + CAST(c AS TIME)")} AS at FROM d CROSS JOIN (VALUES ('13:00'), ('09:00')) c(c) WHERE dayofweek(day) <> 0),
-        t AS (SELECT {AT.format("DATE '2001-07-30' + CAST(s_suppkey % 7 AS INT) + TIME '09:00'")} AS at FROM supplier WHERE s_suppkey < 7 AND s_suppkey <> 4)
+        t AS (SELECT {AT.format("DATE '2001-07-30' + CAST(s_suppkey % 7 AS INT) + CASE WHEN s_suppkey % 7 = 4 THEN TIME '17:30' ELSE TIME '09:00' END")} AS at FROM supplier)
         SELECT min(s."at") AS "at", count(*) AS free FROM s WHERE s."at" > TIMESTAMP '2001-07-31 00:05:00' AND s."at" NOT IN (SELECT t."at" FROM t)""",
+    "w06_schedule": f"""WITH RECURSIVE c AS (SELECT list(a ORDER BY a) AS cal FROM (SELECT {AT.format("d + t")} AS a FROM (SELECT DATE '2001-08-06' + CAST(unnest(range(31)) AS INT) AS d) CROSS JOIN (VALUES (TIME '09:00'), (TIME '13:00')) v(t) WHERE dayofweek(d) <> 0)),
+        p AS (SELECT 'plan ' || s_suppkey // 10 AS platform, s_suppkey AS id, {AT.format("DATE '2001-08-06' + CAST(s_suppkey % 4 AS INT) + TIME '09:00'")} AS ideal, row_number() OVER (PARTITION BY s_suppkey // 10 ORDER BY s_suppkey) AS k FROM supplier),
+        r AS (SELECT DISTINCT platform, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(NULL AS TIMESTAMP) AS got, CAST([] AS TIMESTAMP[]) AS used FROM p
+              UNION ALL SELECT platform, k, id, got, list_append(used, got) FROM (
+                SELECT r.platform, p.k, p.id, r.used, CASE WHEN list_contains(cal, ideal) AND NOT list_contains(used, ideal) THEN ideal ELSE list_filter(cal, lambda x: NOT list_contains(used, x))[1] END AS got
+                FROM r JOIN p ON p.platform = r.platform AND p.k = r.k + 1 CROSS JOIN c))
+        SELECT platform, id, got AS "at" FROM r WHERE k > 0""",
     "w07_positions": f"WITH {B.SQL_REVIEWS} SELECT doc_id, brand, row_number() OVER (PARTITION BY brand ORDER BY doc_id) AS pos FROM r WHERE fate = 'approved'",
-    "w08_prior_days": f"WITH {O}, d AS (SELECT CAST(created AS DATE) AS day, CAST(min(id) AS VARCHAR) AS line FROM o WHERE created >= DATE '2001-07-01' GROUP BY 1) SELECT day, coalesce(string_agg(line, '|') OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before FROM d",
+    "w08_prior_days": f"WITH {O}, d AS (SELECT CAST(created AS DATE) AS day, CAST(min(id) AS VARCHAR) AS line FROM o GROUP BY 1) SELECT day, coalesce(string_agg(line, '|') OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before FROM d",
     "w09_first_by_prefix": "SELECT p_type, arg_min(p_name, p_partkey) AS first_name, min(p_partkey) AS first_key FROM part WHERE lower(p_name) LIKE 'red%' GROUP BY p_type",
     "w10_dial_order": f"WITH {L} SELECT seq, city, row_number() OVER (PARTITION BY city ORDER BY score DESC, seq) AS dial FROM l",
     "w11_tiers": f"WITH {L} SELECT {TIER} AS tier, count(*) AS n, min(score) AS low, max(score) AS high FROM l GROUP BY 1",
@@ -182,5 +193,5 @@ DATED = {
     "w04_sorted_slots": ("day", "at"), "w05_first_free_slot": ("at",), "w06_schedule": ("at",), "w08_prior_days": ("day",), "d01_local_day": ("day",), "d03_instants": ("day", "at"),
     "d05_slot_label": ("created",), "d06_next_monday": ("day", "monday"), "d08_deadlines": ("due", "reminder"), "d10_week_days": ("monday", "day"), "d11_human_days": ("day",),
 }
-QUERIES = {k: B.as_text(globals()[k], DATED.get(k, ())) for k in (*ORACLES, "w06_schedule")}
+QUERIES = {k: B.as_text(globals()[k], DATED.get(k, ())) for k in ORACLES}
 ORACLES = {k: B.sql_as_text(q, DATED.get(k, ())) for k, q in ORACLES.items()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NOW = "2001-07-31 00:00:00"
@@ -39,6 +39,12 @@ def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").join(cities, "c_nationkey").select(F.col("c_custkey").alias("seq"), F.col("c_name").alias("name"), "city", score.alias("score"))
 
 
+def page(size: int, seq: str = "seq") -> Column:
+    """Which page of `size` values of seq a row is on. A page is what a list, a sheet or a plan holds, so that no
+    value grows with the table."""
+    return F.floor(F.col(seq) / size).alias("page")
+
+
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as drafts; labels make their fate."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("brand"), F.col("lang").alias("channel"))

@@ -27,11 +27,10 @@ def _say(*parts: str | Column) -> Column:
 
 
 def s07_section_cache(spark, sf):
-    """Sections of one brand's tone file, kept for all that use them; the cache is keyed by brand."""
+    """Sections of each brand's tone file, in one table keyed by brand, from which every use takes its own."""
     k = F.col("s_suppkey")
-    docs = B.read(spark, sf, "supplier").select(_say("brand", k % 3).alias("doc"), _say("## Voice\nv", k, "\n## Facts\nf\n").alias("text")).filter(k < 3)
-    cached = markdown.sections(docs).cache()
-    return cached.groupBy("doc").agg(F.count("*").alias("sections"), F.max(F.when(F.lower("title").startswith("voice"), F.col("body"))).alias("voice"))
+    docs = B.read(spark, sf, "supplier").select(_say("brand", k).alias("doc"), _say("## Voice\nv", k, "\n## Facts\nf\n").alias("text"))
+    return markdown.sections(docs).groupBy("doc").agg(F.count("*").alias("sections"), F.max(F.when(F.lower("title").startswith("voice"), F.col("body"))).alias("voice"))
 
 
 def s09_playbooks(spark, sf):
@@ -106,8 +105,7 @@ def f21_known_scenarios(spark, sf):
 
 
 def a09_syllable_sums(spark, sf):
-    words = X.tokens(F.substring("text", 1, 400))
-    return B.read(spark, sf, "documents").select("doc_id", F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + X.syllables(w)).alias("syllables"))
+    return B.read(spark, sf, "documents").select("doc_id", X.syllable_count(F.col("text")).alias("syllables"))
 
 
 def a11_any_every(spark, sf):
@@ -152,13 +150,13 @@ def t12_repairs(spark, sf):
 
 
 def k03_week_archive(spark, sf):
-    """A week's archive text: approved posts with their slot, the others with their fate."""
+    """A brand's archive in parts of a hundred posts: approved ones with their slot, the others with their fate."""
     r = B.reviews(spark, sf)
     slot = B.read(spark, sf, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.min("event_id").alias("slot"))
     line = _say("- ", F.col("doc_id"), " ", F.when(F.col("slot").isNotNull() & (F.col("fate") == "approved"), _say("SCHEDULED ", F.col("slot"))).otherwise(F.upper("fate")))
     joined = r.join(slot, "doc_id", "left").select("brand", "doc_id", line.alias("line"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"]), "\n")
-    return joined.groupBy("brand").agg(text.alias("archive"))
+    return joined.groupBy("brand", B.page(100, "doc_id")).agg(text.alias("archive"))
 
 
 def k05_report(spark, sf):
@@ -195,14 +193,14 @@ VOICE = rules.Voice(words=[rules.Word("the")], structures=[("shout", "[a-z]+!!")
 
 def c01_checked_drafts(spark, sf):
     """A draft's way: scaffolding and dashes out, then voice, sanity and block rules."""
-    drafts = B.read(spark, sf, "documents").select("doc_id", X.strip_dashes(X.strip_scaffolding(_say("Sure!\n---\n", F.col("text"), "\nNext move: call"))).alias("text"))
-    checked = rules.validate(drafts, VOICE)
-    hard, soft = rules.sanity(F.col("text"), 2026)
+    drafts = B.read(spark, sf, "documents").select("doc_id", _say("Sure!\n---\n", F.col("text"), "\nNext move: call").alias("text"))
+    checked = rules.checked_variant(drafts, VOICE, 2026)
+    leaks = F.filter("failures", lambda f: f["check"] == "kg_leak_guard")
     return checked.select(
         "doc_id",
-        F.size(F.concat(F.col("hard"), hard)).cast("long").alias("hard"),
+        (F.size("failures") - F.size(leaks)).cast("long").alias("hard"),
         rules.first_block(F.col("text"), VOICE.blocked).alias("blocked"),
-        (F.col("passed") & (F.size(hard) == 0)).alias("clean"),
+        (F.size("failures") == F.size(leaks)).alias("clean"),
     )
 
 
@@ -243,8 +241,8 @@ def c14_self_check(spark, sf):
 
 
 def c15_context(spark, sf):
-    """The chat's context: playbooks in order with their names."""
-    docs = B.read(spark, sf, "part").filter(F.col("p_partkey") < 40).filter(F.col("p_name").isin(*KINDS))
+    """The chat's context: playbooks in order with their names, a page of fifty parts for each chat."""
+    docs = B.read(spark, sf, "part").filter(F.col("p_name").isin(*KINDS)).groupBy(B.page(50, "p_partkey"))
     items = F.array_sort(F.collect_list(F.struct("p_partkey", _say("# ", F.col("p_name"), "\n", F.col("p_type")).alias("t"))))
     return docs.agg(F.array_join(F.transform(items, lambda x: x["t"]), "\n\n").alias("context"), X.token_estimate(F.array_join(F.transform(items, lambda x: x["t"]), "\n\n")).alias("tokens"))
 
@@ -254,7 +252,7 @@ NOW = "TIMESTAMP '2001-07-31 00:00:00'"
 SYLLABLES = "CASE WHEN w2 = '' THEN 0 ELSE greatest(1, g - CASE WHEN w2 LIKE '%e' AND g > 1 THEN 1 ELSE 0 END) END"
 
 ORACLES = {
-    "s07_section_cache": "SELECT 'brand' || (s_suppkey % 3) AS doc, CAST(2 AS BIGINT) AS sections, 'v' || s_suppkey AS voice FROM supplier WHERE s_suppkey < 3",
+    "s07_section_cache": "SELECT 'brand' || s_suppkey AS doc, CAST(2 AS BIGINT) AS sections, 'v' || s_suppkey AS voice FROM supplier",
     "s09_playbooks": "SELECT p_partkey, p_name AS doc FROM part WHERE p_name IN ('red ring', 'blue bolt', 'small ring') AND p_partkey % 3 > 0",
     "s11_scan_with_filters": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey LIMIT 100",
     "s15_inventory": "SELECT source, count(*) AS files, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source",
@@ -267,7 +265,7 @@ ORACLES = {
     "f19_enabled_platforms": """WITH k AS (SELECT s_suppkey AS k FROM supplier) SELECT k AS s_suppkey, array_to_string(list_filter([CASE WHEN k % 2 = 0 THEN 'linkedin' END, CASE WHEN k % 3 = 0 THEN 'instagram' END, CASE WHEN k % 4 = 0 THEN 'facebook' END], lambda x: x IS NOT NULL), ',') AS enabled,
         array_to_string(list_filter([CASE WHEN k % 2 > 0 THEN 'linkedin' END, CASE WHEN k % 3 > 0 THEN 'instagram' END, CASE WHEN k % 4 > 0 THEN 'facebook' END], lambda x: x IS NOT NULL), ',') AS missing FROM k""",
     "f21_known_scenarios": "SELECT DISTINCT s_suppkey % 9 AS scenario, 'scenario ' || (s_suppkey % 9) AS title FROM supplier WHERE s_suppkey % 9 BETWEEN 1 AND 5",
-    "a09_syllable_sums": f"""WITH w AS (SELECT doc_id, unnest(string_split_regex(substr(text, 1, 400), '\\s+')) AS w FROM documents), l AS (SELECT doc_id, regexp_replace(lower(w), '[^a-z]', '', 'g') AS w2 FROM w),
+    "a09_syllable_sums": f"""WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS w FROM documents), l AS (SELECT doc_id, regexp_replace(lower(w), '[^a-z]', '', 'g') AS w2 FROM w),
         c AS (SELECT *, len(regexp_extract_all(w2, '[aeiouy]+')) AS g FROM l) SELECT doc_id, CAST(sum({SYLLABLES}) AS BIGINT) AS syllables FROM c GROUP BY doc_id""",
     "a11_any_every": "WITH c AS (SELECT conv_id, bool_or(role = 'system') AS any_system, bool_and(length(text) > 20) AS all_long FROM conversations GROUP BY 1) SELECT any_system, all_long, count(*) AS n FROM c GROUP BY 1, 2",
     "w18_limits": "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, CAST(least(12, len(l)) AS BIGINT) AS tail, array_to_string(list_transform(l[1:3], lambda x: substr(x, 1, 10)), '|') AS samples FROM l",
@@ -275,7 +273,7 @@ ORACLES = {
     "t05_reminder_then_lapse": f"WITH {O}, d AS (SELECT id, created + INTERVAL 72 HOURS AS due FROM o WHERE status = 'open') SELECT CASE WHEN {NOW} >= due - INTERVAL 24 HOURS AND id % 2 = 1 THEN 'remind' WHEN {NOW} > due THEN 'lapse' ELSE 'wait' END AS act, count(*) AS n FROM d GROUP BY 1",
     "t12_repairs": f"""WITH {V}, a AS (SELECT draft, row_number() OVER (PARTITION BY draft ORDER BY event_id) AS attempt, value < 25 AS passed FROM e),
         b AS (SELECT draft, min(attempt) FILTER (passed) AS f, max(attempt) AS l FROM a WHERE attempt <= 3 GROUP BY draft) SELECT coalesce(f, l) AS attempt, f IS NOT NULL AS passed, count(*) AS n FROM b GROUP BY 1, 2""",
-    "k03_week_archive": f"WITH {R}, s AS (SELECT user_id AS doc_id, min(event_id) AS slot FROM events GROUP BY 1) SELECT brand, string_agg('- ' || doc_id || ' ' || CASE WHEN slot IS NOT NULL AND fate = 'approved' THEN 'SCHEDULED ' || slot ELSE upper(fate) END, chr(10) ORDER BY doc_id) AS archive FROM r LEFT JOIN s USING (doc_id) GROUP BY brand",
+    "k03_week_archive": f"WITH {R}, s AS (SELECT user_id AS doc_id, min(event_id) AS slot FROM events GROUP BY 1) SELECT brand, doc_id // 100 AS page, string_agg('- ' || doc_id || ' ' || CASE WHEN slot IS NOT NULL AND fate = 'approved' THEN 'SCHEDULED ' || slot ELSE upper(fate) END, chr(10) ORDER BY doc_id) AS archive FROM r LEFT JOIN s USING (doc_id) GROUP BY brand, doc_id // 100",
     "k05_report": f"WITH {R} SELECT '| ' || fate || ' | ' || count(*) || ' |' AS line FROM r GROUP BY fate",
     "k06_bundle": "SELECT CASE s_suppkey % 4 WHEN 1 THEN 'md' ELSE 'yaml' END AS kind, count(*) AS n, round(sum(s_acctbal), 2) AS size FROM supplier WHERE s_suppkey % 4 IN (1, 2) GROUP BY 1",
     "k12_health": """SELECT s_suppkey, '{"name":"' || s_name || '","status":"' || CASE s_suppkey % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'down' ELSE 'unknown' END || '"' || CASE WHEN s_suppkey % 2 = 0 THEN ',"latencyMs":' || s_suppkey * 10 ELSE '' END || '}' AS health FROM supplier""",
@@ -294,8 +292,8 @@ ORACLES = {
         SELECT CAST(day AS BIGINT) AS day, platform, seeds, CAST(DATE '2001-08-06' + CAST(day AS INT) AS VARCHAR) AS date, 'wk-20010806-' || substr(md5(day || '-' || platform), 1, 4) AS id FROM d CROSS JOIN (VALUES ('linkedin'), ('instagram'), ('facebook')) v(platform)""",
     "c10_week_plan": "SELECT '2001-08-06' AS start, 'drafting' AS phase, '2001-08-09 00:00:00' AS deadline",
     "c14_self_check": f"WITH {R}, c AS (SELECT brand, count(*) FILTER (fate = 'approved') * 5 >= count(*) AS fine FROM r GROUP BY brand) SELECT count(*) FILTER (fine) AS ok, count(*) AS total, coalesce(string_agg(brand, ',' ORDER BY brand) FILTER (NOT fine), '') AS failed FROM c",
-    "c15_context": """WITH c AS (SELECT string_agg('# ' || p_name || chr(10) || p_type, chr(10) || chr(10) ORDER BY p_partkey) AS c FROM part WHERE p_partkey < 40 AND p_name IN ('red ring', 'blue bolt', 'small ring'))
-        SELECT coalesce(c, '') AS context, CAST(ceil(length(coalesce(c, '')) / 4.0) AS BIGINT) AS tokens FROM c""",
+    "c15_context": """WITH c AS (SELECT p_partkey // 50 AS page, string_agg('# ' || p_name || chr(10) || p_type, chr(10) || chr(10) ORDER BY p_partkey) AS c FROM part WHERE p_name IN ('red ring', 'blue bolt', 'small ring') GROUP BY 1)
+        SELECT page, c AS context, CAST(ceil(length(c) / 4.0) AS BIGINT) AS tokens FROM c""",
 }
 DATED = {"d09_phase_deadlines": ("due",)}
 QUERIES = {k: B.as_text(globals()[k], DATED.get(k, ())) for k in (*ORACLES, "s12_files", "w14_react_target")}

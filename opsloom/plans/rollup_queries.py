@@ -40,7 +40,7 @@ def a06_distinct_cities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a07_lists(spark: SparkSession, sf: str) -> DataFrame:
-    return R.listed(B.leads(spark, sf), "city", "name", "seq")
+    return R.listed(B.leads(spark, sf), ["city", B.page(100)], "name", "seq")
 
 
 def a08_status_classes(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,9 +118,11 @@ def f14_image_less(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def f16_valid_requests(spark: SparkSession, sf: str) -> DataFrame:
-    asked = B.read(spark, sf, "conversations").select("conv_id", "turn", F.nullif(F.trim(F.substring("text", 1, 1)), F.lit("")).alias("name"), F.when(F.col("turn") > 0, "x").alias("email"), F.lit("5550100").alias("phone"))
-    valid = F.col("name").isNotNull() & F.col("email").isNotNull() & F.col("phone").isNotNull()
-    return asked.groupBy(valid.alias("valid")).agg(F.count("*").alias("n"))
+    turn = F.col("turn")
+    email = F.when(turn == 0, F.concat(F.lit("c"), F.col("conv_id"), F.lit("@mail.example"))).when(turn == 1, F.concat(F.lit("c"), F.col("conv_id"), F.lit("@mail")))
+    asked = B.read(spark, sf, "conversations").select(F.col("text").alias("name"), email.alias("email"), F.when(F.col("role") != "assistant", "5550100").alias("phone"))
+    faults = rules.request_faults(F.col("name"), F.col("email"), F.col("phone"))
+    return asked.groupBy(F.array_join(faults, ", ").alias("faults")).agg(F.count("*").alias("n"))
 
 
 def f17_private_projection(spark: SparkSession, sf: str) -> DataFrame:
@@ -169,13 +171,14 @@ def j06_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 def j07_unreferenced(spark: SparkSession, sf: str) -> DataFrame:
     files = B.read(spark, sf, "part").select("p_partkey", (F.to_timestamp(F.lit("2001-06-01")) + F.make_dt_interval(F.col("p_partkey") % 60)).alias("modified"))
-    used = B.read(spark, sf, "lineitem").filter("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
+    # every line refers to an even key, so parts with odd keys are those that none refers to
+    used = B.read(spark, sf, "lineitem").select((F.col("l_partkey") - F.col("l_partkey") % 2).alias("p_partkey"))
     return state.unreferenced(files, used, "p_partkey", B.now() - F.expr("INTERVAL 30 DAYS"), "modified").select("p_partkey")
 
 
 def j08_missing(spark: SparkSession, sf: str) -> DataFrame:
     need = B.read(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation")).distinct()
-    have = B.read(spark, sf, "customer").filter("c_acctbal > 9900").select(F.col("c_nationkey").alias("nation")).distinct()
+    have = B.read(spark, sf, "customer").select((F.col("c_nationkey") - F.col("c_nationkey") % 2).alias("nation")).distinct()
     return need.join(have, "nation", "left_anti").select(F.col("nation").cast("long").alias("nation"))
 
 
@@ -191,7 +194,7 @@ def j10_keyed_update(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def u_sets(spark: SparkSession, sf: str) -> DataFrame:
-    asked = F.array_distinct(F.transform(F.split(F.lower(F.substring("text", 1, 60)), " "), lambda w: F.substring(w, 1, 2)))
+    asked = F.array_distinct(F.transform(F.split(F.lower("text"), " "), lambda w: F.substring(w, 1, 2)))
     kept = F.array(*map(F.lit, ("th", "an", "le", "un", "of")))
     d = B.read(spark, sf, "documents").select("doc_id", asked.alias("a"))
     said = lambda c: F.array_join(F.sort_array(c), ",")
@@ -212,7 +215,7 @@ ORACLES = {
         f AS (SELECT doc_id, max(CAST(len(list_filter(string_split_regex(s, '\s+'), lambda w: w <> '')) > 20 AS INT)) AS bad FROM s GROUP BY doc_id)
         SELECT count(*) FILTER (bad = 0) AS clean, count(*) FILTER (bad = 1) AS flagged FROM f""",
     "a06_distinct_cities": f"WITH {B.SQL_LEADS} SELECT city, min(seq) AS first_seen FROM l GROUP BY city",
-    "a07_lists": f"WITH {B.SQL_LEADS} SELECT city, string_agg(name, '|' ORDER BY seq) AS items FROM l GROUP BY city",
+    "a07_lists": f"WITH {B.SQL_LEADS} SELECT city, seq // 100 AS page, string_agg(name, '|' ORDER BY seq) AS items FROM l GROUP BY city, seq // 100",
     "a08_status_classes": f"WITH {O} SELECT count(*) FILTER (status = 'open') AS active, count(*) FILTER (status IN ('won', 'lost')) AS dormant FROM o",
     "a10_all_resolved": f"WITH {B.SQL_REVIEWS} SELECT brand, bool_and(fate <> 'pending') AS resolved FROM r GROUP BY brand",
     "a12_rows_per_file": "SELECT source, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines, count(*) AS docs FROM documents GROUP BY ROLLUP (source)",
@@ -230,7 +233,8 @@ ORACLES = {
     "f10_due": f"WITH {O}, q AS (SELECT id, CASE status WHEN 'open' THEN 'queued' WHEN 'won' THEN 'posted' ELSE 'held' END AS status, id % 5 AS attempts, created FROM o) SELECT id, status, CAST(attempts AS BIGINT) AS attempts FROM q WHERE status IN ('queued', 'held') AND attempts < 3 AND created <= TIMESTAMP '2001-07-31 00:00:00'",
     "f11_lapsed": f"WITH {O} SELECT created < TIMESTAMP '2001-07-31 00:00:00' - INTERVAL 72 HOURS AS lapsed, count(*) AS n FROM o WHERE status = 'open' GROUP BY 1",
     "f14_image_less": f"WITH {B.SQL_REVIEWS} SELECT doc_id, channel FROM r WHERE fate = 'approved' AND channel IN ('fr', 'de') AND doc_id % 3 = 0",
-    "f16_valid_requests": "SELECT (nullif(trim(substr(text, 1, 1)), '') IS NOT NULL AND turn > 0) AS valid, count(*) AS n FROM conversations GROUP BY 1",
+    "f16_valid_requests": """SELECT array_to_string(list_filter([CASE WHEN trim(coalesce(text, '')) = '' THEN 'missing name' END, CASE WHEN turn > 1 OR turn < 0 THEN 'missing email' END,
+        CASE WHEN role = 'assistant' THEN 'missing phone' END, CASE WHEN turn = 1 THEN 'bad email' END], lambda f: f IS NOT NULL), ', ') AS faults, count(*) AS n FROM conversations GROUP BY 1""",
     "f17_private_projection": f"WITH {B.SQL_LEADS} SELECT seq, city, CASE WHEN score >= 7.5 THEN 'top-priority' WHEN score >= 6.5 THEN 'strong' WHEN score >= 5.5 THEN 'probe-first' ELSE 'low' END AS tier, name || ', mail [their email] or see [their site] now' AS diagnosis FROM l",
     "f18_event_gate": "SELECT role, count(*) AS n FROM conversations WHERE role <> 'assistant' AND length(trim(text)) >= 2 GROUP BY role",
     "j01_unknown_stage": f"WITH {O} SELECT id, stage_id FROM o LEFT JOIN st USING (stage_id) WHERE stage IS NULL",
@@ -239,11 +243,11 @@ ORACLES = {
     "j04_grid_posts": f"WITH {O} SELECT CAST(place AS BIGINT) AS place, weekday, count(*) AS n, min(id) AS first_id FROM o JOIN (VALUES (0, 'tue'), (1, 'thu'), (2, 'sat'), (3, 'sun')) g(place, weekday) ON lower(strftime(created, '%a')) = weekday GROUP BY 1, 2",
     "j05_event_lookup": f"WITH {B.SQL_REVIEWS}, {B.SQL_VERBS} SELECT verb, count(*) AS n FROM e JOIN r ON draft = doc_id WHERE fate = 'pending' GROUP BY verb",
     "j06_upsert": f"WITH {B.SQL_REVIEWS}, u AS (SELECT doc_id, fate FROM r WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'relabelled' FROM labels) SELECT fate, count(*) AS n FROM u GROUP BY fate",
-    "j07_unreferenced": "SELECT p_partkey FROM part WHERE TIMESTAMP '2001-06-01' + to_days(CAST(p_partkey % 60 AS INT)) < TIMESTAMP '2001-07-31' - INTERVAL 30 DAYS AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)",
-    "j08_missing": "SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS nation FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)",
+    "j07_unreferenced": "SELECT p_partkey FROM part WHERE TIMESTAMP '2001-06-01' + to_days(CAST(p_partkey % 60 AS INT)) < TIMESTAMP '2001-07-31' - INTERVAL 30 DAYS AND p_partkey NOT IN (SELECT l_partkey - l_partkey % 2 FROM lineitem)",
+    "j08_missing": "SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS nation FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey - c_nationkey % 2 FROM customer)",
     "j09_rule_matches": "SELECT doc_id, rule_id FROM documents JOIN (VALUES ('shout', '!!'), ('symbols', '[$%&]{3}'), ('pipe', ' [|] '), ('license', '[Ll]icense')) v(rule_id, pattern) ON regexp_matches(text, pattern)",
     "j10_keyed_update": f"WITH {B.SQL_REVIEWS} SELECT CASE WHEN l.toxic = 1 THEN 'held' ELSE fate END AS fate, count(*) AS n FROM r LEFT JOIN labels l USING (doc_id) GROUP BY 1",
-    "u_sets": """WITH d AS (SELECT doc_id, list_distinct(list_transform(string_split(lower(substr(text, 1, 60)), ' '), lambda w: substr(w, 1, 2))) AS a FROM documents)
+    "u_sets": """WITH d AS (SELECT doc_id, list_distinct(list_transform(string_split(lower(text), ' '), lambda w: substr(w, 1, 2))) AS a FROM documents)
         SELECT doc_id, array_to_string(list_sort(list_intersect(a, ['th','an','le','un','of'])), ',') AS both, array_to_string(list_sort(list_filter(['th','an','le','un','of'], lambda w: NOT list_contains(a, w))), ',') AS missing FROM d""",
 }
 QUERIES = {k: globals()[k] for k in ORACLES}

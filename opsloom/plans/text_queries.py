@@ -24,7 +24,7 @@ def _say(*parts: str | Column) -> Column:
 
 
 def x01_scrub(spark, sf):
-    text = _say("Sam, ", F.substring("text", 1, 300), " mail a", _id(), "@b.example.org\n see www.x", _id(), ".com/a  end")
+    text = _say("Sam, ", F.col("text"), " mail a", _id(), "@b.example.org\n see www.x", _id(), ".com/a  end")
     return _docs(spark, sf).select("doc_id", X.scrub_identity(text).alias("scrubbed"))
 
 
@@ -47,23 +47,23 @@ def x06_windows(spark, sf):
 
 
 def x07_specific(spark, sf):
-    text = _say("We saw ", F.when(_id() % 4 == 0, "$ 5").when(_id() % 4 == 1, "12 %").when(_id() % 4 == 2, "Pool pumps").otherwise("poolside reno"), " today")
+    # of four documents three get a marker of another kind behind what they say themselves
+    text = _say(F.col("text"), " We saw ", F.when(_id() % 4 == 0, "$ 5").when(_id() % 4 == 1, "12 %").when(_id() % 4 == 2, "Pool pumps").otherwise("poolside reno"), " today")
     return _docs(spark, sf).select("doc_id", X.is_specific(text).alias("specific"))
 
 
 def x08_strip_dashes(spark, sf):
-    text = F.concat(F.lit("– lead "), _id(), F.lit(" – "), _id() + 1, F.lit(" then two — three. — four, - five follow-up x - y $ – z end— "), F.col("source"))
+    text = _say("– lead ", _id(), " – ", _id() + 1, " then two — three. — four, - five follow-up x - y $ – z end— ", F.col("text"), "\n— ", F.col("source"))
     return _docs(spark, sf).select("doc_id", X.strip_dashes(text).alias("stripped"))
 
 
 def x09_strip_scaffolding(spark, sf):
-    body = F.trim(F.regexp_replace(F.substring("text", 1, 80), "\\s+", " "))
-    text = _say("\nHere's the draft:\n---\n", body, "\n\n\n\nlast ", _id(), "\n***\nNext move: call")
+    text = _say("\nHere's the draft:\n---\n", F.col("text"), "\n\n\n\nlast ", _id(), "\n***\nNext move: call")
     return _docs(spark, sf).select("doc_id", X.strip_scaffolding(text).alias("stripped"))
 
 
 def x10_sanity(spark, sf):
-    text = _say("In ", _id() % 40 + 1990, " and 1998. Data shows it, according to a study", F.when(_id() % 2 == 0, "").otherwise(" Google \"abc\" and"))
+    text = _say("In ", _id() % 40 + 1990, " and 1998. Data shows it, according to a study", F.when(_id() % 2 == 0, "").otherwise(" Google \"abc\" and"), ". ", F.col("text"))
     hard, soft = R.sanity(text, 2026)
     told = lambda c: F.array_join(F.transform(c, lambda f: f["detail"]), "; ")
     return _docs(spark, sf).select("doc_id", told(hard).alias("hard"), told(soft).alias("soft"))
@@ -80,7 +80,7 @@ def x12_structures(spark, sf):
 
 
 def x13_dash_policy(spark, sf):
-    text = _say("a", F.when(_id() % 2 == 0, " - ").otherwise("-"), "b", F.when(_id() % 3 == 0, "—").otherwise(","), F.when(_id() % 5 == 0, "–").otherwise("."))
+    text = _say("a", F.when(_id() % 2 == 0, " - ").otherwise("-"), "b", F.when(_id() % 3 == 0, "—").otherwise(","), F.when(_id() % 5 == 0, "–").otherwise("."), F.col("text"))
     found = R.dashes(text, "none")
     return _docs(spark, sf).select("doc_id", F.array_join(F.transform(found, lambda f: f["detail"]), "; ").alias("details"))
 
@@ -111,12 +111,12 @@ def x17_validate(spark, sf):
 
 
 def x18_feedback(spark, sf):
-    checked = R.validate(_docs(spark, sf).filter("n_chars < 400"), R.Voice(structures=[("shout", "[a-z]+!!")], most_words=10_000))
+    checked = R.validate(_docs(spark, sf), R.Voice(structures=[("shout", "[a-z]+!!")], most_words=10_000))
     return checked.select("doc_id", R.feedback(F.col("hard"), F.col("soft"), _id() % 2).alias("feedback"))
 
 
 def x19_openers(spark, sf):
-    text = _say(F.when(_id() % 3 == 0, "Certainly! ").when(_id() % 3 == 1, "Great question, absolutely. ").otherwise("I "), "say ", _id(), " ")
+    text = _say(F.when(_id() % 3 == 0, "Certainly! ").when(_id() % 3 == 1, "Great question, absolutely. ").otherwise("I "), "say ", _id(), " ", F.col("text"))
     return _docs(spark, sf).select("doc_id", X.strip_openers(text).alias("said"))
 
 
@@ -143,7 +143,7 @@ def x28_chunks(spark, sf):
 
 
 def x29_headline(spark, sf):
-    return _docs(spark, sf).select("doc_id", X.headline(F.col("text")).alias("headline"), X.one_liner(F.col("text")).alias("line"), N.headline_size(F.substring("text", 1, 30 + 1), _id() % 2 == 0).alias("size"))
+    return _docs(spark, sf).select("doc_id", X.headline(F.col("text")).alias("headline"), X.one_liner(F.col("text")).alias("line"), N.headline_size(X.headline(F.col("text")), _id() % 2 == 0).alias("size"))
 
 
 def x32_uptime(spark, sf):
@@ -153,7 +153,7 @@ def x32_uptime(spark, sf):
 
 def x33_slug(spark, sf):
     d = _docs(spark, sf)
-    return d.select("doc_id", X.slug(F.substring("text", 1, 90)).alias("slug"), X.note_name(F.lit("--"), F.lit("2026-01-02").cast("date")).alias("note"))
+    return d.select("doc_id", X.slug(F.col("text")).alias("slug"), X.note_name(F.lit("--"), F.lit("2026-01-02").cast("date")).alias("note"))
 
 
 def x35_cron(spark, sf):
@@ -182,8 +182,9 @@ def x38_ids(spark, sf):
 
 
 def x40_numbered(spark, sf):
-    lists = B.leads(spark, sf).filter("seq < 60").groupBy("city").agg(F.array_sort(F.collect_list(F.struct("seq", "name"))).alias("l"))
-    return lists.select("city", X.numbered(F.transform("l", lambda s: _say("(", F.col("city"), ") ", s["name"]))).alias("lines"))
+    # a page of a city's leads is a list of 60 at most
+    lists = B.leads(spark, sf).groupBy("city", B.page(60)).agg(F.array_sort(F.collect_list(F.struct("seq", "name"))).alias("l"))
+    return lists.select("city", "page", X.numbered(F.transform("l", lambda s: _say("(", F.col("city"), ") ", s["name"]))).alias("lines"))
 
 
 def x43_tags(spark, sf):
@@ -193,7 +194,7 @@ def x43_tags(spark, sf):
 
 
 def x45_after_marker(spark, sf):
-    return _docs(spark, sf).select("doc_id", X.after_marker(F.substring("text", 1, 3000), "the", 100).alias("tail"), X.first_match(F.col("text"), [("!!", "loud"), ("$$$", "symbols"), (" und ", "german")], "plain").alias("kind"))
+    return _docs(spark, sf).select("doc_id", X.after_marker(F.col("text"), "the", 100).alias("tail"), X.first_match(F.col("text"), [("!!", "loud"), ("$$$", "symbols"), (" und ", "german")], "plain").alias("kind"))
 
 
 def x47_lookup(spark, sf):
@@ -243,11 +244,48 @@ RECAP = r"(?i)\b(?:spent|made|been|tried|worked|grinded|grinding)\b.{0,80}\b(?:t
 SPECIFIC = r"""(regexp_matches(text, '\$\s?\d') OR regexp_matches(text, '\b\d+\s?%') OR regexp_matches(text, '(?i)\b(?:pool|pest|hvac|landscaping|carpet|garage|handyman|cleaning|plumbing|electrical|roofing)\b')
     OR regexp_matches(text, '\b(?:Henderson|Summerlin|Vegas|NLV|Boulder City|Pahrump|Mesquite|Reno|Sparks)\b'))"""
 SOFT = f"CAST(regexp_matches(text, '(?i)\\bthe\\b') AS INT) + CAST(regexp_matches(text, '(?i)\\bund\\b') AS INT) + CAST(regexp_matches(text, '{RECAP}') AS INT)"
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _re2(pattern: str) -> str:
+    """A fixed pattern of X in DuckDB's dialect: word boundaries for the lookarounds that stand for them."""
+    for look in ("(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"):
+        pattern = pattern.replace(look, r"\b")
+    return pattern
+
+
+def _dash_step(pattern: str, becomes: str, raised: bool) -> str:
+    replaced = f"regexp_replace(t, {_literal(pattern)}, {_literal(becomes.replace('$', chr(92)))}, 'g')"
+    if not raised:
+        return replaced
+    return f"array_to_string(list_transform(string_split({replaced}, chr(1)), lambda p, i: CASE WHEN i = 1 THEN p ELSE upper(substr(p, 1, 1)) || substr(p, 2) END), '')"
+
+
+#: t0 (doc_id, t) -> the same after each step; the same fixed values as X.DASH_STEPS.
+DASHES = ", ".join(f"t{i + 1} AS (SELECT * REPLACE ({_dash_step(*step)} AS t) FROM t{i})" for i, step in enumerate(X.DASH_STEPS))
+TRIMMED = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_CHROME = f"({TRIMMED.format('x')} = '' OR regexp_matches(x, {_literal(X.FENCE)}) OR regexp_matches({TRIMMED.format('x')}, {_literal(X.PREAMBLE)}))"
+#: s0 (doc_id, t) -> s4 without scaffolding.
+SCAFFOLDING = f"""s1 AS (SELECT *, string_split(t, chr(10)) AS l FROM s0),
+        s2 AS (SELECT *, list_position(list_transform(l, lambda x: NOT {_CHROME}), true) AS f FROM s1),
+        s3 AS (SELECT * EXCLUDE (t, l, f), CASE WHEN coalesce(f, 0) = 0 THEN [] ELSE l[f:] END AS b FROM s2),
+        s4 AS (SELECT * EXCLUDE (b, cut), {TRIMMED.format("regexp_replace(array_to_string(list_filter(CASE WHEN cut IS NULL THEN b ELSE b[1:cut] END, lambda x: NOT regexp_matches(x, " + _literal(X.FENCE) + ")), chr(10)), chr(10) || '{3,}', repeat(chr(10), 2), 'g')")} AS t
+               FROM (SELECT *, list_max(list_filter(list_transform(b, lambda x, i: CASE WHEN regexp_matches({TRIMMED.format('x')}, {_literal(X.NEXT_MOVE)}) AND i - 1 >= len(b) - 12 THEN i - 1 END), lambda k: k IS NOT NULL)) AS cut FROM s3))"""
+_CITED = ", ".join(f"CASE WHEN regexp_matches(text, {_literal(_re2(p))}) THEN {_literal(label + ': ' + chr(34))} || substr(regexp_extract(text, {_literal(_re2(p))}), 1, 60) || '\" — only claims from our own source sheets' END" for p, label in X.CITATIONS)
+_YEAR = "'year ' || y || ' referenced (current year is 2026)'"
+#: t (doc_id, text) -> sanity (doc_id, hard, soft), lists of details.
+SANITY = f"""y1 AS (SELECT *, regexp_extract_all(text, '\\b(?:19|20)\\d{{2}}\\b') AS ys FROM t),
+        y2 AS (SELECT *, list_filter(ys, lambda y, i: list_position(ys, y) = i AND y <> '2026') AS other FROM y1),
+        sanity AS (SELECT * EXCLUDE (ys, other), list_concat(list_transform(list_filter(other, lambda y: abs(CAST(y AS INT) - 2026) <= 1), lambda y: {_YEAR}), list_filter([{_CITED}], lambda c: c IS NOT NULL)) AS hard,
+            list_transform(list_filter(other, lambda y: abs(CAST(y AS INT) - 2026) > 1), lambda y: {_YEAR}) AS soft FROM y2)"""
 LOUD = "CAST(regexp_matches(text, '(?i)[a-z]+!!') AS INT)"
 
 
 ORACLES = {
-    "x01_scrub": r"""WITH t AS (SELECT doc_id, 'Sam, ' || substr(text, 1, 300) || ' mail a' || doc_id || '@b.example.org' || chr(10) || ' see www.x' || doc_id || '.com/a  end' AS t FROM documents),
+    "x01_scrub": r"""WITH t AS (SELECT doc_id, 'Sam, ' || text || ' mail a' || doc_id || '@b.example.org' || chr(10) || ' see www.x' || doc_id || '.com/a  end' AS t FROM documents),
         u AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '^[A-Z][a-zA-Z''’.-]+,\s+', ''), '(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b', '[their email]', 'g'),
             '(?i)\b(?:https?://|www\.)\S+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|net|org|biz|info|co|io|us)\b\S*', '[their site]', 'g') AS t FROM t)
         SELECT doc_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS scrubbed FROM u""",
@@ -257,14 +295,14 @@ ORACLES = {
     "x06_windows": """WITH p AS (SELECT doc_id, text, string_split(lower(text), 'tion') AS p FROM documents),
         s AS (SELECT doc_id, text, list_transform(range(1, len(p)), lambda i: CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + 4 * (i - 1) AS BIGINT)) AS s FROM p)
         SELECT doc_id, array_to_string(list_transform(s, lambda a: substr(text, greatest(0, a - 10) + 1, least(length(text), a + 14) - greatest(0, a - 10))), '|') AS windows FROM s""",
-    "x07_specific": "SELECT doc_id, doc_id % 4 <> 3 AS specific FROM documents",
-    "x08_strip_dashes": "SELECT doc_id, '- lead ' || doc_id || '-' || (doc_id + 1) || ' then two. Three. Four, five follow-up x. Y $. Z end. ' || upper(substr(source, 1, 1)) || substr(source, 2) AS stripped FROM documents",
-    "x09_strip_scaffolding": r"SELECT doc_id, trim(regexp_replace(substr(text, 1, 80), '\s+', ' ', 'g')) || chr(10) || chr(10) || 'last ' || doc_id AS stripped FROM documents",
-    "x10_sanity": """WITH t AS (SELECT doc_id, doc_id % 40 + 1990 AS y FROM documents)
-        SELECT doc_id, CASE WHEN abs(y - 2026) = 1 THEN 'year ' || y || ' referenced (current year is 2026); ' ELSE '' END || 'according-to citation: "according to a study" — only claims from our own source sheets; '
-            || CASE WHEN doc_id % 2 = 1 THEN 'points readers at a search to find data: "Google "abc" and" — only claims from our own source sheets; ' ELSE '' END
-            || 'vague data claim: "Data shows" — only claims from our own source sheets' AS hard,
-            CASE WHEN abs(y - 2026) > 1 AND y <> 1998 THEN 'year ' || y || ' referenced (current year is 2026); ' ELSE '' END || 'year 1998 referenced (current year is 2026)' AS soft FROM t""",
+    "x07_specific": f"""WITH t AS (SELECT doc_id, text || ' We saw ' || CASE doc_id % 4 WHEN 0 THEN '$ 5' WHEN 1 THEN '12 %' WHEN 2 THEN 'Pool pumps' ELSE 'poolside reno' END || ' today' AS text FROM documents)
+        SELECT doc_id, {SPECIFIC} AS specific FROM t""",
+    "x08_strip_dashes": f"""WITH t0 AS (SELECT doc_id, '– lead ' || doc_id || ' – ' || (doc_id + 1) || ' then two — three. — four, - five follow-up x - y $ – z end— ' || text || chr(10) || '— ' || source AS t FROM documents), {DASHES}
+        SELECT doc_id, t AS stripped FROM t{len(X.DASH_STEPS)}""",
+    "x09_strip_scaffolding": f"""WITH s0 AS (SELECT doc_id, chr(10) || 'Here''s the draft:' || chr(10) || '---' || chr(10) || text || repeat(chr(10), 4) || 'last ' || doc_id || chr(10) || '***' || chr(10) || 'Next move: call' AS t FROM documents), {SCAFFOLDING}
+        SELECT doc_id, t AS stripped FROM s4""",
+    "x10_sanity": f"""WITH t AS (SELECT doc_id, 'In ' || (doc_id % 40 + 1990) || ' and 1998. Data shows it, according to a study' || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' Google "abc" and' END || '. ' || text AS text FROM documents), {SANITY}
+        SELECT doc_id, array_to_string(hard, '; ') AS hard, array_to_string(soft, '; ') AS soft FROM sanity""",
     "x11_banned_words": r"""WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '(?i)\bthe\b')) AS a, len(regexp_extract_all(text, '(?i)\bund\b')) AS b, len(regexp_extract_all(text, '(?i)\bof\b')) AS c,
             string_split(lower(text), 'of') AS p, text FROM documents),
         s AS (SELECT *, list_transform(range(1, len(p)), lambda i: CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + 2 * (i - 1) AS BIGINT)) AS s FROM c),
@@ -273,36 +311,41 @@ ORACLES = {
     "x12_structures": """SELECT doc_id, array_to_string(list_filter([
             CASE WHEN regexp_matches(text, '(?i)[a-z]+!!') THEN 'pattern_id="shout" matched: "' || substr(regexp_extract(text, '(?i)[a-z]+!!'), 1, 60) || '"' END,
             CASE WHEN regexp_matches(text, '[$%&]{3}') THEN 'pattern_id="symbols" matched: "' || regexp_extract(text, '[$%&]{3}') || '"' END], lambda d: d IS NOT NULL), '; ') AS details FROM documents""",
-    "x13_dash_policy": """SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 3 = 0 THEN 'em-dash (—) detected' END, CASE WHEN doc_id % 5 = 0 THEN 'en-dash (–) detected' END,
-            CASE WHEN doc_id % 2 = 0 THEN 'mid-sentence '' - '' detected (use period or comma)' END], lambda d: d IS NOT NULL), '; ') AS details FROM documents""",
+    "x13_dash_policy": """WITH t AS (SELECT doc_id, 'a' || CASE WHEN doc_id % 2 = 0 THEN ' - ' ELSE '-' END || 'b' || CASE WHEN doc_id % 3 = 0 THEN '—' ELSE ',' END || CASE WHEN doc_id % 5 = 0 THEN '–' ELSE '.' END || text AS t FROM documents)
+        SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(t, '—') THEN 'em-dash (—) detected' END, CASE WHEN contains(t, '–') THEN 'en-dash (–) detected' END,
+            CASE WHEN contains(t, ' - ') THEN 'mid-sentence '' - '' detected (use period or comma)' END], lambda d: d IS NOT NULL), '; ') AS details FROM t""",
     "x14_long_sentences": f"WITH s AS (SELECT doc_id, {LONG} AS l {HEAD}) SELECT doc_id, unnest(l) AS detail FROM s",
     "x15_reading_level": f"WITH w AS (SELECT len({WORDS}) AS words, len({SENTENCES}) AS s, CAST(coalesce(list_sum(list_transform({WORDS}, lambda w: {_syllables('w')})), 0) AS BIGINT) AS y {HEAD}) SELECT count(*) FILTER (words > 0 AND 0.39 * (CAST(words AS DOUBLE) / s) + 11.8 * (CAST(y AS DOUBLE) / words) - 15.59 > 12) AS above FROM w",
     "x16_scenarios": f"SELECT doc_id, CAST({LOUD} AS BIGINT) AS hard, CAST({SOFT} AS BIGINT) AS soft {HEAD}",
     "x17_validate": f"""WITH c AS (SELECT doc_id, CAST(regexp_matches(text, '(?i)\\bthe\\b') AS INT) + 2 * {LOUD} + CAST(contains(text, '—') AS INT) + CAST(contains(text, '–') AS INT) + CAST(contains(text, ' - ') AS INT) + len({LONG}) AS hard,
         CAST(NOT {SPECIFIC} AS INT) + {SOFT} AS soft {HEAD}) SELECT doc_id, CAST(hard AS BIGINT) AS hard, CAST(soft AS BIGINT) AS soft, hard = 0 AS passed FROM c""",
-    "x18_feedback": f"""WITH d AS (SELECT doc_id, text, regexp_matches(text, '(?i)[a-z]+!!') AS bad, list_filter([CASE WHEN regexp_matches(text, '(?i)[a-z]+!!') THEN '- [banned_structures] pattern_id="shout" matched: "' || substr(regexp_extract(text, '(?i)[a-z]+!!'), 1, 60) || '"' END, CASE WHEN contains(text, ' - ') THEN '- [dash_policy] mid-sentence '' - '' detected (use period or comma)' END], lambda x: x IS NOT NULL) AS h, NOT {SPECIFIC} AS soft FROM documents WHERE n_chars < 400)
+    "x18_feedback": f"""WITH d AS (SELECT doc_id, text, regexp_matches(text, '(?i)[a-z]+!!') AS bad, list_filter([CASE WHEN regexp_matches(text, '(?i)[a-z]+!!') THEN '- [banned_structures] pattern_id="shout" matched: "' || substr(regexp_extract(text, '(?i)[a-z]+!!'), 1, 60) || '"' END, CASE WHEN contains(text, '—') THEN '- [dash_policy] em-dash (—) detected' END, CASE WHEN contains(text, '–') THEN '- [dash_policy] en-dash (–) detected' END, CASE WHEN contains(text, ' - ') THEN '- [dash_policy] mid-sentence '' - '' detected (use period or comma)' END], lambda x: x IS NOT NULL) AS h, NOT {SPECIFIC} AS soft FROM documents)
         SELECT doc_id, CASE WHEN len(h) = 0 THEN '' ELSE array_to_string(list_concat(['Draft voice-check FAILED on attempt ' || (doc_id % 2 + 1) || '. Issues:', '', 'Hard failures (must fix):'], h,
             CASE WHEN soft THEN ['', 'Soft warnings (review):', '- [required_per_post] no specificity marker found (dollar / %, named industry, or named neighborhood)'] ELSE [] END,
             ['', 'Regenerate the draft to address all hard failures. Preserve voice, specificity, and the', 'scenario pattern. Do NOT introduce banned words/structures to fix one issue.']), chr(10)) END AS feedback FROM d""",
-    "x19_openers": "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'Look — say ' ELSE 'say ' END || doc_id AS said FROM documents",
+    "x19_openers": r"""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Certainly! ' WHEN 1 THEN 'Great question, absolutely. ' ELSE 'I ' END || 'say ' || doc_id || ' ' || text AS t FROM documents),
+        u AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)^certainly[!.,]?\s*', ''), '(?i)^great question[!.,]?\s*', ''), '(?i)^absolutely[!.,]?\s*', ''), '(?i)^of course[!.,]?\s*', '') AS t FROM t)
+        SELECT doc_id, regexp_replace(CASE WHEN regexp_matches(t, '^I\b') THEN regexp_replace(t, '^I\s+', 'Look — ') ELSE t END, '^\s+|\s+$', '', 'g') AS said FROM u""",
     "x21_budget": """WITH t AS (SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, substr(text, 1, 30) AS s FROM documents)
         SELECT doc_id, tokens, CASE WHEN tokens > 3000 THEN substr(s, 1, length(s) // 2) ELSE s END AS scenario, CASE WHEN tokens > 3000 THEN 'truncated' WHEN tokens > 2500 THEN 'warned' ELSE 'ok' END AS status FROM t""",
     "x23_observations": "SELECT event_id, 'again:' || user_id AS kind, value, TRUE AS flag, CAST(0 AS DOUBLE) AS empty, CAST(4 AS BIGINT) AS n FROM events",
     "x26_currency": """SELECT c_custkey, '$' || format('{:,}', CAST(floor(c_acctbal + 0.5) AS BIGINT)) AS money, CASE WHEN c_custkey % 5 = c_custkey % 3 THEN '±0' WHEN c_custkey % 5 > c_custkey % 3 THEN '+' || (c_custkey % 5 - c_custkey % 3) ELSE CAST(c_custkey % 5 - c_custkey % 3 AS VARCHAR) END AS change FROM customer""",
-    "x29_headline": r"""WITH h AS (SELECT doc_id, text, regexp_extract(text, '^[^.!?]+[.!?]') AS s, regexp_extract(text, '^[^.!?\n]+[.!?]') AS o, length(substr(text, 1, 31)) AS n FROM documents),
+    "x29_headline": r"""WITH h AS (SELECT doc_id, text, regexp_extract(text, '^[^.!?]+[.!?]') AS s, regexp_extract(text, '^[^.!?\n]+[.!?]') AS o FROM documents),
         k AS (SELECT *, CASE WHEN s = '' THEN substr(text, 1, 90) ELSE trim(s) END AS c FROM h)
-        SELECT doc_id, CASE WHEN length(c) > 90 THEN substr(c, 1, 87) || '…' ELSE c END AS headline, CASE WHEN o = '' THEN substr(text, 1, 80) ELSE trim(o) END AS line, CAST(CASE WHEN doc_id % 2 = 0 THEN 66 ELSE 84 END AS BIGINT) AS size FROM k""",
+        , h2 AS (SELECT *, CASE WHEN length(c) > 90 THEN substr(c, 1, 87) || '…' ELSE c END AS headline FROM k),
+        z AS (SELECT *, CASE WHEN length(headline) <= 38 THEN 84 WHEN length(headline) <= 64 THEN 68 ELSE 56 END AS base FROM h2)
+        SELECT doc_id, headline, CASE WHEN o = '' THEN substr(text, 1, 80) ELSE trim(o) END AS line, CAST(CASE WHEN doc_id % 2 = 0 THEN floor(base * 0.78 + 0.5) ELSE base END AS BIGINT) AS size FROM z""",
     "x32_uptime": """WITH s AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS s, o_totalprice AS p FROM orders)
         SELECT o_orderkey, (s // 3600) || 'h ' || (s % 3600 // 60) || 'm ' || (s % 60) || 's' AS uptime, CAST(floor(p * 1000 / 1048576 + 0.5) AS BIGINT) || 'MB RSS / ' || CAST(floor(p * 500 / 1048576 + 0.5) AS BIGINT) || 'MB heap' AS memory FROM s""",
-    "x33_slug": "SELECT doc_id, coalesce(nullif(substr(regexp_replace(regexp_replace(lower(substr(text, 1, 90)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), ''), 'untitled') AS slug, '2026-01-02-untitled.md' AS note FROM documents",
+    "x33_slug": "SELECT doc_id, coalesce(nullif(substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), ''), 'untitled') AS slug, '2026-01-02-untitled.md' AS note FROM documents",
     "x35_cron": """SELECT c_custkey, CASE c_custkey % 3 WHEN 2 THEN '0 7 * * * local' ELSE (c_custkey % 60) || ' 7 * * *' END AS expr, CASE WHEN c_custkey % 3 = 0 THEN 'America/Los_Angeles' ELSE 'UTC' END AS zone FROM customer""",
     "x36_ids": """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'urn:li:person:Ab' || c_custkey WHEN 1 THEN 'urn:li:person:s' || c_custkey END AS person, CASE WHEN c_custkey % 4 = 2 THEN 'urn:li:share:' || c_custkey END AS share,
         CASE c_custkey % 4 WHEN 2 THEN CAST(c_custkey AS VARCHAR) WHEN 3 THEN CAST(c_custkey + 100000 AS VARCHAR) END AS graph FROM customer""",
     "x37_not_ready": "SELECT c_custkey % 3 < 2 AS wait, count(*) AS n FROM customer GROUP BY 1",
     "x38_ids": "SELECT c_custkey, 'wk-' || substr(md5(c_name), 1, 4) AS id, 'https://x.example/images/' || md5(c_name) || '.jpg' AS url, md5(c_name) AS token, CAST(NULL AS VARCHAR) AS none FROM customer",
-    "x40_numbered": f"WITH {B.SQL_LEADS}, n AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY seq) AS i FROM l WHERE seq < 60) SELECT city, string_agg(i || '. (' || city || ') ' || name, chr(10) ORDER BY i) AS lines FROM n GROUP BY city",
+    "x40_numbered": f"WITH {B.SQL_LEADS}, n AS (SELECT *, seq // 60 AS page, row_number() OVER (PARTITION BY city, seq // 60 ORDER BY seq) AS i FROM l) SELECT city, page, string_agg(i || '. (' || city || ') ' || name, chr(10) ORDER BY i) AS lines FROM n GROUP BY city, page",
     "x43_tags": "SELECT p_partkey, 'site,lead' || CASE WHEN p_partkey % 2 = 0 THEN ',' || lower(p_type) ELSE '' END AS tags FROM part",
-    "x45_after_marker": """WITH t AS (SELECT doc_id, text, substr(text, 1, 3000) AS s FROM documents), k AS (SELECT *, instr(s, 'the') AS i FROM t),
+    "x45_after_marker": """WITH t AS (SELECT doc_id, text, text AS s FROM documents), k AS (SELECT *, instr(s, 'the') AS i FROM t),
         m AS (SELECT *, CASE WHEN i > 0 THEN substr(s, i + 3) END AS r FROM k)
         SELECT doc_id, CASE WHEN i > 0 THEN CASE WHEN instr(r, 'the') > 0 THEN substr(r, 1, instr(r, 'the') - 1) ELSE r END ELSE right(s, 100) END AS tail,
             CASE WHEN contains(text, '!!') THEN 'loud' WHEN contains(text, '$$$') THEN 'symbols' WHEN contains(text, ' und ') THEN 'german' ELSE 'plain' END AS kind FROM m""",

@@ -44,8 +44,9 @@ def f03_outcomes(spark, sf):
 def _sheets(spark, sf) -> DataFrame:
     row = _say("| ", F.col("seq"), " | ", F.col("name"), " |  ", F.col("score"), " | ", F.when(F.col("seq") % 3 == 0, "").otherwise(F.col("city")), " | Sam, mail a@x.example.org on ", F.col("seq"), F.when(F.col("seq") % 10 == 0, " | more |").otherwise(" |"))
     leads = B.leads(spark, sf)
-    rows = leads.groupBy("city").agg(_joined(leads, "city", "seq", row).alias("rows"))
-    return rows.select(F.col("city").alias("doc"), _say("# Pool\n| a | b |\n\n## Leads Table\n\nnote\n| # | Company | Score | City | Hook |\n|---|:--|--:|---|---|\n", F.col("rows"), "\n\n| 1 | not | this | table | row |").alias("text"))
+    # a sheet holds a page of a city's leads
+    rows = leads.groupBy("city", B.page(100)).agg(_joined(leads, "city", "seq", row).alias("rows"))
+    return rows.select(_say(F.col("city"), " ", F.col("page")).alias("doc"), _say("# Pool\n| a | b |\n\n## Leads Table\n\nnote\n| # | Company | Score | City | Hook |\n|---|:--|--:|---|---|\n", F.col("rows"), "\n\n| 1 | not | this | table | row |").alias("text"))
 
 
 def s02_table_scan(spark, sf):
@@ -60,7 +61,7 @@ def s04_seeds(spark, sf):
 def s05_ranked_leads(spark, sf):
     block = _say("### ", F.col("seq"), ". ", F.col("name"), " — Score: ", F.col("score"), "/10\n\n- **Phone:** (702) ", F.col("seq"), "\n", F.when(F.col("seq") % 2 == 0, '- **Outreach angle:** "say it"\n').otherwise(""))
     leads = B.leads(spark, sf)
-    docs = leads.groupBy(F.col("city").alias("doc")).agg(_say("intro\n", _joined(leads, "city", "seq", block)).alias("text"))
+    docs = leads.groupBy(_say(F.col("city"), " ", F.floor(F.col("seq") / 100)).alias("doc")).agg(_say("intro\n", _joined(leads, "city", "seq", block)).alias("text"))
     return markdown.ranked_leads(docs).select("doc", "rank", "name", "score", "phone", "owner", "angle")
 
 
@@ -112,27 +113,24 @@ def t01_first_decision(spark, sf):
     return S.first_decision(B.verbs(spark, sf), "draft", "verb", "ts", "event_id", ["approve", "kill"]).select("draft", "verb", "event_id")
 
 
-def _histories(spark, sf, what: Column) -> DataFrame:
-    order = F.struct("ts", "event_id", what.alias("what"))
-    return B.verbs(spark, sf).groupBy("draft").agg(F.transform(F.array_sort(F.collect_list(order)), lambda e: e["what"]).alias("h"))
-
-
 def t02_review_fold(spark, sf):
     verb = F.when(F.col("verb") == "ignored", "reply").otherwise(F.col("verb"))
-    out = S.review_outcome(F.col("h"))
-    return _histories(spark, sf, verb).select("draft", out["status"].alias("status"), out["rewrites"].cast("long").alias("rewrites"))
+    walked = S.walk(B.verbs(spark, sf).withColumn("what", verb), "draft", ["ts", "event_id"], "what", S.REVIEW_TURNS, "pending")
+    again = F.col("phase").endswith("again") | (F.col("phase") == "reopened")
+    status = F.when(F.col("phase") == "reopened", "pending").otherwise(F.substring_index("phase", " ", 1))
+    return walked.select("draft", status.alias("status"), again.cast("long").alias("rewrites"))
 
 
 def t04_week_phases(spark, sf):
     names = F.array(*map(F.lit, ("drafted", "resolved", "rendered", "confirmed", "cancel", "lapse", "noise")))
     event = F.get(names, (F.col("event_id") % 7).cast("int"))
-    return _histories(spark, sf, event).select("draft", S.week_phase(F.col("h")).alias("phase"))
+    return S.walk(B.verbs(spark, sf).withColumn("what", event), "draft", ["ts", "event_id"], "what", S.PHASE_TURNS, "drafting")
 
 
 def t06_posting_fold(spark, sf):
     outcome = F.when(F.col("value") < 4, "ok").when(F.col("value") < 20, "not_ready").when(F.col("value") < 40, "config").otherwise("error")
-    out = S.posting_outcome(F.col("h"))
-    return _histories(spark, sf, outcome).select("draft", out["status"].alias("status"), out["attempts"].cast("long").alias("attempts"))
+    walked = S.walk(B.verbs(spark, sf).withColumn("what", outcome), "draft", ["ts", "event_id"], "what", S.POST_TURNS, "queued 0")
+    return walked.select("draft", F.substring_index("phase", " ", 1).alias("status"), F.substring_index("phase", " ", -1).cast("long").alias("attempts"))
 
 
 def t07_daily_once(spark, sf):
@@ -157,8 +155,9 @@ def _by_draft():
 
 
 def t14_timeouts(spark, sf):
-    status = F.when(F.col("value") * 40 > 4000, "down").otherwise("ok")
-    return B.verbs(spark, sf).groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    # signups never answer; others take 40 ms for each unit of their value
+    probe = S.probed(F.when(F.col("verb") != "rewrite", F.floor(F.col("value") * 40)))
+    return B.verbs(spark, sf).select("event_id", probe["status"].alias("status"), probe["latency"].cast("long").alias("latency"))
 
 
 def t15_late_events(spark, sf):
@@ -180,7 +179,8 @@ def k01_snapshot(spark, sf):
 def k02_archive(spark, sf):
     folder = shared_folder(spark)
     for half in (0, 1):
-        sinks.append_archive(B.opportunities(spark, sf).filter((F.col("id") % 2 == half) & (F.col("created") >= "2001-07-01")).select("id", F.col("status").alias("brand"), F.to_date("created").cast("string").alias("day")), folder)
+        rows = B.opportunities(spark, sf).filter(F.col("id") % 2 == half)
+        sinks.append_archive(rows.select("id", F.col("status").alias("brand"), F.trunc("created", "quarter").cast("string").alias("day")), folder)
     return spark.read.parquet(folder).groupBy("brand").agg(F.count("*").alias("n"), F.count_distinct("day").alias("days"))
 
 
@@ -209,10 +209,14 @@ def t_stream_daily_counts(spark, sf):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors see: under spark.checkpoint.dir, else (in tests) a local one."""
+    """A new folder that all executors see: under spark.checkpoint.dir, else, if all run on this machine, a
+    local one."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="opsloom-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or tempfile.mkdtemp(prefix="opsloom-")
     return f"{base}/opsloom-{uuid.uuid4().hex}"
 
 
@@ -222,9 +226,9 @@ FIRST = "f AS (SELECT draft, arg_min(verb, (ts, event_id)) AS verb, min((ts, eve
 ORACLES = {
     "s01_graph": "SELECT CASE c_custkey % 5 WHEN 0 THEN 'entity' WHEN 1 THEN 'relation' WHEN 2 THEN 'skipped' ELSE 'header' END AS kind, count(*) AS n FROM customer WHERE c_custkey % 5 < 4 GROUP BY 1",
     "f03_outcomes": "SELECT 'e' || p_partkey AS source_entity, p_name AS client_name, '30 days: net' AS time_window, CAST(p_partkey % 10 AS DOUBLE) AS before, p_retailprice AS after FROM part WHERE p_partkey % 3 = 1 AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 4 <> 0",
-    "s02_table_scan": f"WITH {L} SELECT city AS doc, row_number() OVER (PARTITION BY city ORDER BY seq) - 1 AS pos, name AS company, CAST(score AS VARCHAR) AS score, CASE WHEN seq % 3 = 0 THEN '' ELSE city END AS city, CAST(seq % 10 = 0 AS BIGINT) AS extra_cells FROM l",
-    "s04_seeds": f"WITH {L} SELECT city AS doc, row_number() OVER (PARTITION BY city ORDER BY seq) - 1 AS pos, CASE WHEN seq % 3 = 0 THEN 'Nowhere' ELSE city END AS city, 'untiered' AS tier, 'mail [their email] on ' || seq AS diagnosis FROM l",
-    "s05_ranked_leads": f"WITH {L} SELECT city AS doc, seq AS rank, name, score || '/10' AS score, '(702) ' || seq AS phone, CAST(NULL AS VARCHAR) AS owner, CASE WHEN seq % 2 = 0 THEN 'say it' END AS angle FROM l",
+    "s02_table_scan": f"WITH {L} SELECT city || ' ' || seq // 100 AS doc, row_number() OVER (PARTITION BY city, seq // 100 ORDER BY seq) - 1 AS pos, name AS company, CAST(score AS VARCHAR) AS score, CASE WHEN seq % 3 = 0 THEN '' ELSE city END AS city, CAST(seq % 10 = 0 AS BIGINT) AS extra_cells FROM l",
+    "s04_seeds": f"WITH {L} SELECT city || ' ' || seq // 100 AS doc, row_number() OVER (PARTITION BY city, seq // 100 ORDER BY seq) - 1 AS pos, CASE WHEN seq % 3 = 0 THEN 'Nowhere' ELSE city END AS city, 'untiered' AS tier, 'mail [their email] on ' || seq AS diagnosis FROM l",
+    "s05_ranked_leads": f"WITH {L} SELECT city || ' ' || seq // 100 AS doc, seq AS rank, name, score || '/10' AS score, '(702) ' || seq AS phone, CAST(NULL AS VARCHAR) AS owner, CASE WHEN seq % 2 = 0 THEN 'say it' END AS angle FROM l",
     "s06_sections": """WITH d AS (SELECT p_partkey AS k FROM part)
         SELECT CAST(k AS VARCHAR) AS doc, CAST(0 AS BIGINT) AS ord, '__header__' AS title, 'top ' || k AS body FROM d
         UNION ALL SELECT CAST(k AS VARCHAR), 1, 'One', CASE WHEN k % 2 = 0 THEN 'again' ELSE 'a' || chr(10) || '### sub' END FROM d
@@ -237,6 +241,12 @@ ORACLES = {
     "s17_state": "SELECT 'p' || s_suppkey AS id, 'queued' AS status, CAST(s_suppkey % 3 AS BIGINT) AS attempts FROM supplier UNION ALL SELECT 'q' || s_suppkey, 'held', 0 FROM supplier",
     "s18_sheets": "SELECT c_name || ', Inc.' AS company_name, CASE WHEN c_custkey % 2 = 0 THEN CAST(4.5 AS DOUBLE) END AS rating, CASE WHEN c_custkey % 3 > 0 THEN CAST(12 AS DOUBLE) END AS reviews, '702555' || lpad(left(CAST(c_custkey AS VARCHAR), 4), 4, '0') AS phone_key, CAST(8 AS DOUBLE) AS score FROM customer",
     "t01_first_decision": f"WITH {V} SELECT draft, arg_min(verb, (ts, event_id)) AS verb, arg_min(event_id, (ts, event_id)) AS event_id FROM e WHERE verb IN ('approve', 'kill') GROUP BY draft",
+    "t02_review_fold": f"""WITH {V}, h AS (SELECT draft, list(CASE WHEN verb = 'ignored' THEN 'reply' ELSE verb END ORDER BY ts, event_id) AS h FROM e GROUP BY draft),
+        f AS (SELECT draft, list_reduce(list_prepend('pending 0', h), lambda s, v: CASE WHEN s = 'pending 0' AND v = 'rewrite' THEN 'awaiting 0' WHEN s LIKE 'pending %' AND v = 'approve' THEN 'approved' || s[8:] WHEN s LIKE 'pending %' AND v = 'kill' THEN 'killed' || s[8:] WHEN s = 'awaiting 0' AND v = 'reply' THEN 'pending 1' ELSE s END) AS s FROM h)
+        SELECT draft, string_split(s, ' ')[1] AS status, CAST(string_split(s, ' ')[2] AS BIGINT) AS rewrites FROM f""",
+    "t04_week_phases": f"""WITH {V}, h AS (SELECT draft, list(['drafted', 'resolved', 'rendered', 'confirmed', 'cancel', 'lapse', 'noise'][event_id % 7 + 1] ORDER BY ts, event_id) AS h FROM e GROUP BY draft)
+        SELECT draft, list_reduce(list_prepend('drafting', h), lambda s, v: CASE WHEN s = 'drafting' AND v = 'drafted' THEN 'text_review' WHEN s = 'text_review' AND v = 'resolved' THEN 'image_gen' WHEN s = 'image_gen' AND v = 'rendered' THEN 'final_review' WHEN s = 'final_review' AND v = 'confirmed' THEN 'scheduled'
+            WHEN s IN ('drafting', 'text_review', 'image_gen', 'final_review') AND v = 'cancel' THEN 'cancelled' WHEN s IN ('text_review', 'final_review') AND v = 'lapse' THEN 'lapsed' ELSE s END) AS phase FROM h""",
     "t06_posting_fold": f"""WITH {V}, o AS (SELECT draft, ts, event_id, CASE WHEN value < 4 THEN 'ok' WHEN value < 40 THEN 'wait' ELSE 'error' END AS o FROM e),
         c AS (SELECT *, count(*) FILTER (o = 'error') OVER w AS errors, count(*) FILTER (o = 'ok') OVER w AS oks FROM o WINDOW w AS (PARTITION BY draft ORDER BY ts, event_id)),
         l AS (SELECT * FROM c WHERE (oks = 0 OR (oks = 1 AND o = 'ok')) AND (errors < 3 OR (errors = 3 AND o = 'error')))
@@ -245,13 +255,14 @@ ORACLES = {
     "t08_single_active": f"WITH {R} SELECT brand, count(*) FILTER (fate = 'pending') = 0 AS may_start FROM r GROUP BY brand",
     "t11_attempts": f"""WITH {V}, a AS (SELECT draft, row_number() OVER (PARTITION BY draft ORDER BY ts, event_id) AS attempt, value < 10 AS passed FROM e),
         b AS (SELECT draft, min(attempt) FILTER (passed) AS f, max(attempt) AS l FROM a WHERE attempt <= 3 GROUP BY draft) SELECT draft, coalesce(f, l) AS attempt, f IS NOT NULL AS passed FROM b""",
-    "t14_timeouts": f"WITH {V} SELECT CASE WHEN value * 40 > 4000 THEN 'down' ELSE 'ok' END AS status, count(*) AS n FROM e GROUP BY 1",
+    "t14_timeouts": f"""WITH {V}, p AS (SELECT event_id, CASE WHEN verb <> 'rewrite' THEN CAST(floor(value * 40) AS BIGINT) END AS ms FROM e)
+        SELECT event_id, CASE WHEN ms IS NULL OR ms > 4000 THEN 'down' ELSE 'ok' END AS status, least(coalesce(ms, 4000), 4000) AS latency FROM p""",
     "t15_late_events": f"WITH {V}, {FIRST} SELECT e.verb, count(*) AS dropped FROM e JOIN f USING (draft) WHERE e.verb <> 'ignored' AND (e.ts, e.event_id) > f.m GROUP BY 1",
     "k01_snapshot": f"WITH {R} SELECT CASE WHEN fate = 'pending' THEN 'pending' ELSE 'seen' END AS fate, count(*) AS n FROM r GROUP BY 1",
-    "k02_archive": f"WITH {B.SQL_OPPORTUNITIES} SELECT status AS brand, count(*) AS n, count(DISTINCT CAST(created AS DATE)) AS days FROM o WHERE created >= DATE '2001-07-01' GROUP BY 1",
+    "k02_archive": f"WITH {B.SQL_OPPORTUNITIES} SELECT status AS brand, count(*) AS n, count(DISTINCT date_trunc('quarter', created)) AS days FROM o GROUP BY 1",
     "k08_log_lines": f"""WITH {V} SELECT event_id, '{{"t":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","level":"' || CASE WHEN verb = 'kill' THEN 'warn' ELSE 'info' END || '","msg":"' || verb || '","draft":' || draft || '}}' AS line FROM e""",
     "k11_notes": "SELECT p_partkey, '---' || chr(10) || 'title: ' || p_name || chr(10) || 'date: 2026-01-02' || chr(10) || '---' || chr(10) || chr(10) || replace(p_name, ' ', '-') AS note, substr(repeat(p_name, 300), 1, 1800) AS alert FROM part",
     "t_stream_daily_counts": f"WITH {V} SELECT CAST(date_trunc('day', ts) AS VARCHAR) AS day, verb, count(*) AS n FROM e GROUP BY 1, 2",
 }
 ORACLES["t_stream_first_decision"] = ORACLES["t01_first_decision"]
-QUERIES = {k: globals()[k] for k in (*ORACLES, "t02_review_fold", "t04_week_phases", "k04_messages")}
+QUERIES = {k: globals()[k] for k in (*ORACLES, "k04_messages")}

@@ -38,7 +38,8 @@ def table_rows(docs: DataFrame, title: str = "## Leads Table", text: str = "text
     names a company and a hook; a rule row under it is left out; the table ends at the first other line.
     row: map of lower-cased header to cell, "" where cells are missing; cells beyond the header are counted."""
     below = docs.withColumn("_l", lines_of(F.col(text)))
-    below = below.withColumn("_l", F.when(_first(F.col("_l"), lambda x: F.contains(x, F.lit(title))) >= 0, _from(F.col("_l"), _first(F.col("_l"), lambda x: F.contains(x, F.lit(title))) + 1)))
+    below = below.withColumn("_t", _first(F.col("_l"), lambda x: F.contains(x, F.lit(title))))
+    below = below.withColumn("_l", F.when(F.col("_t") >= 0, _from(F.col("_l"), F.col("_t") + 1)))
     is_header = lambda x: _pipe(x) & F.contains(F.lower(x), F.lit("company")) & F.contains(F.lower(x), F.lit("hook"))
     headed = below.withColumn("_h", _first(F.col("_l"), is_header)).filter(F.col("_h") >= 0)
     header = X.table_cells(F.lower(F.get("_l", F.col("_h"))))
@@ -69,6 +70,7 @@ def seeds(docs: DataFrame, default_city: str = "Unknown", default_tier: str = "u
     return made.filter(F.col("diagnosis") != "")
 
 
+# Headers, fields and block names are the formats' own.
 HEADER = r"^###\s+(\d+)\.\s+(.+?)\s+—\s+Score:\s*([0-9.]+/10)\s*\z"
 LEAD_FIELDS = (("phone", "- **Phone:**"), ("website", "- **Website:**"), ("owner", "- **Owner:**"), ("angle", "- **Outreach angle:**"))
 

@@ -15,7 +15,7 @@ def write_snapshot(state: DataFrame, path: str, version: int) -> str:
 
 def append_archive(entries: DataFrame, path: str) -> None:
     """Entries by brand and business day; files are only ever added."""
-    entries.write.mode("append").partitionBy("brand", "day").parquet(path)
+    entries.repartition("brand", "day").write.mode("append").partitionBy("brand", "day").parquet(path)
 
 
 def write_report(lines: DataFrame, path: str, line: str = "line", order: str = "ord") -> None:
