@@ -42,10 +42,6 @@ def dirty_number(text: Column) -> Column:
     return F.trim(text).try_cast("double")
 
 
-def percent(part: Column, whole: Column) -> Column:
-    return F.when(whole == 0, 0).otherwise(half_up(part * 100.0 / whole)).cast("long")
-
-
 def headline_size(text: Column, short_canvas: Column) -> Column:
     base = F.when(F.length(text) <= 38, 84).when(F.length(text) <= 64, 68).otherwise(56)
     return F.when(short_canvas, half_up(base * 0.78)).otherwise(base).cast("long")

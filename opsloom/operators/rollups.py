@@ -70,6 +70,6 @@ def listed(rows: DataFrame, keys: list[str | Column], value: str, order: str, na
     return rows.groupBy(*keys).agg(F.array_join(F.transform(pairs, lambda p: p["v"]), "|").alias(name))
 
 
-def backlog_gate(pending: DataFrame, planned: int, cap: int) -> DataFrame:
-    """(backlog, admitted): nothing is admitted if it would pass the cap."""
-    return pending.agg(F.count("*").alias("backlog")).withColumn("admitted", F.when(F.col("backlog") + planned > cap, 0).otherwise(planned).cast("long"))
+def backlog_gate(pending: DataFrame, planned: int, cap: int, *keys: str) -> DataFrame:
+    """(*keys, backlog, admitted): nothing is admitted if it would pass the cap."""
+    return pending.groupBy(*keys).agg(F.count("*").alias("backlog")).withColumn("admitted", F.when(F.col("backlog") + planned > cap, 0).otherwise(planned).cast("long"))

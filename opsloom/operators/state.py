@@ -36,41 +36,6 @@ def first_decision(events: DataFrame, key: str, verb: str, at: str, event_id: st
     return deciding.groupBy(key).agg(F.min_by(F.struct(verb, at, event_id), F.struct(at, event_id)).alias("d")).select(key, "d.*")
 
 
-def review_outcome(verbs: Column, most_rewrites: int = 1) -> Column:
-    """Fold of a draft's verbs in order (approve, kill, rewrite, reply): struct(status, rewrites). A rewrite
-    request waits for a reply, which reopens the draft, once."""
-    start = F.struct(F.lit("pending").alias("status"), F.lit(0).alias("rewrites"))
-
-    def turn(s: Column, v: Column) -> Column:
-        pending, waiting = s["status"] == "pending", s["status"] == "awaiting"
-        status = (
-            F.when(pending & (v == "approve"), "approved")
-            .when(pending & (v == "kill"), "killed")
-            .when(pending & (v == "rewrite") & (s["rewrites"] < most_rewrites), "awaiting")
-            .when(waiting & (v == "reply"), "pending")
-            .otherwise(s["status"])
-        )
-        return F.struct(status.alias("status"), (s["rewrites"] + F.when(waiting & (v == "reply"), 1).otherwise(0)).alias("rewrites"))
-
-    return F.aggregate(verbs, start, turn)
-
-
-def posting_outcome(outcomes: Column, most_attempts: int = 3) -> Column:
-    """Fold of a post's outcomes in order (ok, config, not_ready, error): struct(status, attempts,
-    container). Configuration and unfinished media hold without an attempt; other errors count."""
-    start = F.struct(F.lit("queued").alias("status"), F.lit(0).alias("attempts"), F.lit(False).alias("container"))
-
-    def tick(s: Column, o: Column) -> Column:
-        live = s["status"].isin("queued", "held") & (s["attempts"] < most_attempts)
-        failed = live & (o == "error")
-        attempts = s["attempts"] + F.when(failed, 1).otherwise(0)
-        status = F.when(~live, s["status"]).when(o == "ok", "posted").when(failed & (attempts >= most_attempts), "failed").otherwise("held")
-        container = F.when(~live, s["container"]).when(o == "not_ready", True).when(o == "error", False).otherwise(s["container"])
-        return F.struct(status.alias("status"), attempts.alias("attempts"), container.alias("container"))
-
-    return F.aggregate(outcomes, start, tick)
-
-
 #: (phase, event) -> phase of a weekly cycle; other pairs leave the phase as it is.
 WEEK_TURNS = (
     ("drafting", "drafted", "text_review"),
@@ -81,18 +46,6 @@ WEEK_TURNS = (
 OPEN_PHASES = ("drafting", "text_review", "image_gen", "final_review")
 
 
-def week_phase(events: Column) -> Column:
-    """Fold of a week's events; cancel and lapse end any open phase."""
-
-    def turn(phase: Column, event: Column) -> Column:
-        moved = F.when(phase.isin(*OPEN_PHASES) & (event == "cancel"), "cancelled").when(phase.isin("text_review", "final_review") & (event == "lapse"), "lapsed")
-        for was, said, now in WEEK_TURNS:
-            moved = moved.when((phase == was) & (event == said), now)
-        return moved.otherwise(phase)
-
-    return F.aggregate(events, F.lit("drafting"), turn)
-
-
 #: (phase, event) -> phase of a review: a rewrite request waits for a reply, which reopens the draft, once.
 REVIEW_TURNS = (
     ("pending", "approve", "approved"),
@@ -104,7 +57,8 @@ REVIEW_TURNS = (
 )
 #: The same of a week's phases, with what ends an open one.
 PHASE_TURNS = WEEK_TURNS + tuple((p, "cancel", "cancelled") for p in OPEN_PHASES) + tuple((p, "lapse", "lapsed") for p in ("text_review", "final_review"))
-#: The same of a post: phases hold the number of failed attempts.
+#: The same of a post: phases hold the number of failed attempts. Configuration and unfinished media hold it
+#: without an attempt.
 POST_TURNS = tuple(
     turn
     for n in range(3)

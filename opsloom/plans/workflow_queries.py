@@ -205,7 +205,7 @@ def t_stream_first_decision(spark, sf):
 
 def t_stream_daily_counts(spark, sf):
     stream = reviews.daily_counts(reviews.event_stream(spark, sf, "events.parquet"))
-    return reviews.drained(stream, shared_folder(spark), "complete").select(F.col("day").cast("string").alias("day"), "verb", "n")
+    return reviews.drained(stream, shared_folder(spark)).select(F.col("day").cast("string").alias("day"), "verb", "n")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -262,7 +262,7 @@ ORACLES = {
     "k02_archive": f"WITH {B.SQL_OPPORTUNITIES} SELECT status AS brand, count(*) AS n, count(DISTINCT date_trunc('quarter', created)) AS days FROM o GROUP BY 1",
     "k08_log_lines": f"""WITH {V} SELECT event_id, '{{"t":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","level":"' || CASE WHEN verb = 'kill' THEN 'warn' ELSE 'info' END || '","msg":"' || verb || '","draft":' || draft || '}}' AS line FROM e""",
     "k11_notes": "SELECT p_partkey, '---' || chr(10) || 'title: ' || p_name || chr(10) || 'date: 2026-01-02' || chr(10) || '---' || chr(10) || chr(10) || replace(p_name, ' ', '-') AS note, substr(repeat(p_name, 300), 1, 1800) AS alert FROM part",
-    "t_stream_daily_counts": f"WITH {V} SELECT CAST(date_trunc('day', ts) AS VARCHAR) AS day, verb, count(*) AS n FROM e GROUP BY 1, 2",
+    "t_stream_daily_counts": f"WITH {V} SELECT CAST(date_trunc('day', ts) AS VARCHAR) AS day, verb, count(*) AS n FROM e WHERE date_trunc('day', ts) + INTERVAL 2 DAYS <= (SELECT max(ts) FROM e) GROUP BY 1, 2",
 }
 ORACLES["t_stream_first_decision"] = ORACLES["t01_first_decision"]
 QUERIES = {k: globals()[k] for k in (*ORACLES, "k04_messages")}

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from opsloom.functions import numbers as N
 from opsloom.functions import text as X
+from opsloom.operators.rules import request_faults
 
 GRAPH = "type string, name string, entityType string, observations array<string>, `from` string, `to` string, relationType string, source string"
 
@@ -59,10 +59,6 @@ def research_rows(lines: DataFrame, line: str = "value") -> DataFrame:
     return r.withColumns({"rating": N.dirty_number(F.col("google_rating")), "reviews": N.dirty_number(F.col("review_count")), "phone_key": F.right(F.regexp_replace("phone", "[^0-9]", ""), F.lit(10))})
 
 
-def read_sheet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, multiLine=True, escape='"')
-
-
 def snapshot_rows(files: DataFrame, schema: str, version: int = 1, text: str = "text") -> DataFrame:
     """Records of JSON state files; another schema version ends the job with an error."""
     held = files.select(F.from_json(text, f"schemaVersion int, records array<struct<{schema}>>").alias("s"))
@@ -70,9 +66,14 @@ def snapshot_rows(files: DataFrame, schema: str, version: int = 1, text: str = "
     return guarded.filter(F.col("ok").isNull()).select(F.explode("s.records").alias("r")).select("r.*")
 
 
-def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
-    """What a source that doesn't exist gives."""
-    return spark.createDataFrame([], schema)
+def form_requests(asked: DataFrame, body: str) -> DataFrame:
+    """asked without its JSON bodies, with faults (why a request is refused; a broken body is one) and, of good
+    ones, tags; refused ones have null tags."""
+    kind = "firstName string, lastName string, email string, phone string, business string, businessType string, budget string, _bad string"
+    read = asked.withColumn("_r", F.from_json(body, kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    faults = F.when(F.col("_r").isNull() | F.col("_r._bad").isNotNull(), F.array(F.lit("invalid JSON"))).otherwise(request_faults(F.col("_r.firstName"), F.col("_r.email"), F.col("_r.phone")))
+    judged = read.withColumn("faults", faults)
+    return judged.withColumn("tags", F.when(F.size("faults") == 0, X.tags(["request", "hot"], F.col("_r.businessType")))).drop("_r", body)
 
 
 CLOCK = r"^([01][0-9]|2[0-3]):[0-5][0-9]\z"

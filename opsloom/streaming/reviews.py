@@ -24,40 +24,44 @@ def event_stream(spark: SparkSession, path: str, glob: str = "*.parquet") -> Dat
     return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("draft"), verb.alias("verb"))
 
 
-def _first(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(batches)
-    if state.exists or rows.empty:
-        return
-    best = rows.sort_values(["ts", "event_id"]).iloc[0]
-    state.update((str(best["verb"]),))
-    yield pd.DataFrame({"draft": [key[0]], "verb": [best["verb"]], "ts": [best["ts"]], "event_id": [best["event_id"]]})
-
-
-def first_decisions(events: DataFrame, verbs: tuple[str, ...] = ("approve", "kill")) -> DataFrame:
-    """The first decision of each draft; what comes later changes nothing."""
-    deciding = events.filter(F.col("verb").isin(*verbs))
-    return deciding.groupBy("draft").applyInPandasWithState(_first, OUT, "verb string", "append", GroupStateTimeout.NoTimeout)
+def _first(keep_ms: int):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(batches)
+        if state.exists or rows.empty:
+            return
+        best = rows.sort_values(["ts", "event_id"]).iloc[0]
+        state.update((str(best["verb"]),))
+        decided = int(best["ts"].timestamp() * 1000)
+        state.setTimeoutTimestamp(max(decided, state.getCurrentWatermarkMs()) + keep_ms)
+        yield pd.DataFrame({"draft": [key[0]], "verb": [best["verb"]], "ts": [best["ts"]], "event_id": [best["event_id"]]})
+
+    return run
+
+
+def first_decisions(events: DataFrame, verbs: tuple[str, ...] = ("approve", "kill"), keep_days: int = 400, late: str = "400 days") -> DataFrame:
+    """The decision of each draft: of the first batch that has one, the earliest in it. What comes in later
+    batches changes nothing, though it be earlier by its own time: a decision that was acted on stands. Events
+    that are `late` behind the newest are dropped. State is one row for a draft, let go keep_days of event time
+    after the decision; by then drafts are archived."""
+    deciding = events.filter(F.col("verb").isin(*verbs)).withWatermark("ts", late)
+    return deciding.groupBy("draft").applyInPandasWithState(_first(keep_days * 86_400_000), OUT, "verb string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Events by day; a day closes when events a `late` after it have come."""
+    """Events by day. A day comes out once, when events that are `late` after its end have come; what comes in
+    after that is dropped. The last days stay open."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "verb").agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "verb", "n")
 
 
-def once_a_day(events: DataFrame) -> DataFrame:
-    """One event per day, whichever comes first."""
-    return events.withColumn("day", F.to_date("ts")).withWatermark("ts", "2 days").dropDuplicatesWithinWatermark(["day"])
-
-
-def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and read what it wrote. folder must be shared by all executors."""
-    out = f"{folder}/stream-{uuid.uuid4().hex}"
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").start(f"{out}-rows")
-    else:
-        # whole results replace each other, by batch, so a repeated batch changes nothing
-        query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}-rows")).start()
+def drained(stream: DataFrame, folder: str, name: str | None = None) -> DataFrame:
+    """Run a stream over all that is there and read what it wrote so far. folder must be shared by all
+    executors; with a name, a later run goes on where the last one of that name ended."""
+    out = f"{folder}/stream-{name or uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", f"{out}-state").trigger(availableNow=True)
+    query = writer.format("parquet").start(f"{out}-rows")
     query.awaitTermination()
     if query.exception():
         raise query.exception()

@@ -1,12 +1,13 @@
 """Column functions against plain Python and stated cases."""
 
 import datetime as dt
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from opsloom.functions import dates, numbers, text
+from opsloom.functions import dates, numbers, prompts, text
 
 
 def values(spark, column, rows, schema="t string"):
@@ -75,7 +76,35 @@ def test_observation_map(spark):
 
 
 def test_bad_patterns_are_left_out(spark):
-    assert text.valid_patterns(spark, ["a+", "(", "[z"]) == ["a+"]
+    assert text.valid_patterns(["a+", "(", "[z"]) == ["a+"]
+
+
+def test_syllables_of_a_text_are_those_of_its_words(spark, sf):
+    rows = ["coffee the e ee a bee co-op rhythm Apple's Élan é1 naïve eye ae aee bcd-e e-bcde", "", "  ", "12 34 ...", "queue\tme\nbe  table"]
+    per_word = F.aggregate(text.tokens(F.col("t")), F.lit(0).cast("long"), lambda a, w: a + text.syllables(w))
+    docs = spark.createDataFrame([(r,) for r in rows], "t string").unionByName(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("text").alias("t")))
+    assert docs.filter(text.syllable_count(F.col("t")) != per_word).count() == 0
+    assert docs.filter(text.word_count(F.col("t")) != F.size(text.tokens(F.col("t")))).count() == 0
+
+
+def test_exceptions_nearby(spark):
+    """Against the windows around each occurrence."""
+    rng = random.Random(2)
+    rows = ["".join(rng.choice(["of", "OF", "e", "x", "ratio", "\n", " " * 20, "offe", "é"]) for _ in range(rng.randint(0, 14))) for _ in range(300)]
+    docs = spark.createDataFrame([(r,) for r in rows], "t string")
+    for term, exception in (("of", "e"), ("of", "ratio"), ("Of", "ff")):
+        near = F.transform(text.context_windows(F.col("t"), term), F.lower)
+        broken = F.exists(near, lambda w: ~F.contains(w, F.lit(exception)))
+        assert docs.filter(broken != text.lacks_nearby(F.col("t"), term, exception)).count() == 0
+
+
+def test_prompts(spark):
+    rows = [("a", "v", None, "f", "t", "s" * 13_000), ("b", None, "r", "f", "t", None)]
+    table = spark.createDataFrame(rows, "brand string, voice string, refs string, fallback string, title string, scenario string")
+    made = prompts.system_prompt(*(F.col(c) for c in ("brand", "voice", "refs", "fallback", "title", "scenario")))
+    first, second = (r["m"] for r in table.select(made.alias("m")).orderBy("brand").collect())
+    assert first["truncated"] and first["warnings"] == ["references missing", "scenario halved"] and "s" * 6500 + "\n\n[..." in first["prompt"] and "s" * 6501 not in first["prompt"]
+    assert second["warnings"] == ["scenario missing"] and "VOICE:\n" not in second["prompt"] and second["tokens"] == -(-len(second["prompt"]) // 4)
 
 
 def test_context_windows(spark):

@@ -78,23 +78,85 @@ def python_review(verbs):
     return status, rewrites
 
 
-def test_review_fold(spark):
+def python_post(outcomes):
+    status, attempts = "queued", 0
+    for o in outcomes:
+        if status not in ("queued", "held"):
+            break
+        attempts += o == "error"
+        status = "posted" if o == "ok" else "failed" if attempts == 3 else "held"
+    return status, attempts
+
+
+def python_week(events):
+    phase = "drafting"
+    for e in events:
+        turns = {(a, b): c for a, b, c in state.WEEK_TURNS}
+        if e == "cancel" and phase in state.OPEN_PHASES:
+            phase = "cancelled"
+        elif e == "lapse" and phase in ("text_review", "final_review"):
+            phase = "lapsed"
+        else:
+            phase = turns.get((phase, e), phase)
+    return phase
+
+
+@pytest.mark.parametrize(
+    "turns,start,words,fold,said",
+    [
+        (state.REVIEW_TURNS, "pending", ["approve", "kill", "rewrite", "reply", "reply"], python_review, lambda p: (p.split()[0].replace("reopened", "pending"), int(p.endswith("again") or p == "reopened"))),
+        (state.POST_TURNS, "queued 0", ["ok", "config", "not_ready", "error", "error", "error"], python_post, lambda p: (p.split()[0], int(p.split()[1]))),
+        (state.PHASE_TURNS, "drafting", ["drafted", "drafted", "resolved", "rendered", "confirmed", "cancel", "lapse"], python_week, lambda p: p),
+    ],
+)
+def test_walks_are_folds(spark, turns, start, words, fold, said):
     rng = random.Random(1)
-    rows = [[rng.choice(["approve", "kill", "rewrite", "reply"]) for _ in range(rng.randint(0, 6))] for _ in range(60)]
-    found = spark.createDataFrame([(r,) for r in rows], "h array<string>").select(state.review_outcome(F.col("h")).alias("o")).collect()
-    assert [tuple(r["o"]) for r in found] == [python_review(r) for r in rows]
-
-
-def test_week_phases(spark):
-    cases = {("drafted", "resolved", "rendered", "confirmed"): "scheduled", ("drafted", "lapse", "resolved"): "lapsed", ("cancel", "drafted"): "cancelled", ("lapse", "resolved"): "drafting"}
-    rows = spark.createDataFrame([(list(k),) for k in cases], "h array<string>")
-    assert [r[0] for r in rows.select(state.week_phase(F.col("h"))).collect()] == list(cases.values())
-
-
-def test_posting_fold(spark):
-    cases = {("error", "error", "error", "ok"): ("failed", 3, False), ("config", "not_ready", "ok"): ("posted", 0, True), ("not_ready", "error"): ("held", 1, False), (): ("queued", 0, False)}
-    rows = spark.createDataFrame([(list(k),) for k in cases], "h array<string>")
-    assert [tuple(r[0]) for r in rows.select(state.posting_outcome(F.col("h"))).collect()] == list(cases.values())
+    histories = [[rng.choice(words) for _ in range(rng.randint(1, 9))] for _ in range(80)]
+    rows = [(k, at // 2, at, what) for k, h in enumerate(histories) for at, what in enumerate(h)]
+    rng.shuffle(rows)
+    events = spark.createDataFrame(rows, "draft long, ts long, event_id long, what string")
+    found = {r["draft"]: said(r["phase"]) for r in state.walk(events, "draft", ["ts", "event_id"], "what", turns, start).collect()}
+    assert found == {k: fold(h) for k, h in enumerate(histories)}
+
+
+def test_probes_are_cut_off_at_the_limit(spark):
+    rows = spark.createDataFrame([(0,), (4000,), (4001,), (None,)], "ms long")
+    assert [tuple(r[0]) for r in rows.select(state.probed(F.col("ms"))).collect()] == [("ok", 0), ("ok", 4000), ("down", 4000), ("down", 4000)]
+
+
+@pytest.mark.parametrize("block", [3, 5000])
+def test_places(spark, block, monkeypatch):
+    monkeypatch.setattr(allocation, "PER_BLOCK", block)
+    rng = random.Random(4)
+    rows = [(i, rng.choice("aaab"), rng.choice([1.0, 2.0, 2.5, None])) for i in range(60)]
+    table = spark.createDataFrame(rows, "seq long, city string, score double")
+    best = lambda r: (r[2] is None, -(r[2] or 0), r[0])
+    found = {r["seq"]: r["place"] for r in allocation.places(table, F.col("score"), "seq").collect()}
+    assert found == {r[0]: k for k, r in enumerate(sorted(rows, key=best), 1)}
+    found = {r["seq"]: r["place"] for r in allocation.places(table, F.col("score"), "seq", "city").collect()}
+    assert found == {r[0]: k for c in "ab" for k, r in enumerate(sorted((r for r in rows if r[1] == c), key=best), 1)}
+
+
+def test_first_free_slots_run_out(spark):
+    posts = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(6)], "seq long, brand string")
+    free = spark.createDataFrame([(dt.datetime(2026, 1, d),) for d in (2, 1)], "at timestamp")
+    found = {r["seq"]: r["at"] and r["at"].day for r in allocation.first_free(posts, free, "seq", "brand").collect()}
+    assert found == {0: 1, 1: 1, 2: 2, 3: 2, 4: None, 5: None}
+
+
+def test_bad_patterns_match_nothing(spark):
+    rows = spark.createDataFrame([("Some THEER here",), ("x",)], "t string")
+    assert [r[0] for r in rows.select(rules.first_block(F.col("t"), ["([", "theer", "*"])).collect()] == ["theer", None]
+    assert [r[0] for r in rows.select(rules.first_block(F.col("t"), ["(["])).collect()] == [None, None]
+    assert rules.rule_matches(rows.withColumn("k", F.lit(1)), "k", "t", [("bad", "(("), ("good", "THE")]).count() == 1
+    assert [len(r[0]) for r in rows.select(rules.banned_structures(F.col("t"), [("bad", "+"), ("good", "here")])).collect()] == [1, 0]
+
+
+def test_form_requests(spark):
+    rows = ['{"firstName":"A","email":"a@b.example","phone":"1","businessType":" Pool "}', '{"firstName":" ","email":"a@b","phone":null}', "{broken", None]
+    found = records.form_requests(spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, body string"), "body").orderBy("i").collect()
+    assert found[0]["tags"] == ["request", "hot", "pool"] and found[0]["faults"] == []
+    assert [r["faults"] for r in found[1:]] == [["missing name", "missing phone", "bad email"], ["invalid JSON"], ["invalid JSON"]]
 
 
 def test_validation_order_and_feedback(spark):
