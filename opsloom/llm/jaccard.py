@@ -9,7 +9,9 @@ else by hash. For a set x, let need(x) = ceil(percent * |x| / 100), the least ov
 linked sets share at least slack shingles among their first |x| - need(x) + slack; these heads are the
 short inverted lists, and what is left of a set are its long ones. Sets of like size form a class, such
 that partners are in the same class or the next smaller one; a class with many sets is cut, by shingle
-hash, into segments, some of which has its share of the slack. In each segment DivideSkip runs for each
+hash, into segments, some of which has its share of the slack. A segment that holds much more than others,
+as one does whose list is of a shingle that a great many sets have, is cut by set as well: its rows are dealt
+to blocks, and each pair of blocks is searched by a task of its own. In each segment DivideSkip runs for each
 set: the longest of its lists are set aside, the others heap-merged, and candidates that occur often
 enough are probed in the long lists by binary search. A candidate must also have a fitting size and pass
 a bound on the overlap by parity bitmaps, which never refuses a link. Last, the rest of a set is probed,
@@ -55,6 +57,8 @@ FREQUENT = 8
 MOST_FREQUENT = 200_000
 #: Head shingles that one segment's inverted lists hold, about.
 SEGMENT_SHINGLES = 1_000_000
+#: A segment of more than this many times as much is cut into blocks of sets.
+CROWDED = 2
 #: So many candidates of a set are all checked at once.
 FEW = 3
 #: Pairs whose ids are broadcast to read their texts again; more are joined by shuffle.
@@ -173,6 +177,8 @@ class _Segment:
         s1, s2 = (rows.column(c).to_numpy() for c in ("s1", "s2"))
         self.rows = rows = rows.take(np.flatnonzero(np.concatenate([[True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])])))
         self.percent, self.size, self.bits = percent, rows.column("size").to_numpy(), rows.column("bits").to_pylist()
+        # a task for two blocks looks for pairs between them alone
+        self.block = rows.column("block").to_numpy() if rows.column("low")[0].as_py() != rows.column("high")[0].as_py() else None
         self.indexed = pc.sum(pc.invert(rows.column("larger"))).as_py()
         heads = [np.frombuffer(t, np.uint32) for t in rows.column("tokens").to_pylist()]
         counts = np.array([h.size for h in heads], np.int64)
@@ -207,6 +213,8 @@ class _Segment:
             if len(lists) < least[i]:
                 continue
             found = divide_skip(lists, int(least[i]))
+            if self.block is not None:
+                found = found[self.block[found] != self.block[i]]
             if found.size:
                 both = self.size[i] + self.size[found]
                 apart = self._apart(i, found)
@@ -340,7 +348,7 @@ def heads(docs: DataFrame, text: str, n: int, percent: int, frequent: tuple[np.n
         at = np.minimum(np.searchsorted(tokens, s), max(0, tokens.size - 1))
         often = np.where(tokens[at] == s, counts[at], 0) if tokens.size else np.zeros(size, np.int64)
         head = s[np.argsort(often, kind="stable")[: size - need(size, percent) + slack(size)]]
-        whole, own = (doc_id, size, s1, s2, bitmap(s, bitmap_bits(size)).tobytes()), int(np.searchsorted(classes, size, "right")) - 1
+        bits, own = bitmap(s, bitmap_bits(size)), int(np.searchsorted(classes, size, "right")) - 1
         cuts: dict[int, list[dict]] = {}
         for kind in (own, own - 1)[: 1 + (own > 0)]:
             cuts.setdefault(segments.get(kind, 1), []).append({"class": kind, "larger": kind < own})
@@ -349,7 +357,9 @@ def heads(docs: DataFrame, text: str, n: int, percent: int, frequent: tuple[np.n
             part %= _U(cut)
             for k in np.unique(part).tolist():
                 mine = (head[part == _U(k)] & _U(0xFFFFFFFF)).astype(np.uint32)
-                yield targets, k, *whole, mine.tobytes()
+                # with many segments a set has many rows, so what goes with each is in proportion to its share
+                words = min(bits.size, 1 << (mine.size.bit_length() - 1))
+                yield targets, k, doc_id, size, s1, s2, folded(bits, words).tobytes(), mine.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts, segments = shared.value
@@ -372,6 +382,17 @@ def heads(docs: DataFrame, text: str, n: int, percent: int, frequent: tuple[np.n
     return docs.select("doc_id", text).mapInArrow(run, T.StructType(fields))
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Add block, low and high: a row for each task of its segment. Segments that aren't crowded have one block;
+    in others a row goes to the tasks of its own block with each block."""
+    held = F.octet_length("tokens") / 4
+    loads = rows.groupBy("class", "segment").agg(F.sum(held).alias("load")).filter(F.col("load") > CROWDED * SEGMENT_SHINGLES)
+    crowded = stored(loads.select("class", "segment", F.ceil(2 * F.col("load") / (CROWDED * SEGMENT_SHINGLES)).cast("int").alias("blocks")), "crowded")
+    dealt = rows.join(crowded, ["class", "segment"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", "s1"), F.col("blocks")).cast("int")).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"low": F.least("block", "_with"), "high": F.greatest("block", "_with")}).drop("blocks", "_with")
+
+
 def verified(docs: DataFrame, text: str, n: int, percent: int, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
     ids = stored(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "ids")
@@ -425,7 +446,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", n: int = 5, percent:
             own = labels.select(F.col("id").alias("doc_id"), "component")
             rows = rows.join(own, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         rows = rows.withColumn("target", F.explode("targets")).drop("targets").withColumns({"class": F.col("target.class"), "larger": F.col("target.larger")})
-        found = rows.drop("target").groupBy("class", "segment").applyInArrow(_search(percent, turn), pair)
+        found = in_blocks(rows.drop("target")).groupBy("class", "segment", "low", "high").applyInArrow(_search(percent, turn), pair)
         found = stored(found, f"pairs-{turn}")
         pairs = found.filter("b is not null").distinct()
         pairs = pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti")

@@ -158,10 +158,11 @@ def test_jaccard(docs, none, clashing):
     assert jaccard.jaccard_components(none).count() == 0
 
 
-@pytest.mark.parametrize("segment", [50, 2_000_000])
-def test_jaccard_groups_that_barely_link(spark, segment, monkeypatch):
-    """Chains, stars and near misses, also with classes cut into segments."""
+@pytest.mark.parametrize("segment,crowded", [(50, 2), (50, 0.2), (400, 0.5), (2_000_000, 2)])
+def test_jaccard_groups_that_barely_link(spark, segment, crowded, monkeypatch):
+    """Chains, stars and near misses, also with classes cut into segments, and these into blocks."""
     monkeypatch.setattr(jaccard, "SEGMENT_SHINGLES", segment)
+    monkeypatch.setattr(jaccard, "CROWDED", crowded)
     rng, rows = random.Random(7), []
     for g in range(4):
         base = [f"g{g}w{k}" for k in range(rng.choice([12, 60, 150]))]
