@@ -109,6 +109,18 @@ def test_languages_of_pages(spark, sf):
     assert len(rows) == spark.read.parquet(f"{sf}/pages.parquet").count() and all(r["lang"] for r in rows)
 
 
+def without_boilerplate(rows):
+    """doc_id -> text without lines of 20 characters or more that six sites have, but for the first document's."""
+    sites, keeper = {}, {}
+    for d, source, text in rows:
+        for line in text.split("\n"):
+            if len(line) >= 20:
+                sites.setdefault(line, set()).add(source)
+                keeper[line] = min(d, keeper.get(line, d))
+    gone = lambda d, line: len(sites.get(line, ())) >= 6 and keeper[line] != d
+    return {d: "\n".join(line for line in text.split("\n") if not gone(d, line)) for d, _, text in rows}
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
@@ -116,6 +128,16 @@ def test_pipeline(spark, sf):
         after = rows.toPandas()
         if name != corpus_pipeline.STAGES[-1][0]:
             assert rows.columns == docs.columns
+        if name == "quality classifier":
+            score = {r["doc_id"]: r["score"] for r in registry.QUERIES["op6_quality"](spark, sf).collect()}
+            assert sorted(after.doc_id) == sorted(d for d in before.doc_id if score[d] >= 0.3)
+            known = spark.read.parquet(f"{sf}/labels.parquet").toPandas()
+            good = set(known.doc_id[known.quality == 1]) & set(before.doc_id)
+            assert len(good & set(after.doc_id)) >= 0.95 * len(good)
+        if name == "line dedup":
+            wanted = without_boilerplate(list(zip(before.doc_id, before.source, before.text, strict=True)))
+            assert dict(zip(after.doc_id, after.text, strict=True)) == {d: t for d, t in wanted.items() if t.strip() or t == dict(zip(before.doc_id, before.text, strict=True))[d]}
+            assert (after.n_chars == after.text.str.len()).all()
         if name == "n-gram Jaccard join":
             wanted = components(list(zip(before.doc_id, before.text, strict=True)), 5, 80)
             assert sorted(after.doc_id) == sorted({c for _, c in wanted.values()})
