@@ -13,7 +13,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Patterns and word lists that results depend on.
+# Patterns and word lists that results depend on, compared as they are.
 VOCATIVE = r"^[A-Z][a-zA-Z'’.-]+,\s+"
 EMAIL = r"(?i)(?<![A-Za-z0-9_])[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}(?![A-Za-z0-9_])"
 SITE = r"(?i)(?<![A-Za-z0-9_])(?:https?://|www\.)\S+|(?<![A-Za-z0-9_])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|net|org|biz|info|co|io|us)(?![A-Za-z0-9_])\S*"
@@ -154,10 +154,10 @@ def lacks_nearby(text: Column, term: str, exception: str, width: int = 50) -> Co
     return F.lower(text).rlike(rf"(?s)(?=\Q{term.lower()}\E)(?<!(?={e}).{{1,{width}}}){later}")
 
 
-def is_specific(text: Column) -> Column:
-    """Does any marker (amount, percentage, industry, place) occur?"""
-    found = text.rlike(SPECIFIC[0])
-    for pattern in SPECIFIC[1:]:
+def is_specific(text: Column, patterns: Sequence[str] = SPECIFIC) -> Column:
+    """Does any marker (amount, percentage, industry, place) occur? Industries and places are a business's own."""
+    found = text.rlike(patterns[0])
+    for pattern in patterns[1:]:
         found = found | text.rlike(pattern)
     return found
 

@@ -240,6 +240,7 @@ def _syllables(w: str) -> str:
 
 HEAD = "FROM documents"
 LONG = f"list_filter(list_transform({SENTENCES}, lambda s, i: CASE WHEN len(list_filter(string_split_regex(s, '\\s+'), lambda w: w <> '')) > 20 THEN 'sentence ' || i || ' = ' || len(list_filter(string_split_regex(s, '\\s+'), lambda w: w <> '')) || ' words (cap 20): \"' || substr(s, 1, 60) || '...\"' END), lambda d: d IS NOT NULL)"
+# The same patterns as in opsloom.functions.text and opsloom.operators.rules, in DuckDB's dialect.
 RECAP = r"(?i)\b(?:spent|made|been|tried|worked|grinded|grinding)\b.{0,80}\b(?:today|now|finally|just)\b"
 SPECIFIC = r"""(regexp_matches(text, '\$\s?\d') OR regexp_matches(text, '\b\d+\s?%') OR regexp_matches(text, '(?i)\b(?:pool|pest|hvac|landscaping|carpet|garage|handyman|cleaning|plumbing|electrical|roofing)\b')
     OR regexp_matches(text, '\b(?:Henderson|Summerlin|Vegas|NLV|Boulder City|Pahrump|Mesquite|Reno|Sparks)\b'))"""
