@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsloom.functions import dates as D
@@ -58,8 +58,8 @@ def w06_schedule(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def w07_positions(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("brand").orderBy("doc_id")
-    return B.reviews(spark, sf).filter("fate = 'approved'").select("doc_id", "brand", F.row_number().over(w).cast("long").alias("pos"))
+    approved = B.reviews(spark, sf).filter("fate = 'approved'")
+    return A.places(approved, F.lit(0), "doc_id", "brand").select("doc_id", "brand", F.col("place").alias("pos"))
 
 
 def w08_prior_days(spark: SparkSession, sf: str) -> DataFrame:
