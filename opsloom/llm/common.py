@@ -17,6 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Keys that a table of heavy keys may hold, so that it can be broadcast whatever the input.
 HEAVY_KEYS = 20_000
 
+#: So many rows of a key may always meet in one task.
+FEW_ROWS = 2000
+
 #: Bytes of text that one step of a Python operator holds as numpy arrays.
 STEP_BYTES = 2 << 20
 
@@ -49,17 +52,20 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def heavy(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
-    """Of a table (key, n) the keys that hold more than 1 / HEAVY_KEYS of the sum of n, so fewer than
-    HEAVY_KEYS; stored."""
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    return stored(counts.filter(F.col(n) * HEAVY_KEYS > total).select(key), "heavy")
+def heavy(counts: DataFrame, key: str, total: int, n: str = "n") -> DataFrame | None:
+    """Of a table (key, n) the keys that hold more than FEW_ROWS rows and more than 1 / HEAVY_KEYS of all; so there are
+    fewer than HEAVY_KEYS, which pass through the driver. None if there are none."""
+    found = counts.filter((F.col(n) > FEW_ROWS) & (F.col(n) * HEAVY_KEYS > total)).select(key)
+    rows = found.collect()
+    return counts.sparkSession.createDataFrame(rows, found.schema) if rows else None
 
 
-def join_heavy(rows: DataFrame, table: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+def join_heavy(rows: DataFrame, table: DataFrame, key: str, keys: DataFrame | None) -> DataFrame:
     """rows joined to a table with a row for each key at most. The rows of heavy keys stay where they are and
     meet a broadcast part of the table, of fewer than HEAVY_KEYS rows; of any other key so few rows are left
     that they may meet in one task."""
+    if keys is None:
+        return rows.join(table, key)
     few = F.broadcast(keys)
     light = rows.join(few, key, "left_anti").join(table, key)
     return rows.join(F.broadcast(table.join(few, key, "left_semi")), key).unionByName(light)

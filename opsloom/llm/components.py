@@ -18,15 +18,14 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links = links.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna().filter("u <> v")
     both = stored(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
     labels = stored(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("component")), "labels")
-    hubs = heavy(both.groupBy("u").agg(F.count("*").alias("n")), "u")
+    hubs = heavy(both.groupBy("u").agg(F.count("*").alias("n")), "u", both.count())
     while True:
         heard = join_heavy(both, labels.withColumnRenamed("id", "u"), "u", hubs).groupBy(F.col("v").alias("id")).agg(F.min("component").alias("heard"))
         passed = labels.join(heard, "id").select("id", F.col("component").alias("was"), F.least("component", "heard").alias("component"))
         passed = stored(passed, "labels")
         if not passed.filter("was <> component").limit(1).count():
             return labels
-        sizes = stored(passed.groupBy("component").agg(F.count("*").alias("n")), "sizes")
+        crowds = heavy(passed.groupBy("component").agg(F.count("*").alias("n")), "component", passed.count())
         far = passed.select(F.col("id").alias("component"), F.col("component").alias("far"))
-        target = sizes.join(far, "component", "left").select("component", F.coalesce("far", "component").alias("far"))
-        jumped = join_heavy(passed.select("id", "component"), target, "component", heavy(sizes, "component"))
+        jumped = join_heavy(passed.select("id", "component"), far, "component", crowds)
         labels = stored(jumped.select("id", F.least("component", "far").alias("component")), "labels")

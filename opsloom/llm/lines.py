@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm.common import HEAVY_KEYS, join_heavy, read, stored
+from opsloom.llm.common import FEW_ROWS, HEAVY_KEYS, join_heavy, read, stored
 
 SITES = 6
 MIN_CHARS = 20
@@ -48,7 +48,7 @@ def boilerplate(rows: DataFrame, sites: int = SITES) -> tuple[DataFrame, DataFra
     total = rows.count()
     spread = rows.groupBy("line").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min("doc_id").alias("keeper"), F.count("*").alias("n"))
     about = F.hll_sketch_estimate("sketch")
-    judged = spread.select("line", "keeper", about.alias("about"), (F.col("n") * HEAVY_KEYS > total).alias("heavy"))
+    judged = spread.select("line", "keeper", about.alias("about"), ((F.col("n") > FEW_ROWS) & (F.col("n") * HEAVY_KEYS > total)).alias("heavy"))
     judged = stored(judged.filter((F.col("about") >= sites * (1 - NEAR)) | F.col("heavy")), "line-spread")
     heavy = judged.filter("heavy").select("line")
     near = judged.filter(F.col("about").between(sites * (1 - NEAR), sites * (1 + NEAR))).select("line", "keeper")

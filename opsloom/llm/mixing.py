@@ -33,8 +33,8 @@ BROADCAST_ROWS = 200_000
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
-    """(source, source_size, source_rows) -> with target. One row per source, so windows over all of
-    them stay small. Level: the words per unit of weight that sources below their cap get."""
+    """(source, source_size, source_rows) -> with target. Windows over all sources sort one short row for each in
+    one task, some 50 bytes: ten million sources are half a gigabyte, which spills. Level: the words per unit of weight that sources below their cap get."""
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") - 1) % len(weights) + 1).cast("double")
     ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     caps = ranked.withColumns({"w": weight, "cap": F.lit(float(repeats)) * F.col("source_size")})
