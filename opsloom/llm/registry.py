@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from opsloom.llm import bpe, gif, jaccard, language, lines, mixing, neighbours, quality, secrets, urls
+from opsloom.llm import bpe, exact, gif, infill, jaccard, language, lines, mixing, negatives, neighbours, quality, secrets, urls
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -16,10 +16,16 @@ QUERIES = {
     "op8_line_spread": lines.op8_line_spread,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_source_mix": mixing.op10_source_mix,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_fill_in_middle": infill.op12_fill_in_middle,
+    "op13_exact_dedup": exact.op13_exact_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
     "op8_line_spread": lines.OP8_SQL,
     "op10_source_mix": mixing.OP10_SQL,
+    "op11_hard_negatives": negatives.OP11_SQL,
+    "op12_fill_in_middle": infill.OP12_SQL,
+    "op13_exact_dedup": exact.OP13_SQL,
 }
