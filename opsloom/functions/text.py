@@ -15,8 +15,7 @@ from pyspark.sql import types as T
 
 # Patterns and word lists that results depend on, compared as they are.
 VOCATIVE = r"^[A-Z][a-zA-Z'’.-]+,\s+"
-EMAIL = r"(?i)(?<![A-Za-z0-9_])[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}(?![A-Za-z0-9_])"
-SITE = r"(?i)(?<![A-Za-z0-9_])(?:https?://|www\.)\S+|(?<![A-Za-z0-9_])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|net|org|biz|info|co|io|us)(?![A-Za-z0-9_])\S*"
+DOMAINS = "com|net|org|biz|info|co|io|us"
 SPECIFIC = (
     r"\$\s?\d",
     r"(?<![A-Za-z0-9_])\d+\s?%",
@@ -53,6 +52,21 @@ DASH_STEPS = (
 
 _MARK = "\u0001"
 
+# The following take time in proportion to a text, whatever it is, and no stack: a run is entered where it begins, and
+# loops give nothing back. All starts within a run have the same end, so the first one speaks for all.
+
+#: A run of what may stand before the @ begins behind anything else, or one mark behind the match before.
+EMAIL = r"(?i)(?:(?<![a-z0-9._%+-])|(?<=\G[.%+-]))[a-z0-9._%+-]++@[a-z0-9.-]+\.[a-z]{2,}(?![A-Za-z0-9_])"
+#: From a chain of labels with dots between, up to the first that is a top-level domain, on to the next white space. A
+#: chain begins where no label or dotted label ends; behind an underscore its first word is no part of it ($1).
+_CHAIN = rf"[a-z0-9-]++(?:(?!\.(?:{DOMAINS})(?![A-Za-z0-9_]))\.[a-z0-9-]++)*+\.(?:{DOMAINS})(?![A-Za-z0-9_])\S*+"
+SITE = rf"(?i)(?<![A-Za-z0-9_])(?:https?://|www\.)\S++|(?:(?<![a-z0-9_-])(?<![a-z0-9-]\.)|(?<=_)([a-z0-9]*+(?:-?\.|-)))(?=[a-z0-9-]){_CHAIN}"
+#: Steps that start with blanks, entered where a run of them begins, or behind the match before.
+_BLANKS = r"[ \t]*"
+_AT_RUN = r"(?:(?<![ \t])|\G)[ \t]*+"
+#: White space at both ends.
+EDGES = r"^\s+|(?<!\s)\s++\z"
+
 
 def whole_word(term: str) -> str:
     """Java pattern of a literal term between ASCII word boundaries, in any case."""
@@ -69,7 +83,7 @@ def scrub_identity(text: Column) -> Column:
     """Drop a leading name, e-mail addresses and sites; white space in one."""
     text = F.regexp_replace(text, VOCATIVE, "")
     text = F.regexp_replace(text, EMAIL, "[their email]")
-    text = F.regexp_replace(text, SITE, "[their site]")
+    text = F.regexp_replace(text, SITE, "$1[their site]")
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
@@ -83,7 +97,7 @@ def sentences(text: Column) -> Column:
     """array<string>: split after . ! ? and an optional quote, and at line ends."""
     pieces = F.split(text, "(?<=[.!?]['\"]?)\\s+", -1)
     lines = F.flatten(F.transform(pieces, lambda p: F.split(p, "\n+", -1)))
-    return F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"^\s+|\s+\z", "")), lambda x: x != "")
+    return F.filter(F.transform(lines, lambda x: F.regexp_replace(x, EDGES, "")), lambda x: x != "")
 
 
 def tokens(text: Column) -> Column:
@@ -173,22 +187,33 @@ def _raise_after(text: Column, pattern: str, keep: str) -> Column:
 def strip_dashes(text: Column) -> Column:
     """Rewrite long dashes and spaced hyphens: ranges keep a hyphen, bullets become hyphens, the rest
     becomes sentence breaks or commas. The order of rewrites matters."""
-    for pattern, becomes, raised in DASH_STEPS:
-        text = _raise_after(text, pattern, becomes) if raised else F.regexp_replace(text, pattern, becomes)
-    return text
+
+    def rewritten(text: Column) -> Column:
+        for pattern, becomes, raised in DASH_STEPS:
+            pattern = _AT_RUN + pattern.removeprefix(_BLANKS) if pattern.startswith(_BLANKS + "[—–]") else pattern
+            text = _raise_after(text, pattern, becomes) if raised else F.regexp_replace(text, pattern, becomes)
+        return text
+
+    return F.when(text.rlike(r"[—–]|[ \t]-[ \t]|[ \t]{2}"), rewritten(text)).otherwise(text)
 
 
 def strip_scaffolding(text: Column) -> Column:
     """Leave out what wraps a draft: leading blanks, fences and introductions; from a "next move" line near
     the end on; fences anywhere."""
-    lines = F.split(text, "\n", -1)
-    trim = lambda x: F.regexp_replace(x, r"^\s+|\s+\z", "")
+    trim = lambda x: F.regexp_replace(x, EDGES, "")
     chrome = lambda x: (trim(x) == "") | x.rlike(FENCE) | trim(x).rlike(PREAMBLE)
-    first = F.array_position(F.transform(lines, lambda x: chrome(x)), F.lit(False))
-    body = F.when(first == 0, F.array().cast("array<string>")).otherwise(F.slice(lines, F.greatest(F.lit(1), first.cast("int")), F.size(lines)))
-    marks = F.transform(body, lambda x, i: F.when(trim(x).rlike(NEXT_MOVE) & (i >= F.size(body) - 12), i))
-    cut = F.array_max(F.filter(marks, lambda m: m.isNotNull()))
-    kept = F.when(cut.isNull(), body).otherwise(F.slice(body, F.lit(1), cut))
+
+    def unwrapped(lines: Column) -> Column:
+        first = F.array_position(F.transform(lines, lambda x: chrome(x)), F.lit(False))
+        return F.when(first == 0, F.array().cast("array<string>")).otherwise(F.slice(lines, F.greatest(F.lit(1), first.cast("int")), F.size(lines)))
+
+    def ended(body: Column) -> Column:
+        """Only the last 12 lines can hold the mark."""
+        begin = F.greatest(F.lit(0), F.size(body) - 12)
+        marks = F.transform(F.slice(body, begin + 1, F.lit(12)), lambda x, i: F.when(trim(x).rlike(NEXT_MOVE), i))
+        return let(F.array_max(marks), lambda cut: F.when(cut.isNull(), body).otherwise(F.slice(body, F.lit(1), begin + cut)))
+
+    kept = let(let(F.split(text, "\n", -1), unwrapped), ended)
     joined = F.array_join(F.filter(kept, lambda x: ~x.rlike(FENCE)), "\n")
     return trim(F.regexp_replace(joined, r"\n{3,}", "\n\n"))
 
@@ -198,7 +223,7 @@ def strip_openers(text: Column) -> Column:
     for opener in OPENERS:
         text = F.regexp_replace(text, rf"(?i)^{opener}[!.,]?\s*", "")
     text = F.when(text.rlike(r"^I(?![A-Za-z0-9_])"), F.regexp_replace(text, r"^I\s+", "Look — ")).otherwise(text)
-    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+    return F.regexp_replace(text, EDGES, "")
 
 
 def token_estimate(text: Column) -> Column:

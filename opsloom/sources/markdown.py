@@ -108,7 +108,7 @@ def sections(docs: DataFrame, text: str = "text") -> DataFrame:
         parts,
         lambda p, i: F.struct(
             F.when(i == 0, "__header__").otherwise(F.trim(F.substr(F.substring_index(p, "\n", 1), F.lit(4)))).alias("title"),
-            F.trim(F.regexp_replace(F.when((i == 0) | F.contains(p, F.lit("\n")), F.substr(p, F.instr(p, "\n") + 1)).otherwise(""), r"^\s+|\s+\z", "")).alias("body"),
+            F.trim(F.regexp_replace(F.when((i == 0) | F.contains(p, F.lit("\n")), F.substr(p, F.instr(p, "\n") + 1)).otherwise(""), X.EDGES, "")).alias("body"),
         ),
     )
     held = docs.select("doc", cut.alias("_p"))
@@ -128,7 +128,7 @@ def delimited_posts(docs: DataFrame, text: str = "text", whole_body: bool = True
     good one counts. whole_body False keeps a body's first line alone."""
     names = F.transform(F.regexp_extract_all(F.col(text), F.lit(_BLOCK), F.lit(1)), F.lower)
     blocks = F.split(F.col(text), _BLOCK, -1)
-    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+\z", "")
+    trim = lambda c: F.regexp_replace(c, X.EDGES, "")
     pairs = F.transform(names, lambda n, i: F.struct(n.alias("platform"), trim(F.get(blocks, i + 1)).alias("block"), i.alias("i")))
     rows = docs.select("doc", F.explode(pairs).alias("p")).select("doc", "p.*")
     headline = F.substring(trim(F.regexp_extract("block", r"(?m)^HEADLINE:\s*(.+?)$", 1)), 1, 120)

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,3 +120,49 @@ def test_dates(spark):
         (dt.date(2026, 6, 15), "2026-06-14 16:00:00", "Sun, Jun 14, 9:00 AM PDT", 0),
         (dt.date(2026, 12, 7), "2026-12-01 17:00:00", "Tue, Dec 1, 9:00 AM PST", 2),
     ]
+
+
+#: The patterns as they are meant, some of which take a square of time or a deep stack.
+PLAIN_EMAIL = r"(?i)(?<![A-Za-z0-9_])[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}(?![A-Za-z0-9_])"
+PLAIN_SITE = r"(?i)(?<![A-Za-z0-9_])(?:https?://|www\.)\S+|(?<![A-Za-z0-9_])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|net|org|biz|info|co|io|us)(?![A-Za-z0-9_])\S*"
+
+
+def plain_dashes(t):
+    for pattern, becomes, raised in text.DASH_STEPS:
+        becomes = becomes.replace("$", "\\").replace("\u0001", "")
+        t = re.sub(pattern, (lambda m, b=becomes: m.expand(b)[:-1] + m.expand(b)[-1].upper()) if raised else becomes, t)
+    return t
+
+
+def odd_texts(pieces, n, longest=14, seed=5):
+    rng = random.Random(seed)
+    return ["".join(rng.choices(pieces, k=rng.randint(1, longest))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("plain,quick,becomes", [(PLAIN_EMAIL, text.EMAIL, "#"), (PLAIN_SITE, text.SITE, "$1#")], ids=["email", "site"])
+def test_quick_patterns_match_the_same(spark, plain, quick, becomes):
+    pieces = ["a", "b1", "com", "org", "io", "net", ".", ".", "-", "_", "@", "@", " ", "www.", "http://", "é", "%", "Co", "..", "+"]
+    df = spark.createDataFrame([(t,) for t in odd_texts(pieces, 20_000)], "t string")
+    wrong = df.filter(F.regexp_replace("t", plain, "#") != F.regexp_replace("t", quick, becomes)).collect()
+    assert not wrong
+
+
+def test_quick_dashes_are_the_same(spark):
+    rows = odd_texts(["a", "B", "7", " ", "  ", "\t", "—", "–", "-", "- ", " -", ".", "!", ",", ":", "\n"], 5000)
+    for t, found in zip(rows, values(spark, text.strip_dashes(F.col("t")), rows), strict=True):
+        assert found == plain_dashes(t), t
+
+
+def test_trimmed_edges(spark):
+    rows = odd_texts([" ", "\t", "\n", "a", "b"], 2000)
+    assert values(spark, F.regexp_replace("t", text.EDGES, ""), rows) == values(spark, F.regexp_replace("t", r"^\s+|\s+\z", ""), rows)
+
+
+@pytest.mark.parametrize("unit", ["a.", "a_b-", " ", "\t-", "Next move: go\n", "— ", "a@", "a.b@c.", "-", "\n", "x \n"])
+@pytest.mark.parametrize("f", ["scrub_identity", "strip_dashes", "strip_scaffolding", "sentences", "strip_openers"])
+def test_a_megabyte_of_anything(spark, f, unit):
+    """Neither the square of a run nor a stack that ends the JVM."""
+    began = time.time()
+    row = spark.range(1).select(F.concat(F.lit("x"), F.repeat(F.lit(unit), (1 << 20) // len(unit)), F.lit("!y")).alias("t"))
+    assert row.select(F.length(getattr(text, f)(F.col("t")).cast("string"))).first()[0] is not None
+    assert time.time() - began < 15
