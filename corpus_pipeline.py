@@ -41,11 +41,14 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near duplicates connect, the one with the smallest id, once; all without id."""
-    groups = jaccard.jaccard_components(docs.select("doc_id", "text"))
-    firsts = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    """Of documents that near duplicates connect, the one with the smallest id; all without id. A document whose
+    id several rows have is kept with all its texts, each set of shingles once: of rows with an equal one, that with
+    the least hash of its text, then of the whole row."""
+    groups = jaccard.jaccard_rows(docs.select("doc_id", "text"))
+    firsts = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id", "s1", "s2").agg(F.min("key").alias("_key")).select("doc_id", "_key")
+    keyed = docs.select("doc_id", jaccard.text_key("text"), F.xxhash64(*docs.columns).alias("_hash"), F.struct(*docs.columns).alias("_row"))
+    kept = keyed.join(firsts, ["doc_id", "_key"], "left_semi").groupBy("doc_id", "_key").agg(F.min_by("_row", "_hash").alias("_row"))
+    return kept.select("_row.*").unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,11 +17,11 @@ enough are probed in the long lists by binary search. A candidate must also have
 a bound on the overlap by parity bitmaps, which never refuses a link. Last, the rest of a set is probed,
 by binary search again, in the candidate's whole set.
 
-Nothing emits all pairs of a group of copies. One row stands for all with an equal set, the one of the
-smallest id; only it has a head and is searched for, and the others get its component. Of a set with more than
-FEW candidates only the closest is checked first, then the closest in each other component, then all
-that are still candidates in other components. Only components matter, so a pair within one is never
-checked.
+Nothing emits all pairs of a group of copies, or of texts that are nearly linked. One row stands for all with an
+equal set, the one of the smallest id; only it has a head and is searched for, and the others get its component. Of
+a set with more than FEW candidates only the closest is checked first. Where candidates in other components are left,
+the whole sets of both are brought to the segment's task, once each, and checked there; only links leave
+it. Only components matter, so a pair within one is never checked.
 
 Null and empty texts have empty sets and link with nothing, not even one another. Rows that repeat an
 id are one document if their texts have equal sets; otherwise the id's links are those of all its
@@ -61,7 +61,7 @@ SEGMENT_SHINGLES = 1_000_000
 CROWDED = 2
 #: So many candidates of a set are all checked at once.
 FEW = 3
-#: Pairs whose ids are broadcast to read their texts again; more are joined by shuffle.
+#: Ids that are broadcast to read their texts again; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
 
@@ -235,27 +235,16 @@ class _Segment:
         return out
 
 
-def _pairs(rows: pa.Table, percent: int, turn: str) -> pa.Table:
-    """Candidate pairs (a, b) of one segment, and sets (a, null) whose search isn't over.
-
-    turn "first": all candidates if they are few, else the closest. "each": the same for each other
-    component. "all": all in other components."""
+def _first_pairs(rows: pa.Table, percent: int) -> pa.Table:
+    """Candidate pairs (a, b) of one segment: all of a set if they are few, else the closest; and sets (a, null) with
+    others left."""
     segment = _Segment(rows, percent)
     ids = segment.rows.column("doc_id").combine_chunks()
-    component = None
-    if turn != "first":
-        component = pc.rank(segment.rows.column("component"), tiebreaker="dense").to_numpy()
     a, b, unfinished = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(ids), bool)
     for i, found, apart in segment.searches():
-        if component is not None:
-            other = component[found] != component[i]
-            found, apart = found[other], apart[other]
-        if not found.size:
-            continue
         chosen = found
-        if turn != "all" and found.size > FEW:
-            found = found[np.argsort(apart, kind="stable")]
-            chosen = found[:1] if turn == "first" else found[np.unique(component[found], return_index=True)[1]]
+        if found.size > FEW:
+            chosen = found[[apart.argmin()]]
             unfinished[i] = unfinished[found] = True
         a.append(np.full(chosen.size, i))
         b.append(chosen)
@@ -265,11 +254,60 @@ def _pairs(rows: pa.Table, percent: int, turn: str) -> pa.Table:
     return pa.table([first, second], ["a", "b"])
 
 
-def _search(percent: int, turn: str):
-    def run(rows: pa.Table) -> pa.Table:
-        return _pairs(rows, percent, turn)
+def _across(segment: _Segment) -> Iterator[tuple[int, np.ndarray]]:
+    """(set, its candidates in other components)."""
+    component = pc.rank(segment.rows.column("component"), tiebreaker="dense").to_numpy()
+    for i, found, _ in segment.searches():
+        found = found[component[found] != component[i]]
+        if found.size:
+            yield i, found
+
+
+def _sets_to_check(rows: pa.Table, percent: int) -> pa.Table:
+    """The sets of one task that have candidates in other components, or are such."""
+    segment = _Segment(rows, percent)
+    wanted = np.zeros(segment.rows.num_rows, bool)
+    for i, found in _across(segment):
+        wanted[i] = wanted[found] = True
+    return segment.rows.filter(pa.array(wanted)).select([*TASK, "doc_id", "s1", "s2"])
 
-    return run
+
+def _checked_links(rows: pa.Table, percent: int) -> pa.Table:
+    """Links (a, b) between components, of whole sets; at most one for each two components."""
+    segment = _Segment(rows, percent)
+    ids = segment.rows.column("doc_id").combine_chunks()
+    sets = [np.frombuffer(x, _U) for x in segment.rows.column("shingles").to_pylist()]
+    component = pc.rank(segment.rows.column("component"), tiebreaker="dense").to_numpy()
+    links, known = [], set()
+    for i, found in _across(segment):
+        for at in _runs(np.array([sets[j].size for j in found.tolist()])):
+            some = found[at]
+            theirs, sizes = [sets[j] for j in some.tolist()], segment.size[some]
+            flat = np.concatenate(theirs)
+            hit = sets[i][np.minimum(np.searchsorted(sets[i], flat), sets[i].size - 1)] == flat
+            overlap = np.add.reduceat(hit, np.cumsum([0, *map(len, theirs[:-1])]))
+            for j in some[100 * overlap >= percent * (segment.size[i] + sizes - overlap)].tolist():
+                key = (component[i], component[j])
+                if key not in known:
+                    known.add(key)
+                    links.append((i, j))
+    a, b = (pa.array([x[k] for x in links], pa.int64()) for k in (0, 1))
+    return pa.table([ids.take(a), ids.take(b)], ["a", "b"])
+
+
+def _runs(sizes: np.ndarray, most: int = 1 << 20) -> Iterator[slice]:
+    """Slices of about so many shingles."""
+    begin, held = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if held and held + n > most:
+            yield slice(begin, k)
+            begin, held = k, 0
+        held += n
+    yield slice(begin, len(sizes))
+
+
+#: What names a task of the search.
+TASK = ("class", "segment", "low", "high")
 
 
 def summaries(docs: DataFrame, text: str, n: int) -> DataFrame:
@@ -393,18 +431,25 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     return dealt.withColumns({"low": F.least("block", "_with"), "high": F.greatest("block", "_with")}).drop("blocks", "_with")
 
 
-def verified(docs: DataFrame, text: str, n: int, percent: int, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
-    ids = stored(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "ids")
+def whole_sets(docs: DataFrame, text: str, n: int, ids: DataFrame) -> DataFrame:
+    """(doc_id, s1, s2, shingles) of the texts of these ids (_id), each set of an id once."""
+    ids = stored(ids.distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     texts = docs.select("doc_id", text).join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"), "left_semi")
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("shingles", T.BinaryType())])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in row_slices(whole, text, _STEP):
-                sets = [s.tobytes() for s in shingle_sets(batch.column(text).to_pylist(), n)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], schema.names)
+                sets = shingle_sets(batch.column(text).to_pylist(), n)
+                s1, s2 = np.array([signature(s) for s in sets], np.int64).reshape(-1, 2).T
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s1), pa.array(s2), pa.array([s.tobytes() for s in sets], pa.binary())], schema.names)
+
+    return texts.mapInArrow(run, schema).dropDuplicates(["doc_id", "s1", "s2"])
+
+
+def verified(docs: DataFrame, text: str, n: int, percent: int, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets link."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -415,14 +460,24 @@ def verified(docs: DataFrame, text: str, n: int, percent: int, pairs: DataFrame)
                 stays.append(linked(overlap, x.size, y.size, percent))
             yield batch.select(["a", "b"]).filter(pa.array(stays))
 
-    sets = texts.mapInArrow(run, schema).dropDuplicates(["doc_id", "shingles"])
+    sets = whole_sets(docs, text, n, pairs.select(F.col("a").alias("_id")).union(pairs.select("b")))
     whole = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     whole = whole.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     return whole.select("a", "b", "x", "y").mapInArrow(probe, pairs.select("a", "b").schema).distinct()
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs."""
+def repeated_ids(known: DataFrame, alike: DataFrame) -> DataFrame:
+    """Links (a, b) between an id that has several sets and the ids that stand for them."""
+    own = known.filter("size > 0 and doc_id is not null")
+    several = own.groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("_l"), F.max(F.struct("s1", "s2")).alias("_m")).filter("_l <> _m").select("doc_id")
+    sets = own.join(several, "doc_id", "left_semi").select("doc_id", "s1", "s2").distinct()
+    links = sets.join(alike.select("s1", "s2", "rep"), ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    return links.filter("a <> b")
+
+
+def jaccard_rows(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, key, s1, s2, n_shingles, component_id) of every row of docs: key is that of the text, s1 and s2 that of
+    its set."""
     id_kind = docs.schema["doc_id"].dataType
     every = stored(summaries(docs, text, n), "summaries")
     known = every.filter(F.col("size").isNotNull()).drop("hot")
@@ -439,33 +494,41 @@ def jaccard_components(docs: DataFrame, text: str = "text", n: int = 5, percent:
     segments = {r["class"]: -(-int(r["load"]) // SEGMENT_SHINGLES) for r in loads if r["load"] > SEGMENT_SHINGLES}
     table = stored(heads(representatives(docs, text, alike), text, n, percent, (hot["token"].to_numpy(), hot["texts"].to_numpy(np.int64)), segments), "heads")
     pair = T.StructType([T.StructField("a", id_kind), T.StructField("b", id_kind)])
-    searched, checked, links, labels = table, None, None, None
-    for turn in ("first", "each", "all"):
-        rows = searched
-        if labels is not None:
-            own = labels.select(F.col("id").alias("doc_id"), "component")
-            rows = rows.join(own, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        rows = rows.withColumn("target", F.explode("targets")).drop("targets").withColumns({"class": F.col("target.class"), "larger": F.col("target.larger")})
-        found = in_blocks(rows.drop("target")).groupBy("class", "segment", "low", "high").applyInArrow(_search(percent, turn), pair)
-        found = stored(found, f"pairs-{turn}")
-        pairs = found.filter("b is not null").distinct()
-        pairs = pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti")
-        new = stored(verified(docs, text, n, percent, pairs), f"links-{turn}")
-        links = new if links is None else links.unionByName(new)
-        labels = connected(links)
-        still = stored(found.filter("b is null").select(F.col("a").alias("doc_id")).distinct(), "unfinished")
-        if not still.limit(1).count():
-            break
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        searched = searched.join(still, "doc_id", "left_semi")
+
+    def dealt(heads: DataFrame) -> DataFrame:
+        rows = heads.withColumn("target", F.explode("targets")).drop("targets").withColumns({"class": F.col("target.class"), "larger": F.col("target.larger")})
+        return in_blocks(rows.drop("target"))
+
+    found = stored(dealt(table).groupBy(*TASK).applyInArrow(lambda rows: _first_pairs(rows, percent), pair), "pairs")
+    links = stored(verified(docs, text, n, percent, found.filter("b is not null").distinct()).unionByName(repeated_ids(known, alike)), "links")
+    labels = connected(links)
+    still = stored(found.filter("b is null").select(F.col("a").alias("doc_id")).distinct(), "unfinished")
+    if still.limit(1).count():
+        own = labels.select(F.col("id").alias("doc_id"), "component")
+        rows = table.join(still, "doc_id", "left_semi").join(own, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        rows = stored(dealt(rows), "searched")
+        named = T.StructType([rows.schema[c] for c in (*TASK, "doc_id", "s1", "s2")])
+        wanted = stored(rows.groupBy(*TASK).applyInArrow(lambda rows: _sets_to_check(rows, percent), named), "to-check")
+        sets = whole_sets(docs, text, n, wanted.select(F.col("doc_id").alias("_id")))
+        rows = rows.join(wanted, [*TASK, "doc_id", "s1", "s2"], "left_semi").join(sets, ["doc_id", "s1", "s2"])
+        more = rows.groupBy(*TASK).applyInArrow(lambda rows: _checked_links(rows, percent), pair)
+        labels = connected(links.unionByName(stored(more, "more-links")))
     named = alike.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = named.select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     return known.join(named, ["s1", "s2"], "left").select(
         "doc_id",
+        "key",
+        "s1",
+        "s2",
         F.col("size").alias("n_shingles"),
         F.when(F.col("size") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
 
+def jaccard_components(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs."""
+    return jaccard_rows(docs, text, n, percent).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=85)
