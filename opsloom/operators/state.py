@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def upsert(state: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -67,23 +68,39 @@ POST_TURNS = tuple(
 ) + tuple(("queued 0", wait, "held 0") for wait in ("config", "not_ready"))
 
 
-def walk(events: DataFrame, key: str, at: list[str], what: str, turns: tuple, start: str) -> DataFrame:
-    """(key, phase) of each key with events, after a walk over turns (phase, event, next phase) that never come
-    back to a phase. Each step takes, for all keys at once, the first event after the last one that leaves
-    the phase: a minimum, combined before the shuffle. No key's events are gathered, however many it has."""
-    place = F.struct(*at)
-    depth, frontier = 0, {start}
-    while frontier := {b for a, _, b in turns if a in frontier}:
-        depth += 1
-    exits = events.sparkSession.createDataFrame(list(turns), "_was string, _what string, _next string")
-    moves = events.select(key, place.alias("_at"), F.col(what).alias("_what")).join(F.broadcast(exits), "_what")
-    now = events.groupBy(key).agg(F.lit(start).alias("phase"), F.lit(None).cast(moves.schema["_at"].dataType).alias("_since"))
-    for _ in range(depth):
-        later = moves.join(now.select(F.col(key).alias("_key"), "phase", "_since"), (F.col(key) == F.col("_key")) & (F.col("_was") == F.col("phase")))
-        later = later.filter(F.col("_since").isNull() | (F.col("_at") > F.col("_since")))
-        step = later.groupBy(key).agg(F.min_by("_next", "_at").alias("_next"), F.min("_at").alias("_then"))
-        now = now.join(step, key, "left").select(key, F.coalesce("_next", "phase").alias("phase"), F.coalesce("_then", "_since").alias("_since"))
-    return now.select(key, "phase")
+#: Blocks of one level that are composed to one of the next.
+FAN_IN = 256
+
+
+def walk(events: DataFrame, key: str, at: list[str], what: str, turns: tuple, start: str, block: int = 3600) -> DataFrame:
+    """(key, phase) of each key with events, after a walk over turns (phase, event, next phase); other pairs of phase and
+    event leave the phase as it is. Phases may come back.
+
+    An event is a map from phase to phase, and maps compose in any grouping as long as their order stays. So the events of
+    a key are cut into blocks of time (`block` seconds, or units of a number), each a group of its own that becomes one
+    small map; FAN_IN blocks in a row are composed to one, and these in the end. Events are read once, whatever the number
+    of phases, and a key with any share of them is spread over its blocks. Events that turn nothing aren't
+    gathered. at: what orders events, the first being the time; equal ones are ordered by event."""
+    phases = list(dict.fromkeys([start, *(p for was, _, will in turns for p in (was, will))]))
+    kinds = list(dict.fromkeys(event for _, event, _ in turns))
+    maps = [[phases.index({(was, e): will for was, e, will in turns}.get((p, kind), p)) for p in phases] for kind in kinds]
+    table = F.array(*(F.array(*map(F.lit, m)) for m in maps))
+    code = F.coalesce(*(F.when(F.col(what) == kind, F.lit(i)) for i, kind in enumerate(kinds)))
+    time = events.schema[at[0]].dataType
+    when = F.col(at[0]).cast("timestamp") if isinstance(time, (T.TimestampType, T.TimestampNTZType, T.DateType)) else F.col(at[0])
+
+    def composed(parts: Column) -> Column:
+        """One map of the maps in their order."""
+        same = F.array(*(F.lit(i) for i in range(len(phases))))
+        return F.aggregate(parts, same, lambda done, m: F.transform(done, lambda p: F.get(m, p)))
+
+    told = events.select(F.col(key).alias("_key"), F.floor(when.cast("double") / block).alias("_block"), F.when(code.isNotNull(), F.struct(*at, code.alias("_code"))).alias("_event"))
+    rows = told.groupBy("_key", "_block").agg(F.transform(F.array_sort(F.collect_list("_event")), lambda e: F.get(table, e["_code"])).alias("_maps"))
+    rows = rows.select("_key", "_block", composed(F.col("_maps")).alias("_map"))
+    for group in (["_key", F.floor(F.col("_block") / FAN_IN).alias("_over")], ["_key"]):
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("_block", "_map"))), lambda p: p["_map"])
+        rows = rows.groupBy(*group).agg(F.min("_block").alias("_block"), parts.alias("_maps")).withColumn("_map", composed(F.col("_maps"))).drop("_maps", "_over")
+    return rows.select(F.col("_key").alias(key), F.get(F.array(*map(F.lit, phases)), F.get("_map", 0)).alias("phase"))
 
 
 def probed(latency: Column, limit: int = 4000) -> Column:

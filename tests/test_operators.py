@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsloom.operators import allocation, rollups, rules, state
+from opsloom.plans import registry
 from opsloom.sources import markdown, records
 
 
@@ -119,6 +120,33 @@ def test_walks_are_folds(spark, turns, start, words, fold, said):
     assert found == {k: fold(h) for k, h in enumerate(histories)}
 
 
+LOOP = (("a", "x", "b"), ("b", "x", "c"), ("c", "x", "a"), ("a", "y", "c"), ("c", "y", "a"), ("b", "z", "a"))
+
+
+@pytest.mark.parametrize("block,fan_in", [(1, 2), (7, 3), (10_000, 256)])
+def test_walks_come_back_to_phases(spark, monkeypatch, block, fan_in):
+    """A machine with loops, over long histories cut into blocks; a key without an event that counts stays at the start."""
+    monkeypatch.setattr(state, "FAN_IN", fan_in)
+    rng, turns, rows, wanted = random.Random(3), {(p, e): n for p, e, n in LOOP}, [], {}
+    for k in range(12):
+        phase = "a"
+        for at in range(rng.choice([1, 5, 150])):
+            what = "w" if k == 0 else rng.choice("xyzw")
+            phase = turns.get((phase, what), phase)
+            rows.append((k, at // 3, at, what))
+        wanted[k] = phase
+    rng.shuffle(rows)
+    events = spark.createDataFrame(rows, "draft long, ts long, event_id long, what string")
+    walked = state.walk(events, "draft", ["ts", "event_id"], "what", LOOP, "a", block)
+    assert {r["draft"]: r["phase"] for r in walked.collect()} == wanted
+
+
+def test_a_walk_reads_its_events_once(spark, sf):
+    for name in ("t02_review_fold", "t04_week_phases", "t06_posting_fold"):
+        plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("Initial Plan")[-1].count("FileScan parquet") == 1 and "Join" not in plan
+
+
 def test_probes_are_cut_off_at_the_limit(spark):
     rows = spark.createDataFrame([(0,), (4000,), (4001,), (None,)], "ms long")
     assert [tuple(r[0]) for r in rows.select(state.probed(F.col("ms"))).collect()] == [("ok", 0), ("ok", 4000), ("down", 4000), ("down", 4000)]
