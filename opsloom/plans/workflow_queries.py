@@ -208,6 +208,38 @@ def t_stream_daily_counts(spark, sf):
     return reviews.drained(stream, shared_folder(spark)).select(F.col("day").cast("string").alias("day"), "verb", "n")
 
 
+def _items(spark, sf):
+    """What a draft is asked on one day is an item: open from midnight on, resolved when it is approved or killed."""
+    e = reviews.event_stream(spark, sf, "events.parquet")
+    item = F.concat_ws(" ", F.col("draft").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+    both = F.array(F.struct(F.date_trunc("day", "ts").alias("ts"), F.lit("open").alias("what")), F.struct("ts", F.when(F.col("verb").isin("approve", "kill"), "resolve").otherwise("seen").alias("what")))
+    return e.select(item.alias("item"), F.explode(both).alias("e")).select("item", "e.ts", "e.what")
+
+
+def t03_lapse_timer(spark, sf):
+    fired = reviews.drained(reviews.deadlines(_items(spark, sf), "12 hours"), shared_folder(spark))
+    return fired.select("item", "what", F.date_format("at", "yyyy-MM-dd HH:mm").alias("at"))
+
+
+def t05_reminder_timer(spark, sf):
+    fired = reviews.drained(reviews.deadlines(_items(spark, sf), "30 hours", "24 hours"), shared_folder(spark))
+    return fired.select("item", "what", F.date_format("at", "yyyy-MM-dd HH:mm").alias("at"))
+
+
+def s19_reactions_live(spark, sf):
+    """Requests to rewrite as posts, approvals and kills as reactions, each a stream."""
+    e = lambda: reviews.event_stream(spark, sf, "events.parquet")
+    posts = e().filter("verb = 'rewrite'").select(F.col("draft").alias("subject"), F.col("ts").alias("posted"), F.col("event_id").alias("post"))
+    reactions = e().filter("verb IN ('approve', 'kill')").select(F.col("draft").alias("subject"), F.col("ts").alias("reacted"), F.col("event_id").alias("reaction"), "verb")
+    return reviews.drained(reviews.reactions_to_posts(posts, reactions, "36 HOURS"), shared_folder(spark)).select("reaction", "subject", "verb", "post")
+
+
+def j05_reaction_counts(spark, sf):
+    """What each rewrite request was answered with, from the live join; requests without an answer aren't told."""
+    live = s19_reactions_live(spark, sf).filter("post IS NOT NULL")
+    return live.groupBy("post").agg(F.count_if(F.col("verb") == "approve").alias("approvals"), F.count_if(F.col("verb") == "kill").alias("kills"))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that all executors see: under spark.checkpoint.dir, else, if all run on this machine, a
     local one."""
@@ -264,5 +296,22 @@ ORACLES = {
     "k11_notes": "SELECT p_partkey, '---' || chr(10) || 'title: ' || p_name || chr(10) || 'date: 2026-01-02' || chr(10) || '---' || chr(10) || chr(10) || replace(p_name, ' ', '-') AS note, substr(repeat(p_name, 300), 1, 1800) AS alert FROM part",
     "t_stream_daily_counts": f"WITH {V} SELECT CAST(date_trunc('day', ts) AS VARCHAR) AS day, verb, count(*) AS n FROM e WHERE date_trunc('day', ts) + INTERVAL 2 DAYS <= (SELECT max(ts) FROM e) GROUP BY 1, 2",
 }
+_ITEMS = f"""WITH {V}, m AS (SELECT epoch_ms(max(ts)) - 86400000 AS mark FROM e),
+    i AS (SELECT draft || ' ' || strftime(ts, '%Y-%m-%d') AS item, date_trunc('day', min(ts)) AS opened, min(ts) FILTER (verb IN ('approve', 'kill')) AS resolved FROM e GROUP BY 1)"""
+
+
+def _fired(what: str, hours: int) -> str:
+    return f"""SELECT item, '{what}' AS what, strftime(opened + INTERVAL {hours} HOURS, '%Y-%m-%d %H:%M') AS at FROM i, m
+        WHERE mark > epoch_ms(opened + INTERVAL {hours} HOURS) AND (resolved IS NULL OR epoch_ms(resolved) > epoch_ms(opened + INTERVAL {hours} HOURS))"""
+
+
+ORACLES["t03_lapse_timer"] = f"{_ITEMS} {_fired('lapse', 12)}"
+ORACLES["t05_reminder_timer"] = f"{_ITEMS} {_fired('reminder', 6)} UNION ALL {_fired('lapse', 30)}"
+_REACTIONS = f"""{V}, p AS (SELECT draft, ts AS posted, event_id AS post FROM e WHERE verb = 'rewrite'), r AS (SELECT draft, ts, event_id AS reaction, verb FROM e WHERE verb IN ('approve', 'kill')),
+    m AS (SELECT least((SELECT epoch_ms(max(posted)) FROM p), (SELECT epoch_ms(max(ts)) FROM r)) - 86400000 AS mark)"""
+ORACLES["s19_reactions_live"] = f"""WITH {_REACTIONS} SELECT reaction, r.draft AS subject, verb, post FROM r LEFT JOIN p ON p.draft = r.draft AND posted <= ts AND ts <= posted + INTERVAL 36 HOURS
+    WHERE post IS NOT NULL OR epoch_ms(ts) < (SELECT mark FROM m)"""
+ORACLES["j05_reaction_counts"] = f"""WITH {_REACTIONS} SELECT post, count(*) FILTER (verb = 'approve') AS approvals, count(*) FILTER (verb = 'kill') AS kills
+    FROM r JOIN p ON p.draft = r.draft AND posted <= ts AND ts <= posted + INTERVAL 36 HOURS GROUP BY post"""
 ORACLES["t_stream_first_decision"] = ORACLES["t01_first_decision"]
 QUERIES = {k: globals()[k] for k in (*ORACLES, "k04_messages")}

@@ -1,4 +1,5 @@
-"""Reviews as streams: the first deciding event of each draft, and daily counts of late events.
+"""Reviews as streams: the first deciding event of each draft, daily counts of late events, reminders and lapses that
+fire by themselves, and reactions joined to what they react to.
 
 State is one small row per draft. Rows of a batch are put in event order inside the state function, since
 their arrival has none."""
@@ -56,13 +57,75 @@ def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "verb").agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "verb", "n")
 
 
-def drained(stream: DataFrame, folder: str, name: str | None = None) -> DataFrame:
+def _timers(hold: int, ahead: int | None):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        opened, resolved, reminded = state.get if state.exists else (None, None, ahead is None)
+        if not state.hasTimedOut:
+            for rows in batches:
+                for ms, what in zip(rows["ms"].tolist(), rows["what"].tolist(), strict=True):
+                    if what == "open":
+                        opened = ms if opened is None else min(opened, ms)
+                    elif what == "resolve":
+                        resolved = ms if resolved is None else min(resolved, ms)
+        now, fired = state.getCurrentWatermarkMs(), []
+        if opened is None and resolved is None:
+            return
+        # what was resolved but never opened is let go when its lapse would be due
+        lapse = hold + (resolved if opened is None else opened)
+        remind = lapse - (ahead or 0)
+        if opened is not None and not reminded and now > remind:
+            reminded = True
+            if resolved is None or resolved > remind:
+                fired.append(("reminder", remind))
+        if now > lapse:
+            if opened is not None and (resolved is None or resolved > lapse):
+                fired.append(("lapse", lapse))
+            if state.exists:
+                state.remove()
+        else:
+            state.update((opened, resolved, reminded))
+            state.setTimeoutTimestamp(lapse if reminded else max(remind, now))
+        if fired:
+            yield pd.DataFrame([(*key, what, at) for what, at in fired], columns=["item", "what", "ms"])
+
+    return run
+
+
+def deadlines(events: DataFrame, hold: str, ahead: str | None = None, late: str = "1 day") -> DataFrame:
+    """(item, what, at): items that are open too long. events: (item, ts, what), what being open, resolve or anything else.
+    `hold` after an item was opened (by its first such event) a lapse comes out, and `ahead` before that a reminder, each
+    once, unless the item was resolved by then. at is when it was due. A timer of each item fires when the watermark
+    passes, with no event of the item, and is kept over a restart; by then all events up to it have come, but for those that
+    are more than `late`, so batches and their order change nothing. State is one short row for an item until it lapses."""
+    span = lambda text: int(pd.Timedelta(text).total_seconds() * 1000)
+    marked = events.withWatermark("ts", late).select("item", "ts", F.unix_millis("ts").alias("ms"), "what")
+    kind = events.schema["item"].dataType.simpleString()
+    fired = marked.groupBy("item").applyInPandasWithState(
+        _timers(span(hold), None if ahead is None else span(ahead)), f"item {kind}, what string, ms long", "opened long, resolved long, reminded boolean", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return fired.select("item", "what", F.timestamp_millis("ms").alias("at"))
+
+
+def reactions_to_posts(posts: DataFrame, reactions: DataFrame, within: str, late: str = "1 day") -> DataFrame:
+    """Each reaction (subject, reacted, ...) with the posts (subject, posted, ...) of its subject that came `within` that
+    time before it. A reaction without any comes out alone, once no such post can come any more. Both sides are
+    held for the bound and the delay only, so state doesn't grow with the streams."""
+    p = posts.withWatermark("posted", late).withColumnRenamed("subject", "_subject")
+    r = reactions.withWatermark("reacted", late)
+    near = (F.col("subject") == F.col("_subject")) & (F.col("posted") <= F.col("reacted")) & (F.col("reacted") <= F.col("posted") + F.expr(f"INTERVAL {within}"))
+    return r.join(p, near, "leftOuter").drop("_subject")
+
+
+def drained(stream: DataFrame, folder: str, name: str | None = None, held: list[int] | None = None) -> DataFrame:
     """Run a stream over all that is there and read what it wrote so far. folder must be shared by all
-    executors; with a name, a later run goes on where the last one of that name ended."""
+    executors; with a name, a later run goes on where the last one of that name ended. held gets the rows of
+    state after each batch."""
     out = f"{folder}/stream-{name or uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode("append").option("checkpointLocation", f"{out}-state").trigger(availableNow=True)
     query = writer.format("parquet").start(f"{out}-rows")
     query.awaitTermination()
     if query.exception():
         raise query.exception()
+    if held is not None:
+        held += [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress]
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}-rows")

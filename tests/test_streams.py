@@ -1,9 +1,11 @@
 """Streams over files that come one after the other."""
 
 import datetime as dt
+import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from opsloom.streaming import reviews
 
@@ -46,3 +48,91 @@ def test_days_close_once(spark, folder):
     # day 1 has closed: its late event is dropped, while days that are open still count
     write(folder / "in", "b.parquet", [(4, 0, 1, "click"), (5, 3, 1, "click"), (6, 8, 1, "click")])
     assert run() == closed | {(4, "approve"): 2}
+
+
+HOUR = 3_600_000
+
+
+def items_in(spark, folder):
+    raw = spark.readStream.schema("item long, ts timestamp_ntz, what string").parquet(str(folder))
+    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def put(folder, name, rows):
+    """rows: (item, hours after DAY, what)"""
+    frame = pd.DataFrame([(i, DAY + dt.timedelta(hours=h), what) for i, h, what in rows], columns=["item", "ts", "what"])
+    frame["ts"] = frame["ts"].astype("datetime64[us]")
+    frame.to_parquet(folder / name)
+
+
+def due(rows, mark, hold, ahead):
+    """What plain Python says is due by the watermark, in hours."""
+    said = []
+    for item in {i for i, *_ in rows}:
+        opened = min((h for i, h, w in rows if i == item and w == "open"), default=None)
+        resolved = min((h for i, h, w in rows if i == item and w == "resolve"), default=10**9)
+        for what, at in (("reminder", hold - ahead), ("lapse", hold)):
+            if opened is not None and mark > opened + at and resolved > opened + at:
+                said.append((item, what, DAY + dt.timedelta(hours=opened + at)))
+    return sorted(said)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_reminders_and_lapses_over_files_out_of_order(spark, folder, seed):
+    """Three files, a restart after each: what is due comes out once, whatever file its events were in."""
+    rng = random.Random(seed)
+    rows = []
+    for item in range(30):
+        opened = rng.randrange(100)
+        rows.append((item, opened, "open"))
+        if rng.random() < 0.3:
+            rows.append((item, opened + rng.randrange(10), "open"))
+        if rng.random() < 0.6:
+            rows.append((item, opened + rng.randrange(90), "resolve"))
+        rows.append((item, rng.randrange(200), "seen"))
+    rows.append((99, 60, "resolve"))
+    # within the delay of 48 hours files may mix
+    late = lambda r: r[1] + rng.randrange(48)
+    rows.sort(key=late)
+    held, seen = [], []
+    for k, part in enumerate((rows[:30], rows[30:60], [*rows[60:], (100, 400, "seen")])):
+        put(folder / "in", f"{k}.parquet", part)
+        seen += part
+        stream = reviews.deadlines(items_in(spark, folder / "in"), "72 hours", "24 hours", "48 hours")
+        found = sorted(map(tuple, reviews.drained(stream, str(folder), "d", held).collect()))
+        assert found == due(seen, max(h for _, h, _ in seen) - 48, 72, 24)
+    # all are done with; no state is left but what watches the newest
+    assert {w for _, w, _ in found} == {"reminder", "lapse"} and held[-1] <= 1
+
+
+def test_reactions_meet_their_posts_as_they_come(spark, folder):
+    """Posts and reactions in three files out of order; those without a post come out when the bound has passed."""
+    (folder / "posts").mkdir()
+    rng = random.Random(5)
+    posts = [(rng.randrange(6), rng.randrange(300)) for _ in range(40)]
+    reactions = [(rng.randrange(8), rng.randrange(300)) for _ in range(80)]
+
+    def stream():
+        p, r = (items_in(spark, folder / name) for name in ("posts", "in"))
+        return reviews.reactions_to_posts(
+            p.select(F.col("item").alias("subject"), F.col("ts").alias("posted")), r.select(F.col("item").alias("subject"), F.col("ts").alias("reacted")), "10 HOURS", "24 hours"
+        )
+
+    def wanted(until):
+        p, r = ([x for x in rows if x[1] < until] for rows in (posts, reactions))
+        mark = min(max(h for _, h in rows) for rows in (p, r)) - 24
+        said = []
+        for s, h in r:
+            near = [at for i, at in p if i == s and at <= h <= at + 10]
+            said += [(s, h, at) for at in near] or ([(s, h, None)] if h < mark else [])
+        return sorted(said, key=str)
+
+    held = []
+    hours = lambda t: None if t is None else int((t - DAY).total_seconds() // 3600)
+    for k in range(3):
+        for name, rows in (("posts", posts), ("in", reactions)):
+            put(folder / name, f"{k}.parquet", [(s, h, "x") for s, h in rows if k * 100 <= h < k * 100 + 100][::-1])
+        found = reviews.drained(stream(), str(folder), "r", held).collect()
+        assert sorted(((r["subject"], hours(r["reacted"]), hours(r["posted"])) for r in found), key=str) == wanted(k * 100 + 100)
+    # of 120 rows those of the last day and the bound are held
+    assert held[-1] < 40
