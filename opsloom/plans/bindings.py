@@ -25,9 +25,13 @@ def stages(spark: SparkSession) -> DataFrame:
 
 def opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders: O is open, F won, P lost."""
+    return opportunities_of(read(spark, sf_dir, "orders"))
+
+
+def opportunities_of(orders: DataFrame) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "F", "won").otherwise("lost")
     at = F.col("o_orderdate").cast("timestamp")
-    return read(spark, sf_dir, "orders").select(
+    return orders.select(
         F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"), status.alias("status"), F.col("o_orderpriority").alias("stage_id"), at.alias("created"), at.alias("updated")
     )
 

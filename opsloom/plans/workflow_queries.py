@@ -12,7 +12,7 @@ from opsloom.functions import numbers as N
 from opsloom.functions import text as X
 from opsloom.operators import state as S
 from opsloom.plans import bindings as B
-from opsloom.sources import markdown, records, sinks
+from opsloom.sources import connectors, ledger, markdown, records, sinks
 from opsloom.streaming import reviews
 
 
@@ -168,20 +168,60 @@ def t15_late_events(spark, sf):
 
 
 def k01_snapshot(spark, sf):
-    """Two versions of a state, the newest read back."""
-    folder = shared_folder(spark)
+    """Two versions of a state, the second made from the first, the newest read back."""
     state = B.reviews(spark, sf).select("doc_id", "fate")
-    sinks.write_snapshot(state, folder, 1)
-    newest = sinks.write_snapshot(S.upsert(state, B.read(spark, sf, "labels").select("doc_id", F.lit("seen").alias("fate")), "doc_id"), folder, 2)
-    return spark.read.parquet(newest).groupBy("fate").agg(F.count("*").alias("n"))
+    book = ledger.Ledger(spark, shared_folder(spark), state.schema)
+    book.mutate(lambda _: state)
+    seen = B.read(spark, sf, "labels").select("doc_id", F.lit("seen").alias("fate"))
+    book.mutate(lambda now: S.upsert(now, seen, "doc_id"))
+    return book.state().groupBy("fate").agg(F.count("*").alias("n"))
+
+
+def _entries(opportunities: DataFrame) -> DataFrame:
+    return opportunities.select("id", F.col("status").alias("brand"), F.trunc("created", "quarter").cast("string").alias("day"))
 
 
 def k02_archive(spark, sf):
+    """Batches of an archive, one of which comes again."""
+    entries = _entries(B.opportunities(spark, sf))
+    book = ledger.Ledger(spark, shared_folder(spark), entries.schema)
+    for batch in (0, 1, 1):
+        book.append(entries.filter(F.col("id") % 2 == batch), batch)
+    return book.rows().groupBy("brand").agg(F.count("*").alias("n"), F.count_distinct("day").alias("days"))
+
+
+def k02_stream_archive(spark, sf):
+    """The same archive, from a stream whose batches are committed once."""
+    raw = spark.readStream.schema(B.read(spark, sf, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
+    entries = _entries(B.opportunities_of(raw))
+    folder = shared_folder(spark)
+    book = ledger.Ledger(spark, folder, entries.schema)
+    for _ in range(2):  # the second run finds nothing new
+        book.sink(entries, f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return book.rows().groupBy("brand").agg(F.count("*").alias("n"), F.count_distinct("day").alias("days"))
+
+
+def k06_bundle_copy(spark, sf):
+    """Documents as files of three kinds; sheets stay behind, the others are copied, read back and compared."""
+    kind = F.get(F.array(F.lit("md"), F.lit("yaml"), F.lit("csv")), (F.col("doc_id") % 3).cast("int"))
+    files = B.read(spark, sf, "documents").select(F.concat_ws(".", F.col("doc_id").cast("string"), kind).alias("name"), F.col("text").alias("content"))
     folder = shared_folder(spark)
-    for half in (0, 1):
-        rows = B.opportunities(spark, sf).filter(F.col("id") % 2 == half)
-        sinks.append_archive(rows.select("id", F.col("status").alias("brand"), F.trunc("created", "quarter").cast("string").alias("day")), folder)
-    return spark.read.parquet(folder).groupBy("brand").agg(F.count("*").alias("n"), F.count_distinct("day").alias("days"))
+    connectors.write_bundle(files.filter(~F.col("name").endswith(".csv")), folder)
+    listed = connectors.bundle_files(spark, folder)
+    copied = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/files").select(F.regexp_extract("path", "files/.*", 0).alias("path"), F.sha2("content", 256).alias("copied"))
+    both = listed.join(copied, "path", "left").groupBy(F.substring_index("name", ".", -1).alias("kind"))
+    return both.agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.count_if(F.col("copied") == F.col("sha256")).alias("intact"))
+
+
+PAGE = "o_orderkey long, o_custkey long, o_totalprice double, o_orderstatus string, o_orderpriority string"
+
+
+def s11_paged(spark, sf):
+    """Orders as pages by status and pipeline; of the pages only those of the open, urgent ones are opened."""
+    by, folder = ["o_orderstatus", "o_orderpriority"], shared_folder(spark)
+    connectors.write_pages(B.read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", *by), folder, by)
+    pages = connectors.read_pages(spark, folder, by, PAGE).filter("o_orderstatus = 'O' AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
+    return pages.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("customers"), F.min("o_orderkey").alias("first_order"))
 
 
 def k04_messages(spark, sf):
@@ -292,6 +332,9 @@ ORACLES = {
     "t15_late_events": f"WITH {V}, {FIRST} SELECT e.verb, count(*) AS dropped FROM e JOIN f USING (draft) WHERE e.verb <> 'ignored' AND (e.ts, e.event_id) > f.m GROUP BY 1",
     "k01_snapshot": f"WITH {R} SELECT CASE WHEN fate = 'pending' THEN 'pending' ELSE 'seen' END AS fate, count(*) AS n FROM r GROUP BY 1",
     "k02_archive": f"WITH {B.SQL_OPPORTUNITIES} SELECT status AS brand, count(*) AS n, count(DISTINCT date_trunc('quarter', created)) AS days FROM o GROUP BY 1",
+    "k02_stream_archive": f"WITH {B.SQL_OPPORTUNITIES} SELECT status AS brand, count(*) AS n, count(DISTINCT date_trunc('quarter', created)) AS days FROM o GROUP BY 1",
+    "k06_bundle_copy": "SELECT CASE doc_id % 3 WHEN 0 THEN 'md' ELSE 'yaml' END AS kind, count(*) AS files, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, count(*) AS intact FROM documents WHERE doc_id % 3 < 2 GROUP BY 1",
+    "s11_paged": "SELECT o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS customers, min(o_orderkey) AS first_order FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1",
     "k08_log_lines": f"""WITH {V} SELECT event_id, '{{"t":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","level":"' || CASE WHEN verb = 'kill' THEN 'warn' ELSE 'info' END || '","msg":"' || verb || '","draft":' || draft || '}}' AS line FROM e""",
     "k11_notes": "SELECT p_partkey, '---' || chr(10) || 'title: ' || p_name || chr(10) || 'date: 2026-01-02' || chr(10) || '---' || chr(10) || chr(10) || replace(p_name, ' ', '-') AS note, substr(repeat(p_name, 300), 1, 1800) AS alert FROM part",
     "t_stream_daily_counts": f"WITH {V} SELECT CAST(date_trunc('day', ts) AS VARCHAR) AS day, verb, count(*) AS n FROM e WHERE date_trunc('day', ts) + INTERVAL 2 DAYS <= (SELECT max(ts) FROM e) GROUP BY 1, 2",

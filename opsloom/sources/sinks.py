@@ -1,4 +1,4 @@
-"""Writers. Each can be repeated: versions, partitions and batch ids keep a second run from doubling rows."""
+"""Reports, log lines and notes. Tables that grow by batches are in `ledger`."""
 
 from __future__ import annotations
 
@@ -6,18 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def write_snapshot(state: DataFrame, path: str, version: int) -> str:
-    """The whole state under a version's own folder; a reader takes the newest that Spark finished."""
-    target = f"{path}/v={version:020d}"
-    state.write.mode("overwrite").parquet(target)
-    return target
-
-
-def append_archive(entries: DataFrame, path: str) -> None:
-    """Entries by brand and business day; files are only ever added."""
-    entries.repartition("brand", "day").write.mode("append").partitionBy("brand", "day").parquet(path)
-
-
 def write_report(lines: DataFrame, path: str, line: str = "line", order: str = "ord") -> None:
     """A report's few lines as one text file."""
     lines.orderBy(order).select(F.col(line).alias("value")).coalesce(1).write.mode("overwrite").text(path)
