@@ -5,15 +5,16 @@ method then looks for credentials in several parts: access identifiers (AKIA ids
 assignments), secrets (unlabelled mixed strings, and the base findings) and endpoints (hosts in
 URLs, e-mail domains). A part on its own is weak. Within a scope - a paragraph, that is, text between
 blank lines - parts are interval-joined: a weak secret is reported as `linked` when an identifier or
-an endpoint lies within REACH code points of it and, as the complement, an identifier is reported as
-`identity` when a secret lies within reach. Base findings stay whatever the join says. The combinations
+an endpoint lies in its scope beside it and, as the complement, an identifier is reported as
+`identity` when a secret does. The scope is the bound, however long it is; a `reach` in code points can be
+asked for beside it. Base findings stay whatever the join says. The combinations
 that count are secret with identifier (a key pair, a login) and secret with endpoint (a token and where it
 is used), for each gives a usable credential; identifier with endpoint is an address, two secrets are two
 parts of one role, so neither counts.
 
 The join never leaves a document, so it is a sweep over that document's sorted parts, each looked up by
-binary search; nothing is shuffled, and a long text full of parts takes time in proportion. Null and empty texts have no findings; repeated rows give repeated results; whole texts are
-scanned. Columns named like an output are replaced.
+binary search; nothing is shuffled, and a long text full of parts takes time in proportion. Null and empty texts
+have no findings; repeated rows give repeated results; whole texts are scanned. Columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ from pyspark.sql import types as T
 
 from opsloom.llm.common import read, row_slices
 
-REACH = 200
 #: The order of kinds that start at the same place.
 KINDS = ("assign", "access", "hex", "identity", "linked")
 
@@ -75,16 +75,13 @@ class _Intervals:
         return i > 0 and self.furthest[i - 1] > start
 
     def near(self, start: int, end: int, low: int, high: int) -> bool:
-        """Does another one lie inside the scope [low, high), beside [start, end) and within REACH of it? The
-        next on either side tells."""
+        """Does another one lie inside [low, high), beside [start, end)? The next on either side tells."""
         after, before = bisect_left(self.starts, end), bisect_right(self.ends, start)
-        if after < len(self.starts) and self.starts[after] < min(high, end + REACH + 1):
-            return True
-        return before > 0 and self.ends[before - 1] > low and self.ends[before - 1] >= start - REACH
+        return after < len(self.starts) and self.starts[after] < high or before > 0 and self.ends[before - 1] > low
 
 
-def linked_spans(text: str, base: list[Span]) -> list[Span]:
-    """What co-occurring parts add to the base findings."""
+def linked_spans(text: str, base: list[Span], reach: int | None = None) -> list[Span]:
+    """What co-occurring parts add to the base findings; with a reach, of parts at most so far apart."""
     identity = [(m.start(), m.end()) for m in _IDENTITY.finditer(text)] if ("id" in text.lower() or "name" in text.lower()) else []
     endpoint = [(m.start(), m.end()) for m in _ENDPOINT.finditer(text)] if ("://" in text or "@" in text) else []
     access = [(s, e) for s, e, k in base if k == "access"]
@@ -98,23 +95,26 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     cuts = [0, *(m.end() for m in _BLANK.finditer(text)), len(text) + 1]
     partners, secrets = _Intervals(identity + access + endpoint), _Intervals(strong + weak)
 
-    def scope(start: int) -> tuple[int, int]:
+    def scope(start: int, end: int) -> tuple[int, int]:
         i = bisect_left(cuts, start + 1) - 1
-        return cuts[i], cuts[i + 1]
+        if reach is None:
+            return cuts[i], cuts[i + 1]
+        return max(cuts[i], start - reach - 1), min(cuts[i + 1], end + reach + 1)
 
-    found = [(s, e, "linked") for s, e in weak if partners.near(s, e, *scope(s))]
-    found += [(s, e, "identity") for s, e in identity if secrets.near(s, e, *scope(s))]
+    found = [(s, e, "linked") for s, e in weak if partners.near(s, e, *scope(s, e))]
+    found += [(s, e, "identity") for s, e in identity if secrets.near(s, e, *scope(s, e))]
     return found
 
 
-def scan(text: str) -> list[Span]:
+def scan(text: str, reach: int | None = None) -> list[Span]:
     """All findings of a text, by start, then kind."""
     base = base_spans(text)
-    return sorted(base + linked_spans(text, base), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+    return sorted(base + linked_spans(text, base, reach), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with secrets: array<struct<kind, start, end>>, by start, then kind."""
+def find_secrets(docs: DataFrame, text: str = "text", reach: int | None = None) -> DataFrame:
+    """docs with secrets: array<struct<kind, start, end>>, by start, then kind. Parts link within a paragraph, or
+    only within reach of one another, if one is given."""
     item = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
     made = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     fields = [f for f in docs.schema.fields if f.name.lower() != "secrets"]
@@ -123,7 +123,7 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in row_slices(whole, text):
-                rows = [[{"kind": k, "start": s, "end": e} for s, e, k in scan(t or "")] for t in batch.column(text).to_pylist()]
+                rows = [[{"kind": k, "start": s, "end": e} for s, e, k in scan(t or "", reach)] for t in batch.column(text).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(rows, pa.list_(item))], schema.names)
 
     return docs.mapInArrow(run, schema)

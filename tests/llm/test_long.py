@@ -52,8 +52,9 @@ def test_texts_full_of_findings_take_little_time(line):
     assert time.process_time() - began < 8
 
 
-def all_pairs(text):
+def all_pairs(text, reach=None):
     """Linking by looking at every pair within every paragraph."""
+    reach = len(text) if reach is None else reach
     base = secrets.base_spans(text)
     identity = [m.span() for m in secrets._IDENTITY.finditer(text)]
     partners = {*identity, *(m.span() for m in secrets._ENDPOINT.finditer(text)), *((s, e) for s, e, k in base if k == "access")}
@@ -62,7 +63,7 @@ def all_pairs(text):
     strong = {*weak, *((s, e) for s, e, k in base if k != "access")}
     cuts = [0, *(m.end() for m in re.finditer(r"\n\s*\n", text)), len(text) + 1]
     scope = lambda at: max(c for c in cuts if c <= at)
-    meets = lambda a, others: any((b[1] <= a[0] or a[1] <= b[0]) and scope(a[0]) == scope(b[0]) and b[0] <= a[1] + secrets.REACH and b[1] >= a[0] - secrets.REACH for b in others)
+    meets = lambda a, others: any((b[1] <= a[0] or a[1] <= b[0]) and scope(a[0]) == scope(b[0]) and b[0] <= a[1] + reach and b[1] >= a[0] - reach for b in others)
     found = base + [(*w, "linked") for w in weak if meets(w, partners)] + [(*i, "identity") for i in identity if meets(i, strong)]
     return sorted(found, key=lambda s: (s[0], secrets.KINDS.index(s[2]), s[1]))
 
@@ -71,9 +72,9 @@ PARTS = ["client_id = bob7", "user_name: ann.lee", "Zx8kQ92mmPq0TTyu1", "https:/
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(PARTS), max_size=14).map(" ".join))
-def test_links_are_those_of_all_pairs(text):
-    assert secrets.scan(text) == all_pairs(text)
+@given(st.lists(st.sampled_from(PARTS), max_size=14).map(" ".join), st.sampled_from([None, None, 0, 7, 200]))
+def test_links_are_those_of_all_pairs(text, reach):
+    assert secrets.scan(text, reach) == all_pairs(text, reach)
 
 
 def test_links_in_documents(spark, sf):
