@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,17 +19,44 @@ def block(title: Column | str, body: Column) -> Column:
     return F.concat(F.lit(title) if isinstance(title, str) else title, F.lit("\n"), body, F.lit("\n"))
 
 
-def system_prompt(brand: Column, voice: Column, references: Column, fallback: Column, title: Column, scenario: Column, hard: int = 3000, warn: int = 2500) -> Column:
+@dataclass(frozen=True)
+class Wording:
+    """What is said around the values; {} stands for one. A business brings its own."""
+
+    opening: str = "Brand: {}\n"
+    voice: str = "Voice"
+    examples: str = "Examples"
+    spare: str = "Spare examples"
+    scene: str = "Scene: {}"
+    closing: str = "Stay within the examples."
+    shortened: str = "\n\n(shortened)"
+    faults: str = "Faults of the {} text\n{}\n"
+    day: str = "{}: {}"
+    earlier: str = "Already said\n{}\n"
+    wanted: str = "Wanted: 3 texts on {}\n"
+    material: str = "Material"
+    notes: str = "Notes"
+    text: str = "Text"
+
+
+PLAIN = Wording()
+
+
+def filled(template: str, *values: Column) -> Column:
+    """The template with the values in the place of each {}; null if one is."""
+    first, *others = template.split("{}")
+    return F.concat(F.lit(first), *(part for value, after in zip(values, others, strict=True) for part in (value, F.lit(after))))
+
+
+def system_prompt(brand: Column, voice: Column, references: Column, fallback: Column, title: Column, scenario: Column, hard: int = 3000, warn: int = 2500, say: Wording = PLAIN) -> Column:
     """struct(prompt, tokens, truncated, warnings) of a brand's blocks: its voice, its references, else what the
     fallback says, the scenario, and a closing rule. Beyond the hard budget the scenario is halved."""
 
     def made(shown: Column) -> Column:
-        given = F.coalesce(block("VOICE REFERENCES:", references), block("VOICE REFERENCES (fallback):", fallback))
-        head = F.concat(F.lit("You write for "), brand, F.lit(".\n"))
-        return blocks(head, block("VOICE:", voice), given, block(F.concat(F.lit("SCENARIO ("), title, F.lit("):")), shown), "---", "Match this voice. One clear idea per post.")
+        given = F.coalesce(block(say.examples, references), block(say.spare, fallback))
+        return blocks(filled(say.opening, brand), block(say.voice, voice), given, block(filled(say.scene, title), shown), say.closing)
 
-    note = F.lit("\n\n[... truncated for token budget ...]")
-    half = F.concat(F.substr(scenario, F.lit(1), F.floor(F.length(scenario) / 2).cast("int")), note)
+    half = F.concat(F.substr(scenario, F.lit(1), F.floor(F.length(scenario) / 2).cast("int")), F.lit(say.shortened))
 
     def budgeted(whole: Column) -> Column:
         over = (X.token_estimate(whole) > hard) & scenario.isNotNull()
@@ -49,15 +78,14 @@ def system_prompt(brand: Column, voice: Column, references: Column, fallback: Co
     return X.let(made(scenario), budgeted)
 
 
-def day_prompt(theme: Column, seeds: Column, before: Column, failed: Column, failures: Column) -> Column:
+def day_prompt(theme: Column, seeds: Column, before: Column, failed: Column, failures: Column, say: Wording = PLAIN) -> Column:
     """What a day's posts are asked for with: what failed last time, what earlier days said (an array), the
     theme and the raw material (numbered lines)."""
-    repair = F.concat(F.lit("Your previous "), failed, F.lit(" variant FAILED. Rewrite it completely.\nFailures: "), failures, F.lit("\n"))
-    days = F.transform(before, lambda s, i: F.concat(F.lit("Day "), (i + 1).cast("string"), F.lit(": "), s))
-    prior = F.when(F.size(before) > 0, F.concat(F.lit("PRIOR DAYS - do NOT repeat these:\n"), F.array_join(days, "\n"), F.lit("\n")))
-    asked = F.concat(F.lit("Write THREE versions of a "), F.replace(theme, F.lit("_"), F.lit(" ")), F.lit(" post.\n"))
-    return blocks(repair, prior, asked, block("Raw material:", seeds))
+    days = F.transform(before, lambda s, i: filled(say.day, (i + 1).cast("string"), s))
+    prior = F.when(F.size(before) > 0, filled(say.earlier, F.array_join(days, "\n")))
+    asked = filled(say.wanted, F.replace(theme, F.lit("_"), F.lit(" ")))
+    return blocks(filled(say.faults, failed, failures), prior, asked, block(say.material, seeds))
 
 
-def rewrite_prompt(notes: Column, previous: Column) -> Column:
-    return blocks("The reviewer wants ONE rewrite. Notes:", notes, "", "Previous draft (rewrite it, don't patch it):", previous)
+def rewrite_prompt(notes: Column, previous: Column, say: Wording = PLAIN) -> Column:
+    return blocks(block(say.notes, notes), say.text, previous)

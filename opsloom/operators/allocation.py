@@ -32,8 +32,8 @@ def wrap_chunks(rows: DataFrame, group: str, seq: str, days: int, per_day: int)
 
 
 def prior_days(rows: DataFrame, day: str, text: str) -> DataFrame:
-    """Each day's list of the texts of earlier days; a table of days."""
-    w = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    """Each day's list of the texts of earlier days of its week; a table of days. A week is a group of seven rows at most."""
+    w = Window.partitionBy(F.date_trunc("week", day)).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("before", F.array_join(F.collect_list(text).over(w), "|"))
 
 
@@ -77,21 +77,34 @@ def top(rows: DataFrame, n: int, *order: Column) -> DataFrame:
     return rows.orderBy(*order).limit(n).withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-#: Values of seq that one window task ranks.
+#: Rows that one window task ranks, about, and ranges of scores by which they are dealt.
 PER_BLOCK = 5000
+RANGES = 200
 
 
 def places(rows: DataFrame, score: Column, seq: str, *group: str) -> DataFrame:
     """Add place (from 1), best score first, then by seq (a whole number), within each group or over all rows.
 
-    Rows are counted by score and block of seq; sums of the blocks ahead give each block its base, and only
-    rows of one block are ranked by a window. So neither a score nor a group that a third of all rows share
-    meets in one task, but for its counts."""
-    keyed = rows.withColumns({"_score": score, "_block": F.floor(F.col(seq) / PER_BLOCK)})
-    blocks = [*group, "_score", "_block"]
+    Rows are counted by score and block of seq, which is as wide as PER_BLOCK rows take on the whole, so that ids may be
+    hashes. Sums of the blocks ahead give each block its base, and only rows of one block are ranked by a
+    window. Counts are summed by range of scores first, so neither a score nor a group that a third of all rows share
+    meets in one task, nor do the counts of all rows. Spark looks at the table once before, for its size, ids and ranges."""
+    keyed = rows.withColumn("_score", score.cast("double"))
+    shares = [k / RANGES for k in range(1, RANGES)]
+    size = keyed.agg(F.count(seq).alias("n"), F.min(seq).alias("low"), F.max(seq).alias("high"), F.percentile_approx("_score", shares).alias("edges")).first()
+    width = max(1, ((size["high"] or 0) - (size["low"] or 0) + 1) // max(1, -(-size["n"] // PER_BLOCK)))
+    edges = F.array(*map(F.lit, sorted(set(size["edges"] or [])))).cast("array<double>")
+    # null scores come last, in a range of their own
+    at = F.when(F.col("_score").isNull(), RANGES).otherwise(F.size(F.filter(edges, lambda e: e > F.col("_score"))))
+    keyed = keyed.withColumns({"_range": at, "_block": F.expr(f"(cast({seq} as decimal(38, 0)) - {size['low'] or 0}) div {width}")})
+    blocks = [*group, "_range", "_score", "_block"]
     counts = keyed.groupBy(*blocks).agg(F.count("*").alias("_n"))
-    ahead = Window.partitionBy(*group).orderBy(F.desc("_score"), "_block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+    before = lambda *keys: Window.partitionBy(*group, *keys).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = counts.groupBy(*group, "_range").agg(F.sum("_n").alias("_all"))
+    ranges = ranges.select(*(F.col(c).alias(f"{c}_r") for c in (*group, "_range")), F.coalesce(F.sum("_all").over(before().orderBy("_range")), F.lit(0)).alias("_over"))
+    own = F.coalesce(F.sum("_n").over(before("_range").orderBy(F.desc("_score"), "_block")), F.lit(0))
+    bases = counts.withColumn("_own", own).join(ranges, [F.col(c).eqNullSafe(F.col(f"{c}_r")) for c in (*group, "_range")])
+    bases = bases.withColumn("_ahead", F.col("_own") + F.col("_over"))
     bases = bases.select(*(F.col(c).alias(f"{c}_b") for c in blocks), "_ahead")
     same = [F.col(c).eqNullSafe(F.col(f"{c}_b")) for c in blocks]
     based = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy(*blocks).orderBy(seq))).join(bases, same)

@@ -169,7 +169,7 @@ ORACLES = {
                 FROM r JOIN p ON p.platform = r.platform AND p.k = r.k + 1 CROSS JOIN c))
         SELECT platform, id, got AS "at" FROM r WHERE k > 0""",
     "w07_positions": f"WITH {B.SQL_REVIEWS} SELECT doc_id, brand, row_number() OVER (PARTITION BY brand ORDER BY doc_id) AS pos FROM r WHERE fate = 'approved'",
-    "w08_prior_days": f"WITH {O}, d AS (SELECT CAST(created AS DATE) AS day, CAST(min(id) AS VARCHAR) AS line FROM o GROUP BY 1) SELECT day, coalesce(string_agg(line, '|') OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before FROM d",
+    "w08_prior_days": f"WITH {O}, d AS (SELECT CAST(created AS DATE) AS day, CAST(min(id) AS VARCHAR) AS line FROM o GROUP BY 1) SELECT day, coalesce(string_agg(line, '|') OVER (PARTITION BY date_trunc('week', day) ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before FROM d",
     "w09_first_by_prefix": "SELECT p_type, arg_min(p_name, p_partkey) AS first_name, min(p_partkey) AS first_key FROM part WHERE lower(p_name) LIKE 'red%' GROUP BY p_type",
     "w10_dial_order": f"WITH {L} SELECT seq, city, row_number() OVER (PARTITION BY city ORDER BY score DESC, seq) AS dial FROM l",
     "w11_tiers": f"WITH {L} SELECT {TIER} AS tier, count(*) AS n, min(score) AS low, max(score) AS high FROM l GROUP BY 1",

@@ -74,7 +74,9 @@ def f02_by_name(spark, sf):
 
 def f12_active_brands(spark, sf):
     r = B.reviews(spark, sf).groupBy("brand").agg(F.count_if(F.col("fate") == "approved").alias("n"))
-    return r.filter("n >= 2").select("brand", (F.row_number().over(Window.orderBy("brand")) == 1).alias("default_brand"))
+    active = r.filter("n >= 2").select("brand")
+    first = active.agg(F.min("brand").alias("first"))  # one row
+    return active.join(F.broadcast(first)).select("brand", (F.col("brand") == F.col("first")).alias("default_brand"))
 
 
 def f13_file_names(spark, sf):

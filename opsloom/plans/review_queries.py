@@ -334,7 +334,9 @@ L, R_, O, V = B.SQL_LEADS, B.SQL_REVIEWS, B.SQL_OPPORTUNITIES, B.SQL_VERBS  # no
 NOW = "TIMESTAMP '2001-07-31 00:00:00'"
 AT = "timezone('UTC', timezone('America/Los_Angeles', {}))"
 CALENDAR = f"(SELECT {AT.format('d + t')} AS at FROM (SELECT DATE '2001-08-06' + CAST(unnest(range(31)) AS INT) AS d) CROSS JOIN (VALUES (TIME '09:00'), (TIME '13:00')) v(t) WHERE dayofweek(d) <> 0)"
-TAKEN = f"(SELECT DISTINCT {AT.format(chr(68) + 'ATE ' + chr(39) + '2001-08-06' + chr(39) + ' + CAST(s_suppkey % 5 AS INT) + TIME ' + chr(39) + '09:00' + chr(39))} AS at FROM supplier)"
+MORNING = "DATE '2001-08-06' + CAST(s_suppkey % 5 AS INT) + TIME '09:00'"
+TAKEN = f"(SELECT DISTINCT {AT.format(MORNING)} AS at FROM supplier)"
+FRENCH = "lang = 'fr'"
 SHOUT = "CAST(regexp_matches({t}, '(?i)[a-z]+!!') AS INT) + CAST(contains({t}, '—') AS INT) + CAST(contains({t}, '–') AS INT) + CAST(contains({t}, ' - ') AS INT)"
 #: t11 (doc_id, t) of the dash steps -> checked (doc_id, n), how many failures a stripped text has.
 CHECKED = f"t AS (SELECT * EXCLUDE (t), t AS text FROM t{len(X.DASH_STEPS)}), {SANITY}, checked AS (SELECT *, {SHOUT.format(t='text')} + len(hard) + CAST(regexp_matches(text, '(?i)theer|onin the') AS INT) AS n FROM sanity)"
@@ -377,30 +379,30 @@ ORACLES = {
         SELECT event_id, CASE WHEN k = {len(NUMBERS)} THEN value WHEN s = '' THEN 0 WHEN regexp_matches(s, '^0[xX][0-9a-fA-F]+$') THEN CAST(CAST(s AS BIGINT) AS DOUBLE) WHEN regexp_matches(s, '^[-+]?[0-9.]+([eE][-+]?[0-9]+)?$') THEN TRY_CAST(s AS DOUBLE) END AS number FROM s""",
     "x27_changes": "WITH d AS (SELECT CAST(trunc(l_quantity) AS BIGINT) - l_linenumber * 7 AS d FROM lineitem) SELECT CASE WHEN d = 0 THEN '±0' WHEN d > 0 THEN '+' || d ELSE CAST(d AS VARCHAR) END AS change, count(*) AS n FROM d GROUP BY 1",
     "x30_one_liners": r"WITH o AS (SELECT doc_id, text, regexp_extract(text, '^[^.!?\n]+[.!?]') AS o FROM documents) SELECT doc_id, CASE WHEN o = '' THEN substr(text, 1, 80) ELSE trim(o) END AS line FROM o",
-    "x31_sizes": f"WITH {HEADLINES} SELECT {_sized(chr(108) + 'ang = ' + chr(39) + 'fr' + chr(39))} AS size, count(*) AS n FROM h GROUP BY 1",
+    "x31_sizes": f"WITH {HEADLINES} SELECT {_sized(FRENCH)} AS size, count(*) AS n FROM h GROUP BY 1",
     "x39_urls": "SELECT s_suppkey, 'https://' || lower(s_name) || '/images/' || s_suppkey || '.jpg' AS url FROM supplier",
     "x44_image_names": r"WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN upper(md5(p_name)) ELSE md5(p_name) END || CASE WHEN p_partkey % 5 = 0 THEN '.jpeg' ELSE '.jpg' END AS n FROM part) SELECT p_partkey, nullif(regexp_extract(n, '^([0-9a-f]{32})\.jpg$', 1), '') AS token FROM n",
     "x46_kinds": "SELECT CASE WHEN contains(text, '$$$') THEN 'money' WHEN contains(text, '!!') THEN 'shout' WHEN contains(text, '@') THEN 'address' WHEN contains(text, ' und ') THEN 'german' ELSE 'plain' END AS kind, count(*) AS n FROM documents GROUP BY 1",
     "d04_shifted_days": f"WITH {O} SELECT id, CAST(CAST(created AS DATE) + CAST(id % 40 - 20 AS INT) AS VARCHAR) AS day FROM o",
     "d07_utc_days": f"WITH {V} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM e GROUP BY 1",
     "x22_system_prompt": """WITH s AS (SELECT s_suppkey AS k, s_name AS name, CASE WHEN s_suppkey % 4 > 0 THEN repeat('pattern of the post. ', s_suppkey % 90 * 10) END AS sc FROM supplier),
-        h AS (SELECT *, 'You write for ' || name || '.' || chr(10) || chr(10) || CASE WHEN k % 2 = 0 THEN 'VOICE:' || chr(10) || 'plain, like ' || name || chr(10) || chr(10) ELSE '' END
-            || CASE WHEN k % 3 > 0 THEN 'VOICE REFERENCES:' || chr(10) || 'words of ' || name ELSE 'VOICE REFERENCES (fallback):' || chr(10) || 'Banned words: the, und' END || chr(10) || chr(10) AS head,
-            '---' || chr(10) || 'Match this voice. One clear idea per post.' AS tail FROM s),
-        w AS (SELECT *, head || CASE WHEN sc IS NULL THEN '' ELSE 'SCENARIO (scenario ' || k % 9 || '):' || chr(10) || sc || chr(10) || chr(10) END || tail AS whole,
-            head || 'SCENARIO (scenario ' || k % 9 || '):' || chr(10) || substr(sc, 1, CAST(length(sc) // 2 AS INT)) || chr(10) || chr(10) || '[... truncated for token budget ...]' || chr(10) || chr(10) || tail AS halved FROM h),
+        h AS (SELECT *, 'Brand: ' || name || chr(10) || chr(10) || CASE WHEN k % 2 = 0 THEN 'Voice' || chr(10) || 'plain, like ' || name || chr(10) || chr(10) ELSE '' END
+            || CASE WHEN k % 3 > 0 THEN 'Examples' || chr(10) || 'words of ' || name ELSE 'Spare examples' || chr(10) || 'Banned words: the, und' END || chr(10) || chr(10) AS head,
+            'Stay within the examples.' AS tail FROM s),
+        w AS (SELECT *, head || CASE WHEN sc IS NULL THEN '' ELSE 'Scene: scenario ' || k % 9 || chr(10) || sc || chr(10) || chr(10) END || tail AS whole,
+            head || 'Scene: scenario ' || k % 9 || chr(10) || substr(sc, 1, CAST(length(sc) // 2 AS INT)) || chr(10) || chr(10) || '(shortened)' || chr(10) || chr(10) || tail AS halved FROM h),
         c AS (SELECT *, ceil(length(whole) / 4.0) > 3000 AND sc IS NOT NULL AS cut FROM w), p AS (SELECT *, CASE WHEN cut THEN halved ELSE whole END AS p FROM c), n AS (SELECT *, CAST(ceil(length(p) / 4.0) AS BIGINT) AS n FROM p)
         SELECT k AS s_suppkey, md5(p) AS prompt, n AS tokens, cut AS truncated, array_to_string(list_filter([CASE WHEN k % 3 = 0 THEN 'references missing' END, CASE WHEN sc IS NULL THEN 'scenario missing' END, CASE WHEN cut THEN 'scenario halved' END,
             CASE WHEN n > 3000 THEN 'over budget' WHEN n > 2500 THEN 'near budget' END], lambda x: x IS NOT NULL), ', ') AS warnings FROM n""",
-    "x42_day_prompt": """SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'Your previous linkedin variant FAILED. Rewrite it completely.' || chr(10) || 'Failures: [dash_policy] ' || p_partkey || chr(10) || chr(10) ELSE '' END
-        || CASE WHEN p_partkey % 4 > 0 THEN 'PRIOR DAYS - do NOT repeat these:' || chr(10) || array_to_string(list_transform([p_name, p_brand, p_type][1:p_partkey % 4], lambda s, i: 'Day ' || i || ': ' || s), chr(10)) || chr(10) || chr(10) ELSE '' END
-        || 'Write THREE versions of a ' || p_name || ' post.' || chr(10) || chr(10) || 'Raw material:' || chr(10) || '1. ' || p_type || chr(10) AS prompt FROM part""",
+    "x42_day_prompt": """SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'Faults of the linkedin text' || chr(10) || '[dash_policy] ' || p_partkey || chr(10) || chr(10) ELSE '' END
+        || CASE WHEN p_partkey % 4 > 0 THEN 'Already said' || chr(10) || array_to_string(list_transform([p_name, p_brand, p_type][1:p_partkey % 4], lambda s, i: i || ': ' || s), chr(10)) || chr(10) || chr(10) ELSE '' END
+        || 'Wanted: 3 texts on ' || p_name || chr(10) || chr(10) || 'Material' || chr(10) || '1. ' || p_type || chr(10) AS prompt FROM part""",
     "x50_awaiting_action": """SELECT s_suppkey, '## Awaiting action' || chr(10) || chr(10) || array_to_string(list_transform(list_filter([CASE WHEN s_suppkey % 3 = 0 THEN '**Library:** `lib/' || s_suppkey || '` is empty.' END, CASE WHEN s_suppkey % 4 = 0 THEN '**Photos:** none.' END,
         CASE WHEN s_suppkey % 2 = 1 THEN '**Logo file:** missing.' END, '**Account connections:** to be confirmed.'], lambda x: x IS NOT NULL), lambda x: '- [ ] ' || x), chr(10)) || chr(10) AS section FROM supplier""",
     "c19_pattern_audit": """WITH r AS (SELECT p_partkey // 50 AS page, p_partkey, row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_partkey) AS i, p_name, CASE WHEN contains(p_name, 'red') THEN 'money' WHEN contains(p_name, 'blue') THEN 'activity' WHEN contains(p_name, 'small') THEN 'milestones' ELSE 'personal context' END AS intent FROM part)
         SELECT page, '| # | Regex pattern | Intent |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || i || ' | `' || p_name || '` | ' || intent || ' |', chr(10) ORDER BY i) AS audit FROM r GROUP BY page""",
     "c20_brand_lookup": "SELECT p_partkey, s_name AS display, CAST(CASE WHEN s_suppkey IS NULL THEN 0 WHEN s_suppkey % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS sections FROM part LEFT JOIN supplier ON s_suppkey = p_partkey",
-    "c03_rewrite": f"""WITH {R_}, p AS (SELECT doc_id, 'The reviewer wants ONE rewrite. Notes:' || chr(10) || 'shorter, and less of ' || brand || chr(10) || chr(10) || 'Previous draft (rewrite it, don''t patch it):' || chr(10) || text AS p FROM r JOIN documents USING (doc_id) WHERE fate = 'killed')
+    "c03_rewrite": f"""WITH {R_}, p AS (SELECT doc_id, 'Notes' || chr(10) || 'shorter, and less of ' || brand || chr(10) || chr(10) || 'Text' || chr(10) || text AS p FROM r JOIN documents USING (doc_id) WHERE fate = 'killed')
         SELECT doc_id, md5(p) AS prompt, CAST(ceil(length(p) / 4.0) AS BIGINT) AS tokens FROM p""",
     "c04_content_batch": f"""WITH c AS (SELECT source AS brand, doc_id // 20 AS page, {SHOUT.format(t='text')} = 0 AS ok FROM documents)
         SELECT brand, page, count(*) AS posted, count(*) FILTER (ok) AS clean, count(*) FILTER (NOT ok) AS flagged, 'Content batch - ' || brand || chr(10) || count(*) || ' draft' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END AS header FROM c GROUP BY brand, page""",
