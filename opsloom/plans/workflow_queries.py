@@ -281,15 +281,19 @@ def j05_reaction_counts(spark, sf):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors see: under spark.checkpoint.dir, else, if all run on this machine, a
-    local one."""
+    """A folder's name that all executors see and none has used: under spark.checkpoint.dir, else, if all run on this
+    machine, a local one. Spark deletes it when the session ends."""
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     base = base or tempfile.mkdtemp(prefix="opsloom-")
-    return f"{base}/opsloom-{uuid.uuid4().hex}"
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/opsloom-{uuid.uuid4().hex}")
+    files = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(own)
+    files.deleteOnExit(own)
+    return f"{own.toString()}/own"
 
 
 L, V, R = B.SQL_LEADS, B.SQL_VERBS, B.SQL_REVIEWS
