@@ -5,7 +5,6 @@ each group before the shuffle and a group that holds a third of all rows costs n
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,28 +49,6 @@ def free_slots(days: DataFrame, times: list[str], taken: DataFrame, now: Column,
     return ahead.join(taken.select("at").distinct(), "at", "left_anti")
 
 
-def assign_in_order(posts: DataFrame, calendar: DataFrame, taken: DataFrame) -> DataFrame:
-    """Give each post of a platform, by seq, its ideal instant if that is open, else the first open one;
-    each use closes it. posts: platform, seq, id, ideal; calendar: platform, at (open slots ahead, by time);
-    taken: platform, at. What a post gets depends on all before it, so a platform is one group; its posts
-    and calendar are those of one plan, some dozens."""
-
-    def run(key: tuple, own: pd.DataFrame, free: pd.DataFrame) -> pd.DataFrame:
-        closed = set(free.loc[free["taken"], "at"])
-        ahead = free.loc[~free["taken"], "at"].sort_values().tolist()
-        ideal_ok = set(ahead)
-        out = []
-        for post in own.sort_values("seq").itertuples():
-            at = post.ideal if post.ideal in ideal_ok and post.ideal not in closed else next((a for a in ahead if a not in closed), None)
-            closed.add(at)
-            out.append((key[0], post.id, at))
-        return pd.DataFrame(out, columns=["platform", "id", "at"])
-
-    both = calendar.select("platform", "at", F.lit(False).alias("taken")).unionByName(taken.select("platform", "at", F.lit(True).alias("taken")))
-    kind = f"platform string, id {posts.schema['id'].dataType.simpleString()}, at timestamp"
-    return posts.groupBy("platform").cogroup(both.groupBy("platform")).applyInPandas(run, kind)
-
-
 def top(rows: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first n with pos (from 1)."""
     return rows.orderBy(*order).limit(n).withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("long"))
@@ -82,8 +59,8 @@ PER_BLOCK = 5000
 RANGES = 200
 
 
-def places(rows: DataFrame, score: Column, seq: str, *group: str) -> DataFrame:
-    """Add place (from 1), best score first, then by seq (a whole number), within each group or over all rows.
+def places(rows: DataFrame, score: Column, seq: str, *group: str, then: tuple[str, ...] = ()) -> DataFrame:
+    """Add place (from 1), best score first, then by seq (a whole number) and the columns `then`, within each group or over all rows.
 
     Rows are counted by score and block of seq, which is as wide as PER_BLOCK rows take on the whole, so that ids may be
     hashes. Sums of the blocks ahead give each block its base, and only rows of one block are ranked by a
@@ -107,7 +84,7 @@ def places(rows: DataFrame, score: Column, seq: str, *group: str) -> DataFrame:
     bases = bases.withColumn("_ahead", F.col("_own") + F.col("_over"))
     bases = bases.select(*(F.col(c).alias(f"{c}_b") for c in blocks), "_ahead")
     same = [F.col(c).eqNullSafe(F.col(f"{c}_b")) for c in blocks]
-    based = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy(*blocks).orderBy(seq))).join(bases, same)
+    based = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy(*blocks).orderBy(seq, *then))).join(bases, same)
     return based.withColumn("place", (F.col("_ahead") + F.col("_rn")).cast("long")).select(*rows.columns, "place")
 
 

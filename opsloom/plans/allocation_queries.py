@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from opsloom.functions import dates as D
 from opsloom.functions import numbers as N
 from opsloom.operators import allocation as A
+from opsloom.operators import slotting
 from opsloom.plans import bindings as B
 
 
@@ -48,13 +49,23 @@ def w06_schedule(spark: SparkSession, sf: str) -> DataFrame:
     day = F.date_add(F.lit("2001-08-06").cast("date"), (F.col("s_suppkey") % 4).cast("int"))
     plan = F.concat(F.lit("plan "), F.floor(F.col("s_suppkey") / 10))
     posts = B.read(spark, sf, "supplier").select(plan.alias("platform"), F.col("s_suppkey").alias("seq"), F.col("s_suppkey").alias("id"), D.instant(day, F.lit("09:00")).alias("ideal"))
-    # each plan has the whole calendar, of some dozens of slots
-    ahead = F.collect_list("at").alias("all")
-    week = A.slots(_days(spark, "2001-08-06", 31), ["09:00", "13:00"]).filter(F.col("at") > B.now()).agg(ahead)
-    plans = B.read(spark, sf, "supplier").select(plan.alias("platform")).distinct()
-    calendar = plans.join(F.broadcast(week)).select("platform", F.explode("all").alias("at"))
+    # each plan has a month's mornings and noons
+    month = F.sequence(F.lit("2001-08-06").cast("date"), F.lit("2001-09-05").cast("date"))
+    days = posts.select("platform").distinct().select("platform", F.explode(month).alias("day"))
+    calendar = A.slots(days, ["09:00", "13:00"]).filter(F.col("at") > B.now()).select("platform", "at")
     taken = spark.createDataFrame([], "platform string, at timestamp")
-    return A.assign_in_order(posts, calendar, taken).select("platform", "id", "at")
+    return slotting.assign_in_order(posts, calendar, taken).select("platform", "id", "at")
+
+
+def w06_long_plans(spark: SparkSession, sf: str) -> DataFrame:
+    # a plan a priority, whose calendars are the hours at which its orders' events lie and an hour a day beyond; hours of even suppliers are taken
+    hour = lambda day, n: F.timestamp_seconds(F.unix_seconds(F.col(day).cast("timestamp")) + 3600 * n)
+    orders = B.read(spark, sf, "orders").withColumnRenamed("o_orderpriority", "platform")
+    key = F.col("o_orderkey")
+    posts = orders.select("platform", key.alias("seq"), key.alias("id"), hour("o_orderdate", F.pmod(key, F.lit(3))).alias("ideal"))
+    calendar = orders.select("platform", hour("o_orderdate", F.pmod(F.col("o_custkey"), F.lit(6))).alias("at"))
+    taken = orders.filter("o_custkey % 11 = 0").select("platform", hour("o_orderdate", F.lit(1)).alias("at"))
+    return slotting.assign_in_order(posts, calendar, taken, per_range=500).select("platform", "id", "at")
 
 
 def w07_positions(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,6 +179,14 @@ ORACLES = {
                 SELECT r.platform, p.k, p.id, r.used, CASE WHEN list_contains(cal, ideal) AND NOT list_contains(used, ideal) THEN ideal ELSE list_filter(cal, lambda x: NOT list_contains(used, x))[1] END AS got
                 FROM r JOIN p ON p.platform = r.platform AND p.k = r.k + 1 CROSS JOIN c))
         SELECT platform, id, got AS "at" FROM r WHERE k > 0""",
+    "w06_long_plans": """WITH RECURSIVE o AS (SELECT o_orderpriority AS platform, o_orderkey AS id, o_custkey AS cust, CAST(o_orderdate AS TIMESTAMP) AS d FROM orders),
+        f AS (SELECT DISTINCT platform, d + to_hours(cust % 6) AS a FROM o), t AS (SELECT DISTINCT platform, d + INTERVAL 1 HOUR AS a FROM o WHERE cust % 11 = 0),
+        c AS (SELECT platform, list(a ORDER BY a) AS cal FROM (SELECT * FROM f EXCEPT SELECT * FROM t) GROUP BY 1),
+        p AS (SELECT platform, id, d + to_hours(id % 3) AS ideal, row_number() OVER (PARTITION BY platform ORDER BY id) AS k FROM o),
+        r AS (SELECT platform, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(NULL AS TIMESTAMP) AS got, cal AS left_over FROM c
+              UNION ALL SELECT platform, k, id, got, list_filter(left_over, lambda x: x <> got) FROM (
+                SELECT r.platform, p.k, p.id, left_over, CASE WHEN list_contains(left_over, ideal) THEN ideal ELSE left_over[1] END AS got FROM r JOIN p ON p.platform = r.platform AND p.k = r.k + 1))
+        SELECT platform, id, got AS "at" FROM r WHERE k > 0""",
     "w07_positions": f"WITH {B.SQL_REVIEWS} SELECT doc_id, brand, row_number() OVER (PARTITION BY brand ORDER BY doc_id) AS pos FROM r WHERE fate = 'approved'",
     "w08_prior_days": f"WITH {O}, d AS (SELECT CAST(created AS DATE) AS day, CAST(min(id) AS VARCHAR) AS line FROM o GROUP BY 1) SELECT day, coalesce(string_agg(line, '|') OVER (PARTITION BY date_trunc('week', day) ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before FROM d",
     "w09_first_by_prefix": "SELECT p_type, arg_min(p_name, p_partkey) AS first_name, min(p_partkey) AS first_key FROM part WHERE lower(p_name) LIKE 'red%' GROUP BY p_type",
@@ -190,7 +209,7 @@ ORACLES = {
 }
 #: Columns that hold dates or instants. Both engines return them as text, which is the same everywhere.
 DATED = {
-    "w04_sorted_slots": ("day", "at"), "w05_first_free_slot": ("at",), "w06_schedule": ("at",), "w08_prior_days": ("day",), "d01_local_day": ("day",), "d03_instants": ("day", "at"),
+    "w04_sorted_slots": ("day", "at"), "w05_first_free_slot": ("at",), "w06_schedule": ("at",), "w06_long_plans": ("at",), "w08_prior_days": ("day",), "d01_local_day": ("day",), "d03_instants": ("day", "at"),
     "d05_slot_label": ("created",), "d06_next_monday": ("day", "monday"), "d08_deadlines": ("due", "reminder"), "d10_week_days": ("monday", "day"), "d11_human_days": ("day",),
 }
 QUERIES = {k: B.as_text(globals()[k], DATED.get(k, ())) for k in ORACLES}

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from opsloom.operators import allocation, rollups, rules, state
+from opsloom.operators import allocation, rollups, rules, slotting, state
 from opsloom.plans import registry
 from opsloom.sources import markdown, records
 
@@ -52,10 +52,35 @@ def test_assignment_takes_later_ideals(spark):
     posts = spark.createDataFrame([("p", 0, 0, at[0]), ("p", 1, 1, at[0]), ("p", 2, 2, at[1])], "platform string, seq long, id long, ideal timestamp")
     calendar = spark.createDataFrame([("p", a) for a in at], "platform string, at timestamp")
     taken = spark.createDataFrame([], "platform string, at timestamp")
-    found = {r["id"]: r["at"] for r in allocation.assign_in_order(posts, calendar, taken).collect()}
+    found = {r["id"]: r["at"] for r in slotting.assign_in_order(posts, calendar, taken).collect()}
     assert found == {0: at[0], 1: at[1], 2: at[2]}
 
 
+def greedy_slots(posts, calendar, taken):
+    closed, out = set(taken), {}
+    for platform, _, i, ideal in sorted(posts, key=lambda p: (p[0] or "", p[1], p[2])):
+        free = sorted(a for p, a in calendar if p == platform and (p, a) not in closed)
+        got = ideal if ideal in free else free[0] if free else None
+        closed.add((platform, got))
+        out[i] = got
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_assignment_over_ranges_of_posts(spark, seed):
+    """Few slots and many, hot ideals, ties, slots taken, platforms without a calendar or a name, three posts a range."""
+    rng = random.Random(seed)
+    start, far = dt.datetime(2026, 6, 15, 16), rng.choice([8, 40, 70])
+    platforms = ["a", "a", "a", "b", "none", None]
+    at = lambda: start + dt.timedelta(hours=rng.randrange(far) if rng.random() < 0.7 else far - 1)
+    posts = [(rng.choice(platforms), rng.randrange(50), i, at() if rng.random() < 0.9 else None) for i in range(80)]
+    calendar = [(p, start + dt.timedelta(hours=h)) for p in ("a", "b", None, "c") for h in range(far) if rng.random() < 0.8] * 2
+    taken = [(rng.choice(("a", "b")), at()) for _ in range(4)]
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+    found = slotting.assign_in_order(frame(posts, "platform string, seq long, id long, ideal timestamp"), frame(calendar, "platform string, at timestamp"), frame(taken, "platform string, at timestamp"), 3)
+    assert {r["id"]: r["at"] for r in found.collect()} == greedy_slots(posts, calendar, taken)
+
+
 def test_tables_without_rows(spark):
     none = spark.createDataFrame([], "id long, value double, status string, stage_id string, created timestamp, updated timestamp")
     stages = spark.createDataFrame([("1", "New")], "stage_id string, stage string")
@@ -63,6 +88,9 @@ def test_tables_without_rows(spark):
     row = rollups.snapshot(none, F.lit("2026-01-01").cast("timestamp")).first()
     assert row["open_count"] == 0 and row["total_value"] == 0.0
     assert allocation.round_robin(spark.createDataFrame([], "city string, seq long"), "city", "seq", 3).count() == 0
+    slots = spark.createDataFrame([], "platform string, at timestamp")
+    posts = spark.createDataFrame([], "platform string, seq long, id long, ideal timestamp")
+    assert slotting.assign_in_order(posts, slots, slots).count() == 0
 
 
 def python_review(verbs):
