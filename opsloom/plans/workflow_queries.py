@@ -46,7 +46,7 @@ def _sheets(spark, sf) -> DataFrame:
     leads = B.leads(spark, sf)
     # a sheet holds a page of a city's leads
     rows = leads.groupBy("city", B.page(100)).agg(_joined(leads, "city", "seq", row).alias("rows"))
-    return rows.select(_say(F.col("city"), " ", F.col("page")).alias("doc"), _say("# Pool\n| a | b |\n\n## Leads Table\n\nnote\n| # | Company | Score | City | Hook |\n|---|:--|--:|---|---|\n", F.col("rows"), "\n\n| 1 | not | this | table | row |").alias("text"))
+    return rows.select("city", "page", _say(F.col("city"), " ", F.col("page")).alias("doc"), _say("# Pool\n| a | b |\n\n## Leads Table\n\nnote\n| # | Company | Score | City | Hook |\n|---|:--|--:|---|---|\n", F.col("rows"), "\n\n| 1 | not | this | table | row |").alias("text"))
 
 
 def s02_table_scan(spark, sf):
@@ -54,6 +54,22 @@ def s02_table_scan(spark, sf):
     return rows.select("doc", "pos", *(F.try_element_at("row", F.lit(k)).alias(k) for k in ("company", "score", "city")), "extra_cells")
 
 
+def _batches(spark, sf) -> DataFrame:
+    """Three pages of a city's leads in one document, each with a table of its own, and a title without one."""
+    sheets = _sheets(spark, sf).withColumn("_d", F.floor(F.col("page") / 3))
+    pages = F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"])
+    return sheets.groupBy("city", "_d").agg(pages.alias("pages")).select(_say(F.col("city"), " ", F.col("_d")).alias("doc"), _say(F.array_join("pages", "\n\n"), "\n## Leads Table\nnone yet").alias("text"))
+
+
+def s02_every_table(spark, sf):
+    rows = markdown.all_table_rows(_batches(spark, sf))
+    return rows.select("doc", "part", "pos", *(F.try_element_at("row", F.lit(k)).alias(k) for k in ("company", "score", "city")), "extra_cells")
+
+
+def s04_every_seed(spark, sf):
+    return markdown.seeds(_batches(spark, sf), "Nowhere", every=True).select("doc", "part", "pos", "city", "tier", "diagnosis")
+
+
 def s04_seeds(spark, sf):
     return markdown.seeds(_sheets(spark, sf), "Nowhere").select("doc", "pos", "city", "tier", "diagnosis")
 
@@ -303,6 +319,8 @@ ORACLES = {
     "s01_graph": "SELECT CASE c_custkey % 5 WHEN 0 THEN 'entity' WHEN 1 THEN 'relation' WHEN 2 THEN 'skipped' ELSE 'header' END AS kind, count(*) AS n FROM customer WHERE c_custkey % 5 < 4 GROUP BY 1",
     "f03_outcomes": "SELECT 'e' || p_partkey AS source_entity, p_name AS client_name, '30 days: net' AS time_window, CAST(p_partkey % 10 AS DOUBLE) AS before, p_retailprice AS after FROM part WHERE p_partkey % 3 = 1 AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 4 <> 0",
     "s02_table_scan": f"WITH {L} SELECT city || ' ' || seq // 100 AS doc, row_number() OVER (PARTITION BY city, seq // 100 ORDER BY seq) - 1 AS pos, name AS company, CAST(score AS VARCHAR) AS score, CASE WHEN seq % 3 = 0 THEN '' ELSE city END AS city, CAST(seq % 10 = 0 AS BIGINT) AS extra_cells FROM l",
+    "s02_every_table": f"WITH {L}, p AS (SELECT *, seq // 100 AS page, seq // 300 AS d FROM l) SELECT city || ' ' || d AS doc, dense_rank() OVER (PARTITION BY city, d ORDER BY page) - 1 AS part, row_number() OVER (PARTITION BY city, page ORDER BY seq) - 1 AS pos, name AS company, CAST(score AS VARCHAR) AS score, CASE WHEN seq % 3 = 0 THEN '' ELSE city END AS city, CAST(seq % 10 = 0 AS BIGINT) AS extra_cells FROM p",
+    "s04_every_seed": f"WITH {L}, p AS (SELECT *, seq // 100 AS page, seq // 300 AS d FROM l) SELECT city || ' ' || d AS doc, dense_rank() OVER (PARTITION BY city, d ORDER BY page) - 1 AS part, row_number() OVER (PARTITION BY city, page ORDER BY seq) - 1 AS pos, CASE WHEN seq % 3 = 0 THEN 'Nowhere' ELSE city END AS city, 'untiered' AS tier, 'mail [their email] on ' || seq AS diagnosis FROM p",
     "s04_seeds": f"WITH {L} SELECT city || ' ' || seq // 100 AS doc, row_number() OVER (PARTITION BY city, seq // 100 ORDER BY seq) - 1 AS pos, CASE WHEN seq % 3 = 0 THEN 'Nowhere' ELSE city END AS city, 'untiered' AS tier, 'mail [their email] on ' || seq AS diagnosis FROM l",
     "s05_ranked_leads": f"WITH {L} SELECT city || ' ' || seq // 100 AS doc, seq AS rank, name, score || '/10' AS score, '(702) ' || seq AS phone, CAST(NULL AS VARCHAR) AS owner, CASE WHEN seq % 2 = 0 THEN 'say it' END AS angle FROM l",
     "s06_sections": """WITH d AS (SELECT p_partkey AS k FROM part)

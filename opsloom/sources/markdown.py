@@ -33,6 +33,20 @@ def _first(lines: Column, test) -> Column:
     return F.array_position(F.transform(lines, lambda x: F.coalesce(test(x), F.lit(False))), F.lit(True)).cast("int") - 1
 
 
+def table_parts(docs: DataFrame, title: str = "## Leads Table", text: str = "text") -> DataFrame:
+    """(doc, part, text): each document from one title to the next, a row a title, counted from 0."""
+    parts = F.split(F.col(text), f"\\Q{title}\\E", -1)
+    cut = docs.select("doc", F.posexplode(F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(0)))).alias("part", "_rest"))
+    return cut.select("doc", F.col("part").cast("long").alias("part"), F.concat(F.lit(title), "_rest").alias("text"))
+
+
+def all_table_rows(docs: DataFrame, title: str = "## Leads Table", text: str = "text") -> DataFrame:
+    """(doc, part, pos, row, extra_cells) of every table of a document: the first one under each title, as
+    table_rows reads it, as far as the next title. part is the title's number, so one without a table is passed over."""
+    parts = table_parts(docs, title, text).select(F.struct("doc", "part").alias("doc"), "text")
+    return table_rows(parts, title).select("doc.doc", "doc.part", "pos", "row", "extra_cells")
+
+
 def table_rows(docs: DataFrame, title: str = "## Leads Table", text: str = "text") -> DataFrame:
     """(doc, pos, row, extra_cells) of the first table under the title. Its header is the first pipe row that
     names a company and a hook; a rule row under it is left out; the table ends at the first other line.
@@ -56,12 +70,15 @@ def table_rows(docs: DataFrame, title: str = "## Leads Table", text: str = "text
     return rows.select("doc", F.col("pos").cast("long").alias("pos"), made.alias("row"), F.greatest(F.lit(0), F.size("_cells") - F.size("_names")).cast("long").alias("extra_cells"))
 
 
-def seeds(docs: DataFrame, default_city: str = "Unknown", default_tier: str = "untiered") -> DataFrame:
-    """(doc, pos, city, tier, diagnosis) of dial sheets; names, phones and sites never leave this step."""
-    rows = table_rows(docs.filter(F.contains("text", F.lit("## Leads Table"))))
+def seeds(docs: DataFrame, default_city: str = "Unknown", default_tier: str = "untiered", every: bool = False) -> DataFrame:
+    """(doc, pos, city, tier, diagnosis) of dial sheets; names, phones and sites never leave this step. Of a sheet with
+    several tables the first is read; `every` reads all, and part tells which one a row is from."""
+    sheets = docs.filter(F.contains("text", F.lit("## Leads Table")))
+    rows = all_table_rows(sheets) if every else table_rows(sheets)
     cell = lambda k: F.coalesce(F.try_element_at("row", F.lit(k)), F.lit(""))
     made = rows.select(
         "doc",
+        *(["part"] if every else []),
         "pos",
         F.coalesce(F.nullif(cell("city"), F.lit("")), F.lit(default_city)).alias("city"),
         F.coalesce(F.nullif(cell("tier"), F.lit("")), F.lit(default_tier)).alias("tier"),

@@ -230,6 +230,16 @@ def test_markdown_edges(spark):
     assert {r["title"] for r in markdown.sections(docs).collect()} == {"__header__", "Leads Table"}
 
 
+def test_all_tables_of_a_sheet(spark):
+    head = "| Company | City | Hook |\n|---|---|---|\n"
+    text = f"# One\r\n## Leads Table\n\n{head}| a | p | x |\n\n## Leads Table\nnone\n# Two\n## Leads Table (more)\n{head}| b | q | y |\n| c | | z |\n## Leads Table"
+    docs = spark.createDataFrame([("s", text), ("n", None), ("e", ""), ("t", "no title\n" + head + "| d | r | w |")], "doc string, text string")
+    found = [(r["doc"], r["part"], r["pos"], r["row"]["company"]) for r in markdown.all_table_rows(docs).orderBy("doc", "part", "pos").collect()]
+    assert found == [("s", 0, 0, "a"), ("s", 2, 0, "b"), ("s", 2, 1, "c")]
+    assert [(r["part"], r["city"], r["diagnosis"]) for r in markdown.seeds(docs, every=True).orderBy("part", "pos").collect()] == [(0, "p", "x"), (2, "q", "y"), (2, "Unknown", "z")]
+    assert [r["row"]["company"] for r in markdown.table_rows(docs).collect()] == ["a"]
+
+
 def test_first_line_body_is_an_option(spark):
     docs = spark.createDataFrame([("a", "===LINKEDIN===\nHEADLINE: h\nBODY: one\ntwo")], "doc string, text string")
     assert [markdown.delimited_posts(docs, whole_body=w).first()["body"] for w in (True, False)] == ["one\ntwo", "one"]
