@@ -8,6 +8,9 @@ of each frame with its delay.
 filled with spaces to a positive multiple of 192, in frames 192 wide. Null text counts as empty and
 gives one row of spaces; repeated rows give equal media; an empty table gives an empty table. A text
 is held by one task alone. Columns named like an output are replaced.
+
+`media_columns` reads any media and never ends the job: where they are damaged, frames and samples are null and fault
+says why. Media that are null or without bytes have no frames, no samples and no fault.
 """
 
 from __future__ import annotations
@@ -31,6 +34,14 @@ _FULL = 4096
 _GREY = bytes(i for i in range(256) for _ in range(3))
 
 
+#: Pixels that a canvas may have: what one task holds for a frame, at three bytes each.
+MOST_PIXELS = 1 << 26
+
+
+class Damaged(ValueError):
+    """Media that can't be read as a GIF; says why."""
+
+
 def _schedule(bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Widths of the codes since a clear, and where each starts. When code k is read, the table has its
     first entries and one for each code from the second on; a code may also be the entry to come."""
@@ -72,6 +83,8 @@ def lzw_decode(data: bytes, bits: int, most: int) -> bytes:
         run, seen = codes[:stop].tolist(), len(out)
         add, put, size = table.append, out.append, len(table)
         if run and not last:
+            if run[0] >= size:
+                raise Damaged("code without an entry")
             last = table[run[0]]
             put(last)
             run = run[1:]
@@ -82,7 +95,7 @@ def lzw_decode(data: bytes, bits: int, most: int) -> bytes:
             elif code == size:
                 entry = last + last[:1]
             else:
-                raise ValueError("the code stream names an entry that doesn't exist yet")
+                raise Damaged("code without an entry")
             add(last + entry[:1])
             size += 1
             put(entry)
@@ -174,21 +187,40 @@ def _rows_of(height: int) -> np.ndarray:
     return np.concatenate([np.arange(a, height, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
-def read_gif(data: bytes) -> Iterator[Frame]:
-    """Composed frames, in order. A frame is what is seen before its own disposal."""
+def read_gif(data: bytes, most_pixels: int = MOST_PIXELS) -> Iterator[Frame]:
+    """Composed frames, in order. A frame is what is seen before its own disposal. Raises Damaged where the data end
+    too early, name what isn't there, or say a canvas or frame of more pixels than given."""
+    try:
+        yield from _frames(data, most_pixels)
+    except (IndexError, struct.error) as gone:
+        raise Damaged("cut off") from gone
+
+
+def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray, int]:
+    """The palette at a place, and where it ends."""
+    n = 3 << (flags & 7) + 1
+    if at + n > len(data):
+        raise Damaged("cut off")
+    return np.frombuffer(data, np.uint8, n, at).reshape(-1, 3), at + n
+
+
+def _frames(data: bytes, most_pixels: int) -> Iterator[Frame]:
     if data[:3] != b"GIF":
-        raise ValueError("not a GIF")
+        raise Damaged("not a GIF")
     wide, high, flags = struct.unpack_from("<HHB", data, 6)
+    if wide * high > most_pixels:
+        raise Damaged("too many pixels")
     at, shared = 13, None
     if flags & 0x80:
-        n = 3 << (flags & 7) + 1
-        shared, at = np.frombuffer(data, np.uint8, n, at).reshape(-1, 3), at + n
+        shared, at = _palette(data, at, flags)
 
     def blocks(at: int) -> tuple[bytes, int]:
         parts = []
         while n := data[at]:
             parts.append(data[at + 1 : at + 1 + n])
             at += 1 + n
+            if at > len(data):
+                raise Damaged("cut off")
         return b"".join(parts), at + 1
 
     canvas = np.zeros((high, wide, 3), np.uint8)
@@ -200,17 +232,24 @@ def read_gif(data: bytes) -> Iterator[Frame]:
                 said, delay, index = struct.unpack_from("<BHB", body)
                 disposal, clear = said >> 2 & 7, index if said & 1 else None
             continue
+        if data[at] != 0x2C:
+            raise Damaged("unknown block")
         left, top, w, h, own = struct.unpack_from("<HHHHB", data, at + 1)
         at, palette = at + 10, shared
         if own & 0x80:
-            n = 3 << (own & 7) + 1
-            palette, at = np.frombuffer(data, np.uint8, n, at).reshape(-1, 3), at + n
+            palette, at = _palette(data, at, own)
         bits = data[at]
         body, at = blocks(at + 1)
-        flat = np.zeros(w * h, np.uint8)
-        got = np.frombuffer(lzw_decode(body, bits, w * h), np.uint8)
-        flat[: got.size] = got
-        indexes = flat.reshape(h, w)
+        if palette is None:
+            raise Damaged("no palette")
+        if bits not in _SCHEDULES:
+            raise Damaged("unknown code size")
+        if w * h > most_pixels:
+            raise Damaged("too many pixels")
+        indexes = np.frombuffer(lzw_decode(body, bits, w * h), np.uint8)
+        if indexes.size < w * h:
+            raise Damaged("samples missing")
+        indexes = indexes.reshape(h, w)
         if own & 0x40:
             order = _rows_of(h)
             indexes = indexes[np.argsort(order)]
@@ -262,26 +301,30 @@ _FRAME = T.StructType(
 
 
 def media_columns(stored: DataFrame, media: str = "media") -> DataFrame:
-    """Add frames (array of structs: rectangle, delay, disposal, time shown at, 64 colour counts) and
-    samples (binary): the red of each frame's own rectangle as it is seen, frame after frame."""
-    schema = _schema(stored, T.StructField("frames", T.ArrayType(_FRAME)), T.StructField("samples", T.BinaryType()))
-    keep = schema.names[:-2]
+    """Add frames (array of structs: rectangle, delay, disposal, time shown at, 64 colour counts),
+    samples (binary): the red of each frame's own rectangle as it is seen, frame after frame, and
+    fault (string): why damaged media have neither; null for whole ones."""
+    schema = _schema(stored, T.StructField("frames", T.ArrayType(_FRAME)), T.StructField("samples", T.BinaryType()), T.StructField("fault", T.StringType()))
+    keep = schema.names[:-3]
     arrow = pa.list_(pa.struct([(f.name, pa.list_(pa.int64()) if f.name == "histogram" else pa.int32()) for f in _FRAME.fields]))
 
-    def decoded(data: bytes | None) -> tuple[list[dict], bytes]:
+    def decoded(data: bytes | None) -> tuple[list[dict] | None, bytes | None, str | None]:
         frames, samples, now = [], [], 0
-        for f in read_gif(data) if data else ():
-            said = {k: getattr(f, k) for k in ("left", "top", "width", "height", "delay_cs", "disposal")}
-            frames.append(said | {"shown_cs": now, "histogram": f.histogram()})
-            samples.append(f.canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes())
-            now += f.delay_cs
-        return frames, b"".join(samples)
+        try:
+            for f in read_gif(data) if data else ():
+                said = {k: getattr(f, k) for k in ("left", "top", "width", "height", "delay_cs", "disposal")}
+                frames.append(said | {"shown_cs": now, "histogram": f.histogram()})
+                samples.append(f.canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes())
+                now += f.delay_cs
+        except Damaged as why:
+            return None, None, str(why)
+        return frames, b"".join(samples), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in row_slices(whole, media):
                 made = [decoded(m) for m in batch.column(media).to_pylist()]
-                columns = [pa.array([f for f, _ in made], arrow), pa.array([s for _, s in made], pa.binary())]
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*made, strict=True), (arrow, pa.binary(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], schema.names)
 
     return stored.mapInArrow(run, schema)

@@ -42,7 +42,7 @@ def none(spark):
 
 @pytest.fixture(scope="module")
 def clashing(docs):
-    names = ("size", "before", "taken", "target", "score", "ids", "secrets", "media", "n_bytes", "frames", "samples", "n_lines", "n_removed", "bucket", "rank", "component")
+    names = ("size", "before", "taken", "target", "score", "ids", "secrets", "media", "n_bytes", "frames", "samples", "fault", "n_lines", "n_removed", "bucket", "rank", "component")
     return docs.withColumns({n: F.lit("x") for n in names})
 
 
