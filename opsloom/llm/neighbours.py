@@ -269,14 +269,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
             known = np.isin(goes, here)
             open_ = np.zeros((len(query_ids), len(here)), bool)
             open_[which[known], np.searchsorted(here, goes[known])] = True
+            norms = np.sqrt(np.einsum("ij,ij->i", base, base))
             for start in range(0, len(query_ids), 256):
                 about = np.where(open_[start : start + 256][:, place], whole[start : start + 256] @ base.T, -np.inf)
                 for i, line in enumerate(about):
                     name, vec = query_ids[start + i], whole[start + i]
                     line[ids == name] = -np.inf
-                    # what may be among the best, whatever the rounding; then each score summed in one order
-                    edge = np.partition(line, -k)[-k] if line.size > k else -np.inf
-                    near = np.flatnonzero((line >= edge - 1e-9 * (1 + abs(edge))) & (line > -np.inf)) if np.isfinite(edge) else np.flatnonzero(line > -np.inf)
+                    # what may be among the best, whatever the rounding, which goes with the lengths and not with the product;
+                    # then each score summed in one order
+                    slack = (vec.size + 8) * np.finfo(float).eps * np.linalg.norm(vec) * norms
+                    edge = np.partition(line - slack, -k)[-k] if line.size > k else -np.inf
+                    near = np.flatnonzero((line + slack >= edge) & (line > -np.inf)) if np.isfinite(edge) else np.flatnonzero(line > -np.inf)
                     exact = (base[near] * vec).sum(axis=1)
                     best = np.lexsort((ids[near], -exact))[:k]
                     out.append((np.full(best.size, name, np.int64), ids[near][best].astype(np.int64), exact[best]))

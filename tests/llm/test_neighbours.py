@@ -67,3 +67,17 @@ def test_recall_with_rows_outside_the_sample(spark, monkeypatch):
     assert ids == list(range(ids[0], ids[0] + len(ids)))
     found[["query_id", "vec_id"]] -= ids[0]
     assert recall(x, found, 20) >= 0.9
+
+
+def test_long_vectors_whose_products_cancel(spark):
+    """What a matrix product rounds away is far more than what parts the scores."""
+    x = clustered(900, 5)
+    x[:, 0] = 2.0**26
+    x[:, 3] = np.where(np.arange(900) % 2, 2.0**26, -(2.0**26))
+    found = searched(spark, x, 10).sort_values(["query_id", "rank"])
+    assert found.query_id.nunique() == 45
+    for q, own in found.groupby("query_id"):
+        score = (x * x[q]).sum(1)
+        score[q] = -np.inf
+        best = np.lexsort((np.arange(900), -score))[:10]
+        assert own.vec_id.tolist() == best.tolist() and own.score.tolist() == score[best].tolist()
