@@ -10,7 +10,7 @@ Word vectors need no labels. The network is fitted on labelled rows only, MOST_T
 on those whose crc32(id) mod 5 is 0; every document is scored, whole. Null and empty texts score what
 the network gives for a document without words. Very long texts are pooled in pieces of some hundred
 kilobytes, cut at white space, whose sums are added; a word at a cut has the neighbours of its own piece. Rows without label take no part in fitting; of a
-document labelled twice the larger label counts. With labels of one kind, or none, every score is the
+document labelled twice the larger label counts, and of the texts of a repeated id the one with the smallest hash. With labels of one kind, or none, every score is the
 share of label 1 (1 without labels). Repeated rows score alike. Columns named like an output are
 replaced.
 """
@@ -41,6 +41,8 @@ THRESHOLD = 0.3
 _STEP = 1 << 19
 #: Rows of the word vectors that are added up together.
 _ROWS = 32
+#: Tasks that sum what texts say about word vectors; with fewer splits, as many as there are splits.
+PARTIALS = 1 << 13
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -81,48 +83,68 @@ def _tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return (h % np.uint64(BUCKETS)).astype(np.int64), BUCKETS + shape
 
 
-def _context(texts: list[str | None], index: np.ndarray, sums: np.ndarray) -> None:
-    """Add what these texts say about word vectors to sums."""
-    for _, held in groups(texts, _STEP):
-        _add_context(held, index, sums)
-
-
-def _add_context(texts: list[str], index: np.ndarray, sums: np.ndarray) -> None:
-    w = words_of(texts)
-    word, shape = _tokens(w)
-    text = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
-    near = np.zeros((word.size, SIZE), np.float32)
-    both = index[word] + index[shape]
-    for step in range(1, NEIGHBOURS + 1):
-        same = (text[step:] == text[:-step])[:, None]
-        near[step:] += both[:-step] * same
-        near[:-step] += both[step:] * same
-    for rows in (word, shape):
-        order = np.argsort(rows, kind="stable")
-        kinds, at = np.unique(rows[order], return_index=True)
-        if kinds.size:
-            sums[kinds] += np.add.reduceat(near[order], at, axis=0)
+class Context:
+    """What texts say about word vectors, as whole numbers: for each word the entries of its neighbours' index
+    vectors and counts of its neighbours' shapes, for each shape counts of its neighbours' shapes. Neighbours are
+    mutual, so the words around a shape are the shapes around words, read the other way."""
+
+    def __init__(self) -> None:
+        self.index = _index_vectors()
+        entries = np.argsort(self.index[:BUCKETS] == 0, axis=1, kind="stable")[:, :4]
+        # an index vector with fewer than four entries has zeros among these
+        self.places, self.signs = entries.astype(np.int32), np.take_along_axis(self.index[:BUCKETS], entries, 1)
+        self.words = np.zeros((BUCKETS, SIZE))
+        self.shapes_of_words = np.zeros((BUCKETS, SHAPES))
+        self.shapes = np.zeros((SHAPES, SHAPES))
+
+    def add(self, texts: list[str | None]) -> None:
+        for _, held in groups(texts, _STEP):
+            self._add(held)
+
+    def _add(self, texts: list[str]) -> None:
+        w = words_of(texts)
+        word, shape = _tokens(w)
+        word, shape = word.astype(np.int32), (shape - BUCKETS).astype(np.int32)
+        text = np.repeat(np.arange(len(w.first) - 1, dtype=np.int32), np.diff(w.first))
+        left = [np.flatnonzero(text[step:] == text[:-step]) for step in range(1, NEIGHBOURS + 1)]
+        right = [at + step for step, at in enumerate(left, 1)]
+        # each of two neighbours is the one, and the other one's neighbour
+        one, other = np.concatenate([*left, *right]), np.concatenate([*right, *left])
+        self.shapes += _counts(shape[one] * SHAPES + shape[other], self.shapes.shape)
+        self.shapes_of_words += _counts(word[one] * SHAPES + shape[other], self.shapes_of_words.shape)
+        near = word[other]
+        self.words += _counts((word[one][:, None] * SIZE + self.places[near]).ravel(), self.words.shape, self.signs[near].ravel())
+
+    def sums(self) -> np.ndarray:
+        """A row for each word and each shape."""
+        words, shapes = self.index[:BUCKETS].astype(float), self.index[BUCKETS:].astype(float)
+        return np.concatenate([self.words + self.shapes_of_words @ shapes, self.shapes_of_words.T @ words + self.shapes @ shapes])
+
+
+def _counts(at: np.ndarray, shape: tuple[int, int], weights: np.ndarray | None = None) -> np.ndarray:
+    return np.bincount(at, weights, shape[0] * shape[1]).reshape(shape)
 
 
 def word_vectors(texts: DataFrame, text: str) -> np.ndarray:
-    """Sums of neighbours over all texts, added up by slices of rows; each vector of length 1."""
+    """Sums of neighbours over all texts, added up by slices of rows; each vector of length 1. Splits are read
+    by PARTIALS tasks at most, so what is shuffled has a bound: PARTIALS tables of some 6 MB."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, sums, seen = _index_vectors(), np.zeros((BUCKETS + SHAPES, SIZE)), False
+        context = None
         for whole in batches:
             for batch in row_slices(whole, text, _STEP):
-                _context(batch.column(text).to_pylist(), index, sums)
-                seen = True
-        if seen:
-            yield slices(sums)
+                context = context or Context()
+                context.add(batch.column(text).to_pylist())
+        if context:
+            yield slices(context.sums())
 
     def slices(sums: np.ndarray) -> pa.RecordBatch:
         """Of the rows that aren't zero, each slice's places and sums."""
         used = np.flatnonzero(sums.any(1))
-        found = [(int(k), used[used // _ROWS == k]) for k in np.unique(used // _ROWS)]
-        at = [rows.astype(np.int32).tobytes() for _, rows in found]
-        parts = [sums[rows].astype(np.float32).tobytes() for _, rows in found]
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array(at, pa.binary()), pa.array(parts, pa.binary())], ["slice", "rows", "sums"])
+        found = np.split(used, np.flatnonzero(np.diff(used // _ROWS)) + 1) if used.size else []
+        at = [rows.astype(np.int32).tobytes() for rows in found]
+        parts = [sums[rows].astype(np.float32).tobytes() for rows in found]
+        return pa.RecordBatch.from_arrays([pa.array([rows[0] // _ROWS for rows in found], pa.int32()), pa.array(at, pa.binary()), pa.array(parts, pa.binary())], ["slice", "rows", "sums"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # sums are of whole numbers, so their order doesn't matter
@@ -134,7 +156,7 @@ def word_vectors(texts: DataFrame, text: str) -> np.ndarray:
 
     kind = "slice int, rows binary, sums binary"
     # each slice is added up by one task, as it is read
-    found = texts.select(text).mapInArrow(partial, kind).repartition("slice").mapInArrow(total, kind).collect()
+    found = texts.select(text).coalesce(PARTIALS).mapInArrow(partial, kind).repartition("slice").mapInArrow(total, kind).collect()
     vectors = np.zeros((BUCKETS + SHAPES, SIZE), np.float32)
     for r in found:
         vectors[np.frombuffer(r["rows"], np.int32)] = np.frombuffer(r["sums"], np.float32).reshape(-1, SIZE)
@@ -214,7 +236,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> tuple[np.nd
     every = -(-known.count() // MOST_TRAINING) or 1
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
     # the choice is bounded (MOST_TRAINING ids, give or take the hash), so it may be broadcast
-    rows = stored(docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).repartition(8, "doc_id"), "quality-training")
+    held = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # of a repeated id the text with the smallest hash, so that reruns learn from the same ones
+    rows = stored(held.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).repartition(8, "doc_id"), "quality-training")
     vectors = word_vectors(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
