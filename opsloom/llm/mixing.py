@@ -74,24 +74,36 @@ def _packets(queued: DataFrame, repeats: int, horizon: float) -> DataFrame:
     return made.withColumn("finish", (F.col("begun") + F.col("words")) / F.col("target")).filter(F.col("finish") <= horizon)
 
 
+def _in_order(packets: DataFrame, blocks: int) -> DataFrame:
+    """packets with ahead, the words of those before each by (finish, source, begun), and their block. Blocks
+    are ranges of that whole order, so packets of many sources that finish together are in many blocks."""
+    ranged = packets.repartitionByRange(blocks, "finish", "_rank", "begun").withColumn("_block", F.spark_partition_id())
+    ranged = stored(ranged, "mix-order")
+    earlier = F.sum("_held").over(Window.orderBy("_block")) - F.col("_held")
+    bases = ranged.groupBy("_block").agg(F.sum("words").alias("_held")).select("_block", earlier.alias("_base"))
+    within = F.sum("words").over(Window.partitionBy("_block").orderBy("finish", "_rank", "begun")) - F.col("words")
+    return ranged.withColumn("_within", within).join(bases, "_block").withColumn("ahead", F.col("_base") + F.col("_within"))
+
+
 def _cut(queued: DataFrame, repeats: int, budget: int, ranges: int) -> tuple[int, DataFrame]:
     """Sort packets by (finish, source, begun) in `ranges` ranges of virtual time, and add up their words until
     the budget is spent: the range in which that happens, and what of its packets is taken, by document and
-    copy. Only that one range, of some ROWS_PER_BUCKET packets, is sorted by row."""
+    copy. Only that one range is sorted by row, in blocks of some ROWS_PER_BUCKET packets, however many finish at
+    the same time."""
     end = (F.col("before") + F.col("size") + F.col("source_size") * (repeats - 1)) / F.col("target")
     last = queued.filter((F.col("size") > 0) & (F.col("target") > 0)).agg(F.max(end)).first()[0] or 0.0
     horizon = 2.0
     while True:
         packets = _packets(queued, repeats, horizon).withColumn("_range", F.floor(F.col("finish") * ranges))
-        sums = stored(packets.groupBy("_range").agg(F.sum("words").alias("words")), "mix-ranges")
+        sums = stored(packets.groupBy("_range").agg(F.sum("words").alias("words"), F.count("*").alias("packets")), "mix-ranges")
         upto = sums.withColumn("upto", F.sum("words").over(Window.orderBy("_range")))
         over = upto.filter(F.col("upto") > budget).orderBy("_range").first()
         if over or horizon >= last:
             break
         horizon *= 2
-    crossed, room = (over["_range"], budget - (over["upto"] - over["words"])) if over else (1 << 62, 0)
-    ahead = F.sum("words").over(Window.orderBy("finish", "_rank", "begun")) - F.col("words")
-    within = packets.filter(F.col("_range") == crossed).withColumn("_taken", F.greatest(F.lit(0), F.least("words", F.lit(room) - ahead)))
+    crossed, room, many = (over["_range"], budget - (over["upto"] - over["words"]), over["packets"]) if over else (1 << 62, 0, 0)
+    within = _in_order(packets.filter(F.col("_range") == crossed), many // ROWS_PER_BUCKET + 1)
+    within = within.withColumn("_taken", F.greatest(F.lit(0), F.least("words", F.lit(room) - F.col("ahead"))))
     parts = within.groupBy("_rank", "before").agg(*(F.sum(F.when(F.col("copy") == k, F.col("_taken")).otherwise(0)).alias(f"_cut{k}") for k in range(repeats)))
     return crossed, stored(parts, "mix-cut")
 

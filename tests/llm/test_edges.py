@@ -390,6 +390,19 @@ def test_mixing(spark, docs, none, clashing, monkeypatch, rows_per_range):
     assert order == sorted(order)
 
 
+def test_mixing_where_many_sources_finish_together(spark, monkeypatch):
+    """One document a source, all capped: all finish at virtual time 1, where the budget ends."""
+    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 200)
+    seen, in_order = [], mixing._in_order
+    monkeypatch.setattr(mixing, "_in_order", lambda packets, blocks: seen.append(in_order(packets, blocks)) or seen[-1])
+    rows = [(i, "w " * 30, f"host{i}") for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.schedule(*mixing.measured(table)).collect()
+    assert {r["doc_id"]: r["taken"] for r in plan} == plain_queue(rows, {r["source"]: r["target"] for r in plan})
+    sizes = [r["count"] for r in seen[0].groupBy("_block").count().collect()]
+    assert len(sizes) > 1 and max(sizes) <= 2 * 200
+
+
 def test_language(spark, sf):
     texts = spark.read.parquet(f"{sf}/documents.parquet").select("text", "lang")
     rows = [(1, None, None), (1, None, None), (2, "http://x.de/", ""), (3, "http://x.org/fr/1", "<html lang='FR'><script>the and</script><p>"), (4, "bad", "<p>" + LONG + "</p>")]
