@@ -30,10 +30,23 @@ def wrap_chunks(rows: DataFrame, group: str, seq: str, days: int, per_day: int)
     return spread.withColumns({"day": F.expr(f"place div {per_day}").cast("long"), "slot": (F.col("place") % per_day).cast("long")}).drop("_n", "place", "pos")
 
 
+#: Calendar days whose texts are gathered into one row before they go to all later days.
+BLOCK_DAYS = 64
+
+
 def prior_days(rows: DataFrame, day: str, text: str) -> DataFrame:
-    """Each day's list of the texts of earlier days of its week; a table of days. A week is a group of seven rows at most."""
-    w = Window.partitionBy(F.date_trunc("week", day)).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("before", F.array_join(F.collect_list(text).over(w), "|"))
+    """Each day's list of the texts of all earlier days; a table of days. Days are listed by block, a block meets the lists of
+    those before it, and only the days of one block share a window, so no task holds more than a few of the lists that come out."""
+    blocked = rows.withColumn("_block", F.expr(f"datediff({day}, DATE'1970-01-01') div {BLOCK_DAYS}"))
+    said = lambda rows: F.flatten(F.transform(F.array_sort(F.collect_list(rows)), lambda r: r["s"]))
+    lists = blocked.filter(F.col(text).isNotNull()).groupBy("_block").agg(said(F.struct(F.col(day).alias("d"), F.array(text).alias("s"))).alias("_said"))
+    before = lists.select(F.col("_block").alias("_b"), F.col("_said").alias("_s"))
+    blocks = blocked.select("_block").distinct()
+    earlier = blocks.join(before, F.col("_b") < F.col("_block")).groupBy("_block").agg(said(F.struct(F.col("_b").alias("d"), F.col("_s").alias("s"))).alias("_earlier"))
+    own = Window.partitionBy("_block").orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    listed = blocked.withColumn("_own", F.collect_list(text).over(own)).join(earlier, "_block", "left")
+    none = F.array().cast("array<string>")
+    return listed.withColumn("before", F.array_join(F.concat(F.coalesce("_earlier", none), "_own"), "|")).drop("_block", "_own", "_earlier")
 
 
 def slots(days: DataFrame, times: list[str], skip_sundays: bool = True) -> DataFrame:

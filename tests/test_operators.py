@@ -193,6 +193,15 @@ def test_places(spark, block, monkeypatch):
     assert found == {r[0]: k for c in "ab" for k, r in enumerate(sorted((r for r in rows if r[1] == c), key=best), 1)}
 
 
+@pytest.mark.parametrize("gap", [1, 5, 100])
+def test_prior_days_are_all_earlier_days(spark, gap):
+    """Over weeks, blocks and gaps; days before 1970 too."""
+    days = [dt.date(1969, 11, 3) + dt.timedelta(days=gap * k) for k in range(150)]
+    rows = [(d, None if k % 7 == 3 else f"t{k}") for k, d in enumerate(days)]
+    found = {r["day"]: r["before"] for r in allocation.prior_days(spark.createDataFrame(rows[::-1], "day date, line string"), "day", "line").collect()}
+    assert found == {d: "|".join(t for _, t in rows[:k] if t) for k, d in enumerate(days)}
+
+
 def test_first_free_slots_run_out(spark):
     posts = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(6)], "seq long, brand string")
     free = spark.createDataFrame([(dt.datetime(2026, 1, d),) for d in (2, 1)], "at timestamp")
