@@ -1,15 +1,17 @@
 """Reviews as streams: the first deciding event of each draft, daily counts of late events, reminders and lapses that
 fire by themselves, and reactions joined to what they react to.
 
-State is one small row per draft. Rows of a batch are put in event order inside the state function, since
-their arrival has none."""
+State is one small row per draft, or a small table for a group of items. Rows of a batch are put in event order
+inside the state function, since their arrival has none."""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -57,53 +59,86 @@ def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "verb").agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "verb", "n")
 
 
+#: Stands for a time that isn't known, in ms.
+NEVER = 1 << 62
+#: Groups that items are dealt to by hash. A stream keeps its number, which is in the state.
+GROUPS = 1024
+_TIMES = ["opened", "resolved"]
+
+
+def _first_times(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row for an item: its earliest times, and whether it was reminded."""
+    return rows.groupby("item", as_index=False, dropna=False, sort=False).agg({"opened": "min", "resolved": "min", "reminded": "max"})
+
+
 def _timers(hold: int, ahead: int | None):
+    """Of one group of items: what is due by the watermark. All items of a group are worked on as columns."""
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, resolved, reminded = state.get if state.exists else (None, None, ahead is None)
+        known = None
+        if state.exists:
+            with pa.ipc.open_stream(state.get[0]) as reader:
+                known = reader.read_all().to_pandas()
         if not state.hasTimedOut:
             for rows in batches:
-                for ms, what in zip(rows["ms"].tolist(), rows["what"].tolist(), strict=True):
-                    if what == "open":
-                        opened = ms if opened is None else min(opened, ms)
-                    elif what == "resolve":
-                        resolved = ms if resolved is None else min(resolved, ms)
-        now, fired = state.getCurrentWatermarkMs(), []
-        if opened is None and resolved is None:
+                new = rows[["item", *_TIMES]].assign(reminded=False)
+                known = _first_times(new if known is None else pd.concat([known, new], ignore_index=True))
+        if known is None or known.empty:
             return
+        now = state.getCurrentWatermarkMs()
+        opened, resolved = (known[c].to_numpy("int64") for c in _TIMES)
+        reminded = known["reminded"].to_numpy(bool)
+        is_open = opened < NEVER
         # what was resolved but never opened is let go when its lapse would be due
-        lapse = hold + (resolved if opened is None else opened)
-        remind = lapse - (ahead or 0)
-        if opened is not None and not reminded and now > remind:
-            reminded = True
-            if resolved is None or resolved > remind:
-                fired.append(("reminder", remind))
-        if now > lapse:
-            if opened is not None and (resolved is None or resolved > lapse):
-                fired.append(("lapse", lapse))
+        lapse = hold + np.where(is_open, opened, resolved)
+        fired = []
+        if ahead is not None:
+            remind = lapse - ahead
+            now_due = is_open & ~reminded & (now > remind)
+            fired.append(("reminder", now_due & (resolved > remind), remind))
+            reminded = reminded | now_due
+        over = now > lapse
+        fired.append(("lapse", over & is_open & (resolved > lapse), lapse))
+        if over.all():
             if state.exists:
                 state.remove()
         else:
-            state.update((opened, resolved, reminded))
-            state.setTimeoutTimestamp(lapse if reminded else max(remind, now))
-        if fired:
-            yield pd.DataFrame([(*key, what, at) for what, at in fired], columns=["item", "what", "ms"])
+            due = lapse if ahead is None else np.where(is_open & ~reminded, remind, lapse)
+            sink = pa.BufferOutputStream()
+            kept = pa.Table.from_pandas(known.assign(reminded=reminded)[~over], schema=_KEPT, preserve_index=False)
+            with pa.ipc.new_stream(sink, _KEPT) as writer:
+                writer.write_table(kept)
+            state.update((sink.getvalue().to_pybytes(),))
+            state.setTimeoutTimestamp(max(int(due[~over].min()), now))
+        told = [pd.DataFrame({"item": known["item"][which], "what": what, "ms": at[which]}) for what, which, at in fired if which.any()]
+        if told:
+            yield pd.concat(told, ignore_index=True)
 
     return run
 
 
+_KEPT = pa.schema([("item", pa.string()), ("opened", pa.int64()), ("resolved", pa.int64()), ("reminded", pa.bool_())])
+
+
 def deadlines(events: DataFrame, hold: str, ahead: str | None = None, late: str = "1 day") -> DataFrame:
-    """(item, what, at): items that are open too long. events: (item, ts, what), what being open, resolve or anything else.
-    `hold` after an item was opened (by its first such event) a lapse comes out, and `ahead` before that a reminder, each
-    once, unless the item was resolved by then. at is when it was due. A timer of each item fires when the watermark
-    passes, with no event of the item, and is kept over a restart; by then all events up to it have come, but for those that
-    are more than `late`, so batches and their order change nothing. State is one short row for an item until it lapses."""
+    """(item, what, at): items that are open too long. events: (item, ts, what), what being open, resolve or anything else;
+    item is anything that a cast to text and back keeps. `hold` after an item was opened (by its first such event) a lapse comes
+    out, and `ahead` before that a reminder, each once, unless the item was resolved by then. at is when it was due. An item's
+    timer fires when the watermark passes, with no event of the item, and is kept over a restart; by then all events up to it
+    have come, but for those that are more than `late`, so batches and their order change nothing. Items are dealt to GROUPS by
+    hash, whose state is a short row for each item until it lapses; a batch works on the groups that it has events or
+    timers of, a group's items at once."""
     span = lambda text: int(pd.Timedelta(text).total_seconds() * 1000)
-    marked = events.withWatermark("ts", late).select("item", "ts", F.unix_millis("ts").alias("ms"), "what")
     kind = events.schema["item"].dataType.simpleString()
-    fired = marked.groupBy("item").applyInPandasWithState(
-        _timers(span(hold), None if ahead is None else span(ahead)), f"item {kind}, what string, ms long", "opened long, resolved long, reminded boolean", "append", GroupStateTimeout.EventTimeTimeout
+    when = lambda what: F.when(F.col("what") == what, F.unix_millis("ts")).otherwise(F.lit(NEVER))
+    text = F.col("item").cast("string")
+    marked = events.withWatermark("ts", late).select("ts", text.alias("item"), when("open").alias("opened"), when("resolve").alias("resolved"))
+    # the filter reads ts, so Spark leaves it behind the watermark, which other events move too
+    asked = marked.filter(F.least("opened", "resolved") < NEVER).withColumn("group", F.pmod(F.xxhash64("item"), F.lit(GROUPS)))
+    fired = asked.groupBy("group").applyInPandasWithState(
+        _timers(span(hold), None if ahead is None else span(ahead)), "item string, what string, ms long", "items binary", "append", GroupStateTimeout.EventTimeTimeout
     )
-    return fired.select("item", "what", F.timestamp_millis("ms").alias("at"))
+    return fired.select(F.col("item").cast(kind).alias("item"), "what", F.timestamp_millis("ms").alias("at"))
 
 
 def reactions_to_posts(posts: DataFrame, reactions: DataFrame, within: str, late: str = "1 day") -> DataFrame:
