@@ -105,6 +105,20 @@ def test_reminders_and_lapses_over_files_out_of_order(spark, folder, seed):
     assert {w for _, w, _ in found} == {"reminder", "lapse"} and held[-1] <= 1
 
 
+def test_timers_of_many_items_share_their_state(spark, folder):
+    """3,000 items, some without a name: each is told of once, and state is by group, not by item."""
+    names = [None if k == 0 else f"item {k}" for k in range(3000)]
+    raw = lambda: spark.readStream.schema("item string, ts timestamp_ntz, what string").parquet(str(folder / "in")).withColumn("ts", F.col("ts").cast("timestamp"))
+    held = []
+    run = lambda: reviews.drained(reviews.deadlines(raw(), "10 hours", "4 hours", "1 hour"), str(folder), "m", held).collect()
+    put(folder / "in", "a.parquet", [(n, k % 5, "open") for k, n in enumerate(names)] + [(names[7], 3, "resolve")])
+    assert run() == [] and 0 < max(held) <= reviews.GROUPS
+    put(folder / "in", "b.parquet", [(names[8], 12, "resolve"), ("late", 40, "seen")])
+    found = [(r["item"], r["what"]) for r in run()]
+    assert sorted(map(str, found)) == sorted(str((n, what)) for k, n in enumerate(names) for what in ("reminder", "lapse") if k != 7 and (k, what) != (8, "lapse"))
+    assert held[-1] == 0
+
+
 def test_reactions_meet_their_posts_as_they_come(spark, folder):
     """Posts and reactions in three files out of order; those without a post come out when the bound has passed."""
     (folder / "posts").mkdir()
