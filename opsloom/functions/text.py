@@ -63,9 +63,22 @@ _CHAIN = rf"[a-z0-9-]++(?:(?!\.(?:{DOMAINS})(?![A-Za-z0-9_]))\.[a-z0-9-]++)*+\.(
 SITE = rf"(?i)(?<![A-Za-z0-9_])(?:https?://|www\.)\S++|(?:(?<![a-z0-9_-])(?<![a-z0-9-]\.)|(?<=_)([a-z0-9]*+(?:-?\.|-)))(?=[a-z0-9-]){_CHAIN}"
 #: Steps that start with blanks, entered where a run of them begins, or behind the match before.
 _BLANKS = r"[ \t]*"
-_AT_RUN = r"(?:(?<![ \t])|\G)[ \t]*+"
+_AT_RUN = r"(?=[ \t—–])(?:(?<![ \t])|\G)[ \t]*+"
+#: A step that starts with any visible sign is entered at the blank behind it, which must not be the end of the match before.
+_SIGN, _BEHIND_SIGN = r"(\S)[ \t]+-[ \t]+", r"(?=[ \t])(?<=\S)(?!\G)[ \t]++-[ \t]++"
 #: White space at both ends.
 EDGES = r"^\s+|(?<!\s)\s++\z"
+#: White space, as \\s has it.
+WHITE = " \t\n\x0b\f\r"
+
+
+#: White space within a line, and what $ lets follow at its end.
+_GAP, _LINE_END = r"[ \t\x0B\f\r]*+", r"[\u0085\u2028\u2029]?"
+_FENCE_LINE = rf"\n{_GAP}[-_*]{{3,}}+{_GAP}{_LINE_END}(?=\n)"
+_INTRODUCTION = rf"(?:here'?s (?:the|your|a|an) (?={_GAP}\S).{{0,40}}[:.]?|sure[.!,]?|got it[.!,]?)"
+_WRAP_LINE = rf"{_GAP}(?:[-_*]{{3,}}+{_GAP}{_LINE_END}|{_INTRODUCTION}{_LINE_END}{_GAP})?"
+#: Lines at the start that wrap a draft: blank ones, fences (FENCE) and introductions (PREAMBLE).
+_WRAPPING = rf"(?i)\A(?:{_WRAP_LINE}\n)*+(?:{_WRAP_LINE}\z)?"
 
 
 def whole_word(term: str) -> str:
@@ -79,6 +92,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space at both ends; no pattern has to look at what is between."""
+    return F.btrim(text, F.lit(WHITE))
+
+
 def scrub_identity(text: Column) -> Column:
     """Drop a leading name, e-mail addresses and sites; white space in one."""
     text = F.regexp_replace(text, VOCATIVE, "")
@@ -95,14 +113,14 @@ def table_cells(line: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """array<string>: split after . ! ? and an optional quote, and at line ends."""
-    pieces = F.split(text, "(?<=[.!?]['\"]?)\\s+", -1)
-    lines = F.flatten(F.transform(pieces, lambda p: F.split(p, "\n+", -1)))
-    return F.filter(F.transform(lines, lambda x: F.regexp_replace(x, EDGES, "")), lambda x: x != "")
+    # looks back from white space only; line ends within what follows a sentence belong to it
+    pieces = F.split(text, "(?=\\s)(?:(?<=[.!?]['\"]?)\\s+|\n+)", -1)
+    return F.array_remove(F.transform(pieces, trimmed), "")
 
 
 def tokens(text: Column) -> Column:
     """White-space separated words."""
-    return F.filter(F.split(text, r"\s+", -1), lambda w: w != "")
+    return F.array_remove(F.split(text, r"\s+", -1), "")
 
 
 def word_count(text: Column) -> Column:
@@ -120,16 +138,18 @@ def syllables(word: Column) -> Column:
 
 
 def syllable_count(text: Column) -> Column:
-    """Sum of syllables() over the words of a text, by three counts over the whole text: vowel groups, words
-    without vowels, and silent e after another group. What isn't a letter or white space is left out first."""
-
-    def counted(letters: Column) -> Column:
-        groups = F.regexp_count(letters, F.lit("[aeiouy]+"))
-        bare = F.regexp_count(letters, F.lit(r"(?<!\S)[^aeiouy\s]+(?!\S)"))
-        silent = F.regexp_count(letters, F.lit(r"[aeiouy][^aeiouy\s]+[aeiouy]*e(?!\S)"))
-        return groups + bare - silent
-
-    return let(F.regexp_replace(F.lower(text), r"[^a-z\s]", ""), counted).cast("long")
+    """Sum of syllables() over the words of a text. What isn't a letter or white space is left out; an e that ends a word
+    is set apart, other vowels are all written a, and runs of vowels become one. A word then has as many syllables as it
+    has a, or one if it has none: its last e counts only where it stands alone."""
+    letters = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^a-z\s]+", ""), F.lit(" "))
+    for blank in WHITE[1:]:
+        letters = F.replace(letters, F.lit(blank), F.lit(" "))
+    letters = F.replace(letters, F.lit("e "), F.lit("E "))
+    for vowel in "eiouy":
+        letters = F.replace(letters, F.lit(vowel), F.lit("a"))
+    letters = F.replace(F.regexp_replace(letters, "a{2,}", "a"), F.lit("aE"), F.lit("E"))
+    counted = lambda t: F.length(t) - F.length(F.replace(t, F.lit("a"), F.lit(""))) + F.regexp_count(t, F.lit(" [^a ]++(?= )"))
+    return let(letters, counted).cast("long")
 
 
 def reading_grade(text: Column) -> Column:
@@ -191,31 +211,31 @@ def strip_dashes(text: Column) -> Column:
     def rewritten(text: Column) -> Column:
         for pattern, becomes, raised in DASH_STEPS:
             pattern = _AT_RUN + pattern.removeprefix(_BLANKS) if pattern.startswith(_BLANKS + "[—–]") else pattern
+            if pattern.startswith(_SIGN):
+                pattern, becomes = _BEHIND_SIGN + pattern.removeprefix(_SIGN), becomes.removeprefix("$1").replace("$2", "$1")
             text = _raise_after(text, pattern, becomes) if raised else F.regexp_replace(text, pattern, becomes)
         return text
 
-    return F.when(text.rlike(r"[—–]|[ \t]-[ \t]|[ \t]{2}"), rewritten(text)).otherwise(text)
+    # no step looks beyond a line, and most lines have nothing to rewrite
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike(r"[—–]|[ \t]-[ \t]|[ \t]{2}"), rewritten(x)).otherwise(x))
+    return F.array_join(lines, "\n")
 
 
 def strip_scaffolding(text: Column) -> Column:
     """Leave out what wraps a draft: leading blanks, fences and introductions; from a "next move" line near
-    the end on; fences anywhere."""
-    trim = lambda x: F.regexp_replace(x, EDGES, "")
-    chrome = lambda x: (trim(x) == "") | x.rlike(FENCE) | trim(x).rlike(PREAMBLE)
+    the end on; fences anywhere. Only the last 12 lines, which can hold that mark, are looked at one by one."""
 
-    def unwrapped(lines: Column) -> Column:
-        first = F.array_position(F.transform(lines, lambda x: chrome(x)), F.lit(False))
-        return F.when(first == 0, F.array().cast("array<string>")).otherwise(F.slice(lines, F.greatest(F.lit(1), first.cast("int")), F.size(lines)))
+    def ended(tail: Column) -> Column:
+        """Lines of the tail up to the last mark."""
+        marks = F.transform(tail, lambda x, i: F.when(trimmed(x).rlike(NEXT_MOVE), i))
+        return let(F.array_max(marks), lambda cut: F.when(cut.isNull(), tail).otherwise(F.slice(tail, F.lit(1), cut)))
 
-    def ended(body: Column) -> Column:
-        """Only the last 12 lines can hold the mark."""
-        begin = F.greatest(F.lit(0), F.size(body) - 12)
-        marks = F.transform(F.slice(body, begin + 1, F.lit(12)), lambda x, i: F.when(trim(x).rlike(NEXT_MOVE), i))
-        return let(F.array_max(marks), lambda cut: F.when(cut.isNull(), body).otherwise(F.slice(body, F.lit(1), begin + cut)))
+    def kept(body: Column) -> Column:
+        tail = F.substring_index(body, "\n", -12)
+        return let(tail, lambda tail: F.concat(F.lit("\n"), F.left(body, F.length(body) - F.length(tail)), F.array_join(let(F.split(tail, "\n", -1), ended), "\n"), F.lit("\n")))
 
-    kept = let(let(F.split(text, "\n", -1), unwrapped), ended)
-    joined = F.array_join(F.filter(kept, lambda x: ~x.rlike(FENCE)), "\n")
-    return trim(F.regexp_replace(joined, r"\n{3,}", "\n\n"))
+    body = F.substr(text, F.length(F.regexp_extract(text, _WRAPPING, 0)) + 1)
+    return trimmed(F.regexp_replace(F.regexp_replace(let(body, kept), _FENCE_LINE, ""), r"\n{3,}", "\n\n"))
 
 
 def strip_openers(text: Column) -> Column:
@@ -223,7 +243,7 @@ def strip_openers(text: Column) -> Column:
     for opener in OPENERS:
         text = F.regexp_replace(text, rf"(?i)^{opener}[!.,]?\s*", "")
     text = F.when(text.rlike(r"^I(?![A-Za-z0-9_])"), F.regexp_replace(text, r"^I\s+", "Look — ")).otherwise(text)
-    return F.regexp_replace(text, EDGES, "")
+    return trimmed(text)
 
 
 def token_estimate(text: Column) -> Column:

@@ -158,6 +158,28 @@ def test_trimmed_edges(spark):
     assert values(spark, F.regexp_replace("t", text.EDGES, ""), rows) == values(spark, F.regexp_replace("t", r"^\s+|\s+\z", ""), rows)
 
 
+def test_trimmed(spark):
+    rows = odd_texts([" ", "\t", "\n", "\r", "\x0b", "\f", "\u0085", "\u00a0", "a", "b"], 2000)
+    assert values(spark, text.trimmed(F.col("t")), rows) == values(spark, F.regexp_replace("t", r"^\s+|\s+\z", ""), rows)
+
+
+@pytest.mark.parametrize(("f", "most"), [("strip_scaffolding", 5), ("strip_dashes", 5), ("syllable_count", 3.5)])
+def test_time_against_one_plain_pass(spark, f, most):
+    """Two megabytes of prose in lines take a few times as long as leaving out what isn't a letter."""
+    line = "The quiet engine moves along a valley of stones, made by rivers\n"
+    rows = spark.range(2000).select(F.concat(F.lit("Sure!\n--- — x - y\n"), F.repeat(F.lit(line), 16), F.col("id")).alias("t")).repartition(1).localCheckpoint()
+
+    def seconds(made):
+        took = []
+        for _ in range(4):
+            began = time.time()
+            rows.select(made.alias("x")).write.format("noop").mode("overwrite").save()
+            took.append(time.time() - began)
+        return min(took[1:])
+
+    assert seconds(getattr(text, f)(F.col("t"))) < most * seconds(F.regexp_replace(F.lower("t"), r"[^a-z\s]", ""))
+
+
 @pytest.mark.parametrize("unit", ["a.", "a_b-", " ", "\t-", "Next move: go\n", "— ", "a@", "a.b@c.", "-", "\n", "x \n"])
 @pytest.mark.parametrize("f", ["scrub_identity", "strip_dashes", "strip_scaffolding", "sentences", "strip_openers"])
 def test_a_megabyte_of_anything(spark, f, unit):
