@@ -33,8 +33,7 @@ def x02_sentences(spark, sf):
 
 
 def x04_syllables(spark, sf):
-    words = _docs(spark, sf).select(F.explode(X.tokens(F.col("text"))).alias("word"))
-    return words.groupBy(X.syllables(F.col("word")).alias("syllables")).agg(F.count("*").alias("n"))
+    return X.words_by_syllables(_docs(spark, sf), F.col("text"))
 
 
 def x05_grade(spark, sf):

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsloom.functions import dates, numbers, prompts, text
+from opsloom.plans import registry
 
 
 def values(spark, column, rows, schema="t string"):
@@ -88,6 +89,25 @@ def test_syllables_of_a_text_are_those_of_its_words(spark, sf):
     assert docs.filter(text.word_count(F.col("t")) != F.size(text.tokens(F.col("t")))).count() == 0
 
 
+def test_words_by_syllables_in_blocks(spark, sf, monkeypatch):
+    """Against syllables() of each word, for texts that are cut into blocks or share one; no pattern is tried on a word."""
+    rng = random.Random(9)
+    odd = ["e", "E", "a", "y", "b", "Z", "K", "İ", "ſ", "é", "😀", "'", "-", "1", " ", "\t", "\n", "\x0b", "\f", "\r", "\x1c", "\u00a0", "\u2028", "\x00"]
+    rows = ["".join(rng.choice(odd) for _ in range(rng.randrange(60))) for _ in range(300)] + [None, "", " \n", "12 ...", "e" * 5000, "be " * 5000, "be\n" * 5000]
+    made = spark.createDataFrame([(r,) for r in rows], "t string").repartition(3)
+    told = lambda found: {r["syllables"]: r["n"] for r in found.collect()}
+    for docs in (made, spark.read.parquet(f"{sf}/documents.parquet").select(F.col("text").alias("t"))):
+        words = docs.select(F.explode(text.tokens(F.col("t"))).alias("w"))
+        wanted = told(words.groupBy(text.syllables(F.col("w")).alias("syllables")).agg(F.count("*").alias("n")))
+        for size in (40, 1000, 1 << 20):
+            monkeypatch.setattr(text, "BLOCK", size)
+            assert told(text.words_by_syllables(docs, F.col("t"))) == wanted
+    plan = registry.QUERIES["x04_syllables"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "lower" in plan and not any(step in plan.lower() for step in ("regexp", "split", "generate"))
+    for rest in ([None], ["", " "]):
+        assert told(text.words_by_syllables(spark.createDataFrame([(r,) for r in rest], "t string"), F.col("t"))) == {}
+
+
 def test_exceptions_nearby(spark):
     """Against the windows around each occurrence."""
     rng = random.Random(2)
