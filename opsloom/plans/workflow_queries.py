@@ -254,19 +254,24 @@ def k11_notes(spark, sf):
     return B.read(spark, sf, "part").select("p_partkey", sinks.front_matter(F.col("p_name"), F.lit("2026-01-02").cast("date"), X.slug(F.col("p_name"))).alias("note"), sinks.alert(F.repeat("p_name", 300)).alias("alert"))
 
 
+def _events(spark, sf):
+    """The table as a stream, be it one file or a folder of files; a path may name either if it holds a pattern."""
+    return reviews.event_stream(spark, f"{sf}/{{events}}.parquet", "*")
+
+
 def t_stream_first_decision(spark, sf):
-    stream = reviews.first_decisions(reviews.event_stream(spark, sf, "events.parquet"))
+    stream = reviews.first_decisions(_events(spark, sf))
     return reviews.drained(stream, shared_folder(spark)).select("draft", "verb", "event_id")
 
 
 def t_stream_daily_counts(spark, sf):
-    stream = reviews.daily_counts(reviews.event_stream(spark, sf, "events.parquet"))
+    stream = reviews.daily_counts(_events(spark, sf))
     return reviews.drained(stream, shared_folder(spark)).select(F.col("day").cast("string").alias("day"), "verb", "n")
 
 
 def _items(spark, sf):
     """What a draft is asked on one day is an item: open from midnight on, resolved when it is approved or killed."""
-    e = reviews.event_stream(spark, sf, "events.parquet")
+    e = _events(spark, sf)
     item = F.concat_ws(" ", F.col("draft").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
     both = F.array(F.struct(F.date_trunc("day", "ts").alias("ts"), F.lit("open").alias("what")), F.struct("ts", F.when(F.col("verb").isin("approve", "kill"), "resolve").otherwise("seen").alias("what")))
     return e.select(item.alias("item"), F.explode(both).alias("e")).select("item", "e.ts", "e.what")
@@ -284,7 +289,7 @@ def t05_reminder_timer(spark, sf):
 
 def s19_reactions_live(spark, sf):
     """Requests to rewrite as posts, approvals and kills as reactions, each a stream."""
-    e = lambda: reviews.event_stream(spark, sf, "events.parquet")
+    e = lambda: _events(spark, sf)
     posts = e().filter("verb = 'rewrite'").select(F.col("draft").alias("subject"), F.col("ts").alias("posted"), F.col("event_id").alias("post"))
     reactions = e().filter("verb IN ('approve', 'kill')").select(F.col("draft").alias("subject"), F.col("ts").alias("reacted"), F.col("event_id").alias("reaction"), "verb")
     return reviews.drained(reviews.reactions_to_posts(posts, reactions, "36 HOURS"), shared_folder(spark)).select("reaction", "subject", "verb", "post")

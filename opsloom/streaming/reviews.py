@@ -71,6 +71,22 @@ def _first_times(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.groupby("item", as_index=False, dropna=False, sort=False).agg({"opened": "min", "resolved": "min", "reminded": "max"})
 
 
+#: Rows of a group that wait at least until they are put together with what is known of its items.
+ROWS = 1 << 16
+
+
+def _together(known: pd.DataFrame | None, batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
+    """What is known of a group's items, with all its new rows. Rows wait until there are as many as known items, so that
+    the work is in proportion to the rows, however many batches they come in."""
+    held, waiting = [] if known is None else [known], 0
+    for rows in batches:
+        held.append(rows[["item", *_TIMES]].assign(reminded=False))
+        waiting += len(rows)
+        if waiting >= max(len(held[0]), ROWS):
+            held, waiting = [_first_times(pd.concat(held, ignore_index=True))], 0
+    return _first_times(pd.concat(held, ignore_index=True)) if held else None
+
+
 def _timers(hold: int, ahead: int | None):
     """Of one group of items: what is due by the watermark. All items of a group are worked on as columns."""
 
@@ -80,9 +96,7 @@ def _timers(hold: int, ahead: int | None):
             with pa.ipc.open_stream(state.get[0]) as reader:
                 known = reader.read_all().to_pandas()
         if not state.hasTimedOut:
-            for rows in batches:
-                new = rows[["item", *_TIMES]].assign(reminded=False)
-                known = _first_times(new if known is None else pd.concat([known, new], ignore_index=True))
+            known = _together(known, batches)
         if known is None or known.empty:
             return
         now = state.getCurrentWatermarkMs()

@@ -119,6 +119,33 @@ def test_timers_of_many_items_share_their_state(spark, folder):
     assert held[-1] == 0
 
 
+def test_rows_of_a_group_in_many_batches_are_worked_on_in_proportion(monkeypatch):
+    """600,000 rows of 200,000 items in 300 batches: rows wait until they are as many as the items that are known."""
+    batches = [pd.DataFrame({"item": [str((k * 2000 + i) % 200_000) for i in range(2000)], "opened": k, "resolved": reviews.NEVER}) for k in range(300)]
+    looked, own = [], reviews._first_times
+    monkeypatch.setattr(reviews, "_first_times", lambda rows: looked.append(len(rows)) or own(rows))
+
+    class State:
+        exists = hasTimedOut = False
+        getCurrentWatermarkMs = lambda self: 250
+        update = setTimeoutTimestamp = lambda self, what: None
+
+    told = pd.concat(reviews._timers(200, None)((0,), iter(batches), State()))
+    # an item is first opened by one of the first 100 batches; those of the first 50 are due
+    assert sorted(zip(told["item"].astype(int), told["ms"], strict=True)) == [(i, i // 2000 + 200) for i in range(100_000)]
+    assert sum(looked) < 4 * 600_000
+
+
+def test_events_in_a_folder_of_files_are_all_read(spark, sf, tmp_path):
+    """A table of many files gives what the same table in one file gives."""
+    from opsloom.plans import workflow_queries as queries
+
+    spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    for query in (queries.t05_reminder_timer, queries.t03_lapse_timer, queries.t_stream_daily_counts):
+        found, wanted = (sorted(map(tuple, query(spark, str(d)).collect())) for d in (tmp_path, sf))
+        assert found == wanted and found
+
+
 def test_reactions_meet_their_posts_as_they_come(spark, folder):
     """Posts and reactions in three files out of order; those without a post come out when the bound has passed."""
     (folder / "posts").mkdir()
